@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from sparkrisk.spec import ICD9_DIABETES, ICD9_RANGES
 
 __all__ = [
-    "as_column", "quoted", "matches", "binary_label", "icd9_group", "band_lower",
+    "as_column", "quoted", "matches", "binary_label", "icd9_number", "icd9_range_group",
+    "icd9_group", "band_lower",
     "band_midpoint", "ordinal", "row_count_eq", "row_sum", "flag_gt", "flag_ge",
     "clip_upper", "tier", "decode", "weighted_score", "cut", "ratio", "rate_pct",
     "mean_1dp", "divide", "hash32", "token_null",
@@ -47,20 +48,33 @@ def binary_label(col: str | Column, positive) -> Column:
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def icd9_group(col: str | Column) -> Column:
-    """Clinical group of an ICD-9 code.
+def icd9_number(col: str | Column) -> Column:
+    """The code as a number; null for supplementary codes and other text.
 
-    Null is ``Missing``; supplementary codes (V.., E..) and text are ``Other``.
     The guard keeps ``try_cast`` from accepting Java number suffixes ('1d').
     """
     c = as_column(col)
-    value = F.when(c.rlike(_NUMBER), F.trim(c).try_cast("double"))
+    return F.when(c.rlike(_NUMBER), F.trim(c).try_cast("double"))
+
+
+def icd9_range_group(value: str | Column) -> Column:
+    """Clinical group of a numeric code; ``Other`` for null and unlisted codes."""
+    v = as_column(value)
     name, low, high = ICD9_DIABETES
-    grouped = F.when((value >= low) & (value < high), F.lit(name))
+    grouped = F.when((v >= low) & (v < high), F.lit(name))
     for name, low, high in ICD9_RANGES:
-        grouped = grouped.when(value.between(low, high), F.lit(name))
-    return F.when(c.isNull(), F.lit("Missing")).otherwise(
-        F.coalesce(grouped, F.lit("Other")))
+        inside = v == low if low == high else v.between(low, high)
+        grouped = grouped.when(inside, F.lit(name))
+    return grouped.otherwise("Other")
+
+
+def icd9_group(col: str | Column) -> Column:
+    """Clinical group of an ICD-9 code; null is ``Missing``.
+
+    For whole tables ``icd9_groups`` of the operators parses each code only once.
+    """
+    return F.when(as_column(col).isNull(), F.lit("Missing")).otherwise(
+        icd9_range_group(icd9_number(col)))
 
 
 def _band_bound(col: str | Column, group: int) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkrisk.functions import as_column, matches, ordinal, quoted, token_null
+from sparkrisk.functions import (
+    as_column, icd9_number, icd9_range_group, matches, ordinal, quoted, token_null,
+)
 
 
 def null_tokens(df: DataFrame, tokens: Iterable[str], cols: Sequence[str] | None = None,
@@ -17,10 +19,9 @@ def null_tokens(df: DataFrame, tokens: Iterable[str], cols: Sequence[str] | None
     per_column = dict(per_column or {})
     chosen = set(cols) if cols is not None else {
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    return df.select(*[
-        token_null(c, tuple(per_column.get(c, tokens))).alias(c)
-        if c in chosen or c in per_column else as_column(c)
-        for c in df.columns])
+    return df.withColumns({
+        c: token_null(c, tuple(per_column.get(c, tokens)))
+        for c in df.columns if c in chosen or c in per_column})
 
 
 def exclude_codes(df: DataFrame, col: str, codes: Iterable) -> DataFrame:
@@ -39,8 +40,19 @@ def fill_categories(df: DataFrame, fills: Mapping[str, str]) -> DataFrame:
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str], mapping: Mapping[str, int]) -> DataFrame:
     """Replace levels by their ordinal code in all columns at once."""
-    return df.select(*[
-        ordinal(c, mapping).alias(c) if c in cols else as_column(c) for c in df.columns])
+    return df.withColumns({c: ordinal(c, mapping) for c in cols})
+
+
+def icd9_groups(df: DataFrame, cols: Sequence[str], suffix: str = "_group") -> DataFrame:
+    """Add the clinical group of each code column.
+
+    Codes are parsed in a projection of their own; Spark keeps it apart because the
+    number is used many times above it, so every code is parsed once.
+    """
+    parsed = df.withColumns({f"_{c}": icd9_number(c) for c in cols})
+    return parsed.withColumns({
+        f"{c}{suffix}": F.when(as_column(c).isNull(), "Missing").otherwise(
+            icd9_range_group(f"_{c}")) for c in cols}).drop(*[f"_{c}" for c in cols])
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -63,9 +75,7 @@ def collapse_top_k(df: DataFrame, col: str, k: int, other: str,
     marked = df.join(
         F.broadcast(top.select(as_column(col).alias("_top"))),
         as_column(col) == F.col("_top"), "left")
-    return marked.select(*[
-        F.coalesce("_top", F.lit(other)).alias(col) if c == col else df[quoted(c)]
-        for c in df.columns])
+    return marked.withColumn(col, F.coalesce("_top", F.lit(other))).drop("_top")
 
 
 def keep_members(df: DataFrame, col: str, members: DataFrame) -> DataFrame:

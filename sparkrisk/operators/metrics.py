@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column
-from sparkrisk.operators.rank import BUCKETS, bucket_offsets, score_grid, with_bucket
+from sparkrisk.operators.rank import bucket_offsets, score_grid, with_bucket
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -27,7 +27,7 @@ def binary_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
         F.round(_ratio(tp * 2, tp * 2 + fp + fn), 6).alias("f1"))
 
 
-def _cumulative(df: DataFrame, score: str, label: str, buckets: int) -> DataFrame:
+def _cumulative(df: DataFrame, score: str, label: str, buckets: int | None) -> DataFrame:
     """One row per distinct score, highest first: counts and running counts before it.
 
     Rows collapse to distinct scores before the shuffle. Running counts are the total of
@@ -53,7 +53,7 @@ def _cumulative(df: DataFrame, score: str, label: str, buckets: int) -> DataFram
         F.col("_total").alias("n_all"), F.col("_pos_total").alias("pos_all"))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, buckets: int = BUCKETS) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null if a class is missing."""
     steps = _cumulative(df, score, label, buckets)
     neg = (F.col("n") - F.col("pos")).cast("double")
@@ -67,7 +67,7 @@ def roc_auc(df: DataFrame, score: str, label: str, buckets: int = BUCKETS) -> Da
 
 
 def roc_curve(df: DataFrame, score: str, label: str, max_points: int = 100,
-              buckets: int = BUCKETS) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """ROC points from the highest score down, at most ``max_points``.
 
     The rows are cut into ``max_points`` equal slices by rank; the last distinct score

@@ -134,12 +134,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return empty.select("feature", *[F.lit(None).cast("double").alias(f"q{j}")
                                          for j in range(len(probs))])
 
-    below = df.agg(*[F.count_if(as_column(c).cast("double") < low).alias(f"b{i}")
-                     for i, (c, _, low, _, _, _) in enumerate(wanted)])
+    # The wanted ranks k and k + 1 lie in the bracket or are its direct neighbours.
+    below = df.agg(*[
+        f for i, (c, _, low, high, _, _) in enumerate(wanted)
+        for v in [as_column(c).cast("double")]
+        for f in (F.count_if(v < low).alias(f"b{i}"),
+                  F.max(F.when(v < low, v)).alias(f"p{i}"),
+                  F.min(F.when(v > high, v)).alias(f"s{i}"))])
     below = below.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.lit(j).alias("target"),
                  F.lit(k).cast("long").alias("k"), F.lit(frac).alias("frac"),
-                 F.col(f"b{i}").alias("below"))
+                 F.col(f"b{i}").alias("below"), F.col(f"p{i}").alias("previous"),
+                 F.col(f"s{i}").alias("next"))
         for i, (c, j, _, _, k, frac) in enumerate(wanted)])))
 
     hits = F.array_compact(F.array(*[
@@ -160,7 +166,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return F.max(F.when((start < rank) & (rank <= F.col("_upto")), F.col("value")))
 
     both = placed.groupBy("feature", "target").agg(
-        at(F.col("k")).alias("a"), at(F.col("k") + 1).alias("b"), F.first("frac").alias("frac"))
+        at(F.col("k")).alias("a"), at(F.col("k") + 1).alias("b"),
+        *[F.first(c).alias(c) for c in ("k", "frac", "below", "previous", "next")])
+    both = both.withColumns({
+        "a": F.coalesce("a", F.when(F.col("k") == F.col("below"), F.col("previous"))),
+        "b": F.coalesce("b", "next")})
     value = F.when(F.col("frac") == 0, F.col("a")).otherwise(
         F.col("a") + F.col("frac") * (F.col("b") - F.col("a")))
     return both.groupBy("feature").agg(*[

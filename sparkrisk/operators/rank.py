@@ -19,6 +19,7 @@ every row then gets its decile by comparison with them, with no shuffle at all.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column, flag_ge, hash32, rate_pct
 
-BUCKETS = 1024
 NULL_PARTS = 256
 
 
@@ -50,42 +50,61 @@ class Cut:
     id: object
 
 
+def default_buckets(df: DataFrame) -> int:
+    """Four buckets per shuffle partition, so buckets shrink as the cluster is sized up."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(8192, max(128, 4 * partitions))
+
+
+def _array(values, of: str) -> Column:
+    """A constant array built from one text literal (folded by the optimizer)."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{of}>")
+
+
 def _clean_score(score: str) -> Column:
     """The score as a double, NaN taken as null."""
-    value = as_column(score).cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(as_column(score).cast("double"), F.lit(None).cast("double"))
 
 
-def score_grid(df: DataFrame, score: str, buckets: int = BUCKETS) -> Grid:
+def score_grid(df: DataFrame, score: str, buckets: int | None = None) -> Grid:
     """Bounds from approximate quantiles; at most ``buckets`` numbers reach the driver."""
-    probs = [i / buckets for i in range(1, buckets)]
+    buckets = buckets or default_buckets(df)
+    probs = _array([i / buckets for i in range(1, buckets)], "double")
     n, found = df.agg(F.count(F.lit(1)), F.percentile_approx(
-        _clean_score(score), probs, max(10_000, 4 * buckets))).first()
+        _clean_score(score), probs, F.lit(max(10_000, 4 * buckets)))).first()
     counts = Counter(sorted(found or []))
     return Grid(n, tuple(counts), tuple(counts.values()))
 
 
 def with_bucket(df: DataFrame, score: str, id: str | None, grid: Grid) -> DataFrame:
-    """Add ``_score``, ``_bucket`` and ``_part``; ascending (bucket, part) follows the order."""
+    """Add ``_score``, ``_bucket`` and ``_part``; ascending (bucket, part) follows the order.
+
+    Each bound opens a slot for itself alone and one for the values above it, up to the
+    next bound. Both new columns are never null, so joins on them add no null filters.
+    """
     rows = df.withColumn("_score", _clean_score(score))
-    missing = F.col("_score").isNull()
-    digits = F.lit(0) if id is None else hash32(id)
-    if not grid.bounds:
-        place, parts = F.when(missing, 1).otherwise(0), F.when(missing, NULL_PARTS).otherwise(1)
-    else:
-        edges = [float("-inf"), *grid.bounds, float("inf")]
-        rows = Bucketizer(splits=edges, inputCol="_score", outputCol="_slot",
-                          handleInvalid="keep").transform(rows)
-        slot = F.col("_slot").cast("int")
-        inside = ~missing & (slot >= 1)
-        index = F.when(inside, slot).otherwise(1)
-        on_bound = inside & (F.col("_score") == F.element_at(F.lit(list(grid.bounds)), index))
-        place = F.when(missing, 1).when(on_bound, -(slot * 2)).otherwise(-(slot * 2 + 1))
-        parts = (F.when(missing, NULL_PARTS)
-                 .when(on_bound, F.element_at(F.lit(list(grid.parts)), index)).otherwise(1))
+    edges, parts = [float("-inf")], [1]
+    for bound, times in zip(grid.bounds, grid.parts):
+        if edges[-1] == bound:          # the slot above the last bound is empty
+            parts[-1] = times
+        else:
+            edges.append(bound)
+            parts.append(times)
+        above = math.nextafter(bound, math.inf)
+        if math.isfinite(above):
+            edges.append(above)
+            parts.append(1)
+    edges.append(float("inf"))
+    rows = Bucketizer(splits=edges, inputCol="_score", outputCol="_slot",
+                      handleInvalid="keep").transform(rows)
+    slot = F.coalesce(F.col("_slot").cast("int"), F.lit(-1))
+    rows = rows.withColumn("_slot", slot)
+    part = F.lit(0).cast("long")
+    if id is not None:
+        share = F.element_at(_array([NULL_PARTS, *parts], "long"), F.col("_slot") + 2)
+        part = F.when(share > 1, F.shiftright(hash32(id) * share, 32)).otherwise(part)
     return rows.withColumns({
-        "_bucket": place.cast("long"),
-        "_part": F.shiftright(digits.cast("long") * parts.cast("long"), 32).cast("long"),
+        "_bucket": -F.col("_slot"), "_part": F.coalesce(part, F.lit(0).cast("long")),
     }).drop("_slot")
 
 
@@ -116,7 +135,7 @@ def _rank_in_bucket(id: str) -> Column:
 
 
 def global_rank(df: DataFrame, score: str, id: str, out: str = "rank",
-                buckets: int = BUCKETS) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Exact 1-based rank of every row, sorted in parallel."""
     bucketed = with_bucket(df, score, id, score_grid(df, score, buckets))
     placed = bucketed.join(F.broadcast(bucket_offsets(bucketed)), ["_bucket", "_part"])
@@ -138,7 +157,7 @@ TILE_RULES = {"ntile": ntile_ends, "qcut": qcut_ends}
 
 
 def tile_cuts(df: DataFrame, score: str, id: str, tiles: int = 10, rule: str = "ntile",
-              buckets: int = BUCKETS) -> list[Cut]:
+              buckets: int | None = None) -> list[Cut]:
     """The rows at the tile ends: at most ``tiles - 1`` rows reach the driver."""
     rows = df.select(as_column(score).alias("_s"), as_column(id).alias("_id"))
     grid = score_grid(rows, "_s", buckets)
@@ -179,7 +198,7 @@ def tile_of(score: str, id: str, cuts: list[Cut]) -> Column:
 
 
 def assign_tile(df: DataFrame, score: str, id: str, out: str, tiles: int = 10,
-                rule: str = "ntile", buckets: int = BUCKETS) -> DataFrame:
+                rule: str = "ntile", buckets: int | None = None) -> DataFrame:
     """Add the tile number of every row; no row of ``df`` is shuffled."""
     return df.withColumn(out, tile_of(score, id, tile_cuts(df, score, id, tiles, rule, buckets)))
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrisk.functions import (
-    as_column, band_midpoint, binary_label, flag_gt, icd9_group, matches, quoted, rate_pct,
+    as_column, band_midpoint, binary_label, flag_gt, matches, ordinal, quoted, rate_pct,
     row_count_eq, row_sum,
 )
 from sparkrisk.operators.filters import (
-    collapse_top_k, exclude_codes, exclude_value, fill_categories, null_tokens, ordinal_encode,
+    collapse_top_k, exclude_codes, exclude_value, fill_categories, icd9_groups, null_tokens,
     top_values,
 )
 from sparkrisk.spec import CLEAN_SCHEMA, DIAGNOSES, ENCOUNTERS, VISIT_COUNTS, EncounterSpec
@@ -28,17 +28,18 @@ def with_label(df: DataFrame, spec: EncounterSpec = ENCOUNTERS) -> DataFrame:
 
 def diagnosis_groups(df: DataFrame) -> DataFrame:
     """Group the three diagnosis codes; rows without a primary diagnosis go."""
-    grouped = df.withColumns({f"{c}_group": icd9_group(c) for c in DIAGNOSES})
-    return grouped.filter(F.col("diag_1_group") != "Missing").drop(*DIAGNOSES)
+    present = df.filter(F.col("diag_1").isNotNull())
+    return icd9_groups(present, DIAGNOSES).drop(*DIAGNOSES)
 
 
 def medication_features(df: DataFrame, spec: EncounterSpec = ENCOUNTERS) -> DataFrame:
-    coded = ordinal_encode(df, spec.medications, spec.dosage)
-    return coded.withColumns({
-        "num_med_increased": row_count_eq(spec.medications, spec.dosage["Up"]),
-        "num_med_decreased": row_count_eq(spec.medications, spec.dosage["Down"]),
+    """Counts of raised and lowered doses, read from the text levels, then ordinal codes."""
+    return df.withColumns({
+        "num_med_increased": row_count_eq(spec.medications, "Up"),
+        "num_med_decreased": row_count_eq(spec.medications, "Down"),
         "change": binary_label("change", "Ch"),
         "diabetesMed": binary_label("diabetesMed", "Yes"),
+        **{c: ordinal(c, spec.dosage) for c in spec.medications},
     })
 
 
@@ -70,8 +71,7 @@ def clean(raw: DataFrame, spec: EncounterSpec = ENCOUNTERS,
     df = df.withColumn("age_numeric", band_midpoint("age")).drop("age")
     df = medication_features(df, spec)
     df = utilization_features(exclude_value(df, "gender", spec.invalid_gender))
-    return df.select(*[
-        F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in CLEAN_SCHEMA.fields])
+    return df.select(*[quoted(f.name) for f in CLEAN_SCHEMA.fields])
 
 
 def top_lists(raw: DataFrame, spec: EncounterSpec = ENCOUNTERS) -> dict[str, list]:

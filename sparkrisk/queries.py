@@ -141,8 +141,8 @@ def keep_top_specialties(spark, folder):
 
 @query
 def icd9_groups(spark, folder):
-    return known(spark, folder).select(
-        ID, *[icd9_group(c).alias(f"{c}_group") for c in S.DIAGNOSES])
+    grouped = filters.icd9_groups(known(spark, folder).select(ID, *S.DIAGNOSES), S.DIAGNOSES)
+    return grouped.drop(*S.DIAGNOSES)
 
 
 @query

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkrisk.spec import KEPT_MEDICATIONS, RARE_MEDICATIONS, RAW_SCHEMA
 from sparkrisk.functions import decode
+from sparkrisk.spec import KEPT_MEDICATIONS, RARE_MEDICATIONS, RAW_SCHEMA
+from sparkrisk.workspace import spread
 
 PAYERS = {0: "MC", 1: "HM", 2: "SP", 3: "BC", 4: "MD", 5: "CP", 6: "UN"}
 ADMISSION_TYPES = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 5}
@@ -76,7 +77,7 @@ def encounters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").cast("long").alias("quantity"),
     )
     history = _daily_history(orders, read_table(spark, sf_dir, "customer"))
-    rows = orders.join(items, "k", "left").join(history, ["c", "day"])
+    rows = spread(orders.join(items, "k", "left").join(history, ["c", "day"]), orders)
 
     k, c, day = F.col("k"), F.col("c"), F.col("day")
     decade = (c * 7 + 3) % 10
