@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column
-from sparkrisk.operators.rank import bucket_offsets, score_grid, with_bucket
+from sparkrisk.operators.rank import Grid, bucket_offsets, score_grid, with_bucket
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -27,7 +27,8 @@ def binary_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
         F.round(_ratio(tp * 2, tp * 2 + fp + fn), 6).alias("f1"))
 
 
-def _cumulative(df: DataFrame, score: str, label: str, buckets: int | None) -> DataFrame:
+def _cumulative(df: DataFrame, score: str, label: str, buckets: int | None,
+                grid: Grid | None = None) -> DataFrame:
     """One row per distinct score, highest first: counts and running counts before it.
 
     Rows collapse to distinct scores before the shuffle. Running counts are the total of
@@ -38,24 +39,22 @@ def _cumulative(df: DataFrame, score: str, label: str, buckets: int | None) -> D
         F.col("_s").isNotNull() & F.col("_y").isNotNull())
     scores = rows.groupBy("_s").agg(F.sum("_y").alias("pos"),
                                     F.count(F.lit(1)).alias("n"))
-    bucketed = with_bucket(scores, "_s", None, score_grid(rows, "_s", buckets))
-    starts = bucket_offsets(bucketed, F.sum("n")).join(
-        bucket_offsets(bucketed, F.sum("pos")).select(
-            "_bucket", "_part", F.col("_before").alias("_pos_before"),
-            F.col("_total").alias("_pos_total")), ["_bucket", "_part"])
+    bucketed = with_bucket(scores, "_s", None, grid or score_grid(rows, "_s", buckets))
+    starts = bucket_offsets(bucketed, {"rows": "n", "pos": "pos"}).drop("_rows", "_pos")
     placed = bucketed.join(F.broadcast(starts), ["_bucket", "_part"])
     inside = Window.partitionBy("_bucket", "_part").orderBy(F.desc("_s")).rowsBetween(
         Window.unboundedPreceding, 0)
     return placed.select(
         F.col("_s").alias("score"), "n", "pos",
-        (F.col("_before") + F.sum("n").over(inside)).alias("n_upto"),
-        (F.col("_pos_before") + F.sum("pos").over(inside)).alias("pos_upto"),
-        F.col("_total").alias("n_all"), F.col("_pos_total").alias("pos_all"))
+        (F.col("_before_rows") + F.sum("n").over(inside)).alias("n_upto"),
+        (F.col("_before_pos") + F.sum("pos").over(inside)).alias("pos_upto"),
+        F.col("_total_rows").alias("n_all"), F.col("_total_pos").alias("pos_all"))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, buckets: int | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, buckets: int | None = None,
+            grid: Grid | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null if a class is missing."""
-    steps = _cumulative(df, score, label, buckets)
+    steps = _cumulative(df, score, label, buckets, grid)
     neg = (F.col("n") - F.col("pos")).cast("double")
     neg_upto = (F.col("n_upto") - F.col("pos_upto")).cast("double")
     neg_all = (F.col("n_all") - F.col("pos_all")).cast("double")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column
 from sparkrisk.operators.metrics import binary_metrics, roc_auc
-from sparkrisk.operators.rank import top_decile_lift
+from sparkrisk.operators.rank import score_grid, top_decile_lift
 from sparkrisk.spec import ENCOUNTERS, EncounterSpec
 
 FEATURES, WEIGHT = "features", "class_weight"
@@ -159,12 +159,13 @@ def predict(model: PipelineModel, df: DataFrame, spec: EncounterSpec = ENCOUNTER
 def evaluate(scored: DataFrame, name: str, spec: EncounterSpec = ENCOUNTERS) -> DataFrame:
     """One row of metrics: threshold metrics, exact AUC, top-decile lift."""
     named = F.lit(name).alias("model")
+    grid = score_grid(scored, PROBABILITY)
     parts = [
         binary_metrics(scored, spec.label, PREDICTION).select(
             named, *[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")]),
-        roc_auc(scored, PROBABILITY, spec.label).select(
+        roc_auc(scored, PROBABILITY, spec.label, grid=grid).select(
             named, F.round("roc_auc", 4).alias("roc_auc")),
-        top_decile_lift(scored, PROBABILITY, spec.label, spec.id).select(
+        top_decile_lift(scored, PROBABILITY, spec.label, spec.id, grid=grid).select(
             named, "top_decile_readmit_rate_pct", "pct_of_readmissions_captured",
             F.round("lift_vs_random", 2).alias("lift_vs_random")),
     ]

@@ -1,8 +1,8 @@
 """Table profile: all columns in one pass, exact quantiles without collecting values.
 
 ``percentile`` keeps every distinct value of a column in one task. Here approximate
-quantiles only bracket the wanted ranks; one conditional count gives the exact number of
-rows below each bracket, and only values inside the brackets are grouped and ordered.
+quantiles only bracket the wanted ranks; a second pass counts the rows below each bracket
+and groups and orders only the values inside it.
 """
 
 from __future__ import annotations
@@ -92,105 +92,101 @@ def near_zero_variance(df: DataFrame, cols: Sequence[str], threshold: float = 0.
 
 # ------------------------------------------------------------------ quantiles
 
-def _brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int):
-    """Per column: row count and a value range around each wanted rank."""
+def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(place of the column in ``cols``, value) rows, null and NaN left out."""
+    pairs = F.array(*[
+        F.struct(F.lit(i).alias("col"), as_column(c).cast("double").alias("value"))
+        for i, c in enumerate(cols)])
+    rows = df.select(F.inline(pairs))
+    return rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def _quantile_grid(probs: Sequence[float], accuracy: int) -> list[float]:
+    """Two percentages around each wanted one, wider than the approximation error."""
     margin = 2.0 / accuracy
-    grid = [min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)]
-    aggs = []
-    for i, c in enumerate(cols):
-        value = as_column(c).cast("double")
-        aggs += [F.count(value).alias(f"n{i}"), F.min(value).alias(f"lo{i}"),
-                 F.max(value).alias(f"hi{i}"),
-                 F.percentile_approx(value, grid, accuracy).alias(f"q{i}")]
-    row = df.agg(*aggs).first()
-    out = []
-    for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        if not n:
-            continue
+    return [min(1.0, max(0.0, p + step)) for p in probs for step in (-margin, margin)]
+
+
+def _summary(long: DataFrame, probs: Sequence[float], accuracy: int) -> list:
+    """One row per column: moments, ends and approximate quantiles around each target."""
+    v = F.col("value")
+    return long.groupBy("col").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("low"), F.max(v).alias("high"),
+        F.percentile_approx(v, _quantile_grid(probs, accuracy), accuracy).alias("q")).collect()
+
+
+def _select_ranks(long: DataFrame, summary: list, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles as ``(col, q0, q1, ...)``, given a bracket for each.
+
+    Values outside a bracket fall into one group below and one above it, each standing
+    for its value next to the bracket: the wanted ranks are in the bracket or are these
+    neighbours. One row per (quantile, distinct value in the bracket) is ordered.
+    """
+    spark, brackets, ranks = long.sparkSession, [], []
+    for r in summary:
         for j, p in enumerate(probs):
-            low, high = row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]
-            low = row[f"lo{i}"] if p <= margin else low
-            high = row[f"hi{i}"] if p >= 1 - margin else high
-            place = (n - 1) * p
+            place = (r["n"] - 1) * p
             first = math.floor(place)
-            out.append((c, j, float(low), float(high), first + 1, place - first))
-    return out
+            low = r["low"] if p == 0.0 else r["q"][2 * j]
+            high = r["high"] if p == 1.0 else r["q"][2 * j + 1]
+            target = r["col"] * len(probs) + j
+            brackets.append((r["col"], target, low, high))
+            ranks.append((target, r["col"], j, first + 1, place - first))
+    bounds = spark.createDataFrame(brackets, "col int, target int, low double, high double")
+    wanted = spark.createDataFrame(ranks, "target int, col int, j int, k long, frac double")
+
+    v, side = F.col("value"), F.col("side")
+    sided = long.join(F.broadcast(bounds), "col").select(
+        "target", "value",
+        F.when(v < F.col("low"), -1).when(v > F.col("high"), 1).otherwise(0).alias("side"))
+    groups = sided.groupBy("target", "side", F.when(side == 0, v).alias("inside")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
+    order = Window.partitionBy("target").orderBy("side", "inside")
+    placed = groups.select(
+        "target", "n", F.when(side == 1, F.col("least")).otherwise(F.col("most")).alias("value"),
+        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    start = F.col("upto") - F.col("n")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((start < rank) & (rank <= F.col("upto")), F.col("value")))
+
+    both = placed.join(F.broadcast(wanted), "target").groupBy("col", "j", "frac").agg(
+        at(F.col("k")).alias("a"), at(F.col("k") + 1).alias("b"))
+    value = F.when(F.col("frac") == 0, F.col("a")).otherwise(
+        F.col("a") + F.col("frac") * (F.col("b") - F.col("a")))
+    return both.groupBy("col").agg(*[
+        F.max(F.when(F.col("j") == j, value)).alias(f"q{j}") for j in range(len(probs))])
+
+
+def _name(cols: Sequence[str]) -> Column:
+    return F.element_at(F.lit(list(cols)), F.col("col") + 1).alias("feature")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     accuracy: int = ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles as ``(feature, q0, q1, ...)``.
 
-    Two passes over the data for all columns and probabilities together, plus a window
-    over the values inside the brackets (about ``4 / accuracy`` of the rows at most,
-    one row per distinct value).
+    Two passes over the data for all columns and probabilities together; what is ordered
+    is at most about ``4 / accuracy`` of the rows per quantile, one row per distinct value.
     """
-    spark = df.sparkSession
-    wanted = _brackets(df, cols, probs, accuracy)
-    schema = "feature string, target int, low double, high double, k long, frac double"
-    if not wanted:
-        empty = spark.createDataFrame([], "feature string")
-        return empty.select("feature", *[F.lit(None).cast("double").alias(f"q{j}")
-                                         for j in range(len(probs))])
-
-    # The wanted ranks k and k + 1 lie in the bracket or are its direct neighbours.
-    below = df.agg(*[
-        f for i, (c, _, low, high, _, _) in enumerate(wanted)
-        for v in [as_column(c).cast("double")]
-        for f in (F.count_if(v < low).alias(f"b{i}"),
-                  F.max(F.when(v < low, v)).alias(f"p{i}"),
-                  F.min(F.when(v > high, v)).alias(f"s{i}"))])
-    below = below.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(j).alias("target"),
-                 F.lit(k).cast("long").alias("k"), F.lit(frac).alias("frac"),
-                 F.col(f"b{i}").alias("below"), F.col(f"p{i}").alias("previous"),
-                 F.col(f"s{i}").alias("next"))
-        for i, (c, j, _, _, k, frac) in enumerate(wanted)])))
-
-    hits = F.array_compact(F.array(*[
-        F.when(as_column(c).cast("double").between(low, high),
-               F.struct(F.lit(c).alias("feature"), F.lit(j).alias("target"),
-                        as_column(c).cast("double").alias("value")))
-        for c, j, low, high, _, _ in wanted]))
-    near = df.select(F.inline(hits)).groupBy("feature", "target", "value").agg(
-        F.count(F.lit(1)).alias("_n"))
-    placed = near.join(F.broadcast(below), ["feature", "target"])
-    ordered = Window.partitionBy("feature", "target").orderBy("value")
-    upto = F.col("below") + F.sum("_n").over(
-        ordered.rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("_upto", upto)
-    start = F.col("_upto") - F.col("_n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start < rank) & (rank <= F.col("_upto")), F.col("value")))
-
-    both = placed.groupBy("feature", "target").agg(
-        at(F.col("k")).alias("a"), at(F.col("k") + 1).alias("b"),
-        *[F.first(c).alias(c) for c in ("k", "frac", "below", "previous", "next")])
-    both = both.withColumns({
-        "a": F.coalesce("a", F.when(F.col("k") == F.col("below"), F.col("previous"))),
-        "b": F.coalesce("b", "next")})
-    value = F.when(F.col("frac") == 0, F.col("a")).otherwise(
-        F.col("a") + F.col("frac") * (F.col("b") - F.col("a")))
-    return both.groupBy("feature").agg(*[
-        F.max(F.when(F.col("target") == j, value)).alias(f"q{j}") for j in range(len(probs))])
+    long = long_values(df, cols)
+    found = _select_ranks(long, _summary(long, probs, accuracy), probs)
+    return found.select(_name(cols), *[f"q{j}" for j in range(len(probs))])
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
     """Count, mean, standard deviation (n - 1), minimum, quartiles and maximum."""
-    aggs = []
-    for i, c in enumerate(cols):
-        v = as_column(c).cast("double")
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"),
-                 F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"),
-                 F.max(v).alias(f"max{i}")]
-    basic = _long(df.agg(*aggs), cols, **{
-        name: (lambda i, s=source: F.col(f"{s}{i}")) for name, source in
-        (("count", "n"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("max", "max"))})
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy)
-    return basic.join(F.broadcast(quartiles), "feature", "left").select(
-        "feature", "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+    probs = [0.25, 0.5, 0.75]
+    long = long_values(df, cols)
+    summary = _summary(long, probs, accuracy)
+    seen = {r["col"]: r for r in summary}
+    rows = [(i, *((seen[i]["n"], seen[i]["mean"], seen[i]["std"], seen[i]["low"], seen[i]["high"])
+                  if i in seen else (0, None, None, None, None))) for i in range(len(cols))]
+    basic = df.sparkSession.createDataFrame(
+        rows, "col int, count long, mean double, std double, min double, max double")
+    return basic.join(_select_ranks(long, summary, probs), "col", "left").select(
+        _name(cols), "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
         "min", F.round("q0", 6).alias("p25"), F.round("q1", 6).alias("p50"),
         F.round("q2", 6).alias("p75"), "max")
 
@@ -272,14 +268,23 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
 # ---------------------------------------------------------------- correlation
 
 def corr_matrix(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, upper triangle, one aggregate."""
+    """Pearson correlation of every pair of columns, upper triangle, one aggregate.
+
+    One row per pair is built and aggregated in place: a single aggregate over dozens of
+    pairs side by side generates code too long for the JVM to compile.
+    """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(as_column(a).cast("double"), as_column(b).cast("double")).alias(f"r{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                 F.round(f"r{i}", 6).alias("r")) for i, (a, b) in enumerate(pairs)])))
+    rows = df.select(*[as_column(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    at = {c: F.col(f"_{i}") for i, c in enumerate(cols)}
+    both = rows.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pair"), at[a].alias("x"), at[b].alias("y"))
+        for i, (a, b) in enumerate(pairs)])))
+    grouped = both.groupBy("pair").agg(F.round(F.corr("x", "y"), 6).alias("r"))
+    names = [[p[side] for p in pairs] for side in (0, 1)]
+    return grouped.select(
+        *[F.element_at(F.lit(n), F.col("pair") + 1).alias(f"feature_{s}")
+          for n, s in zip(names, "ab")], "r")
 
 
 def corr_with(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:

@@ -108,20 +108,23 @@ def with_bucket(df: DataFrame, score: str, id: str | None, grid: Grid) -> DataFr
     }).drop("_slot")
 
 
-def bucket_offsets(bucketed: DataFrame, counted: Column | None = None) -> DataFrame:
-    """One row per bucket part: rows in it, rows before it, rows in all.
+def bucket_offsets(bucketed: DataFrame, sums: dict[str, str] | None = None) -> DataFrame:
+    """One row per bucket part: rows in it (``_n``), rows before it, rows in all.
 
-    The window runs over the bucket counts only, whose number is bounded by the grid.
+    ``sums`` replaces the row count by sums of columns, as ``{suffix: column}``. The
+    window runs over the bucket counts only, whose number is bounded by the grid.
     """
-    n = F.count(F.lit(1)) if counted is None else counted
-    counts = bucketed.groupBy("_bucket", "_part").agg(n.alias("_n"))
+    aggs = {f"_{s}": F.sum(c) for s, c in sums.items()} if sums else {"_n": F.count(F.lit(1))}
+    counts = bucketed.groupBy("_bucket", "_part").agg(*[c.alias(a) for a, c in aggs.items()])
     order = Window.orderBy("_bucket", "_part")
-    return counts.select(
-        "_bucket", "_part", "_n",
-        (F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .alias("_before"),
-        F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        .alias("_total"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = ["_bucket", "_part", *aggs]
+    for a in aggs:
+        end = "" if a == "_n" else a
+        out += [(F.sum(a).over(upto) - F.col(a)).alias(f"_before{end}"),
+                F.sum(a).over(every).alias(f"_total{end}")]
+    return counts.select(*out)
 
 
 def _digest(id: str) -> Column:
@@ -157,14 +160,16 @@ TILE_RULES = {"ntile": ntile_ends, "qcut": qcut_ends}
 
 
 def tile_cuts(df: DataFrame, score: str, id: str, tiles: int = 10, rule: str = "ntile",
-              buckets: int | None = None) -> list[Cut]:
-    """The rows at the tile ends: at most ``tiles - 1`` rows reach the driver."""
+              buckets: int | None = None, first: int | None = None,
+              grid: Grid | None = None) -> list[Cut]:
+    """The rows at the tile ends (or the ``first`` few): at most ``tiles - 1`` rows
+    reach the driver. ``grid`` may be given if it is known already."""
     rows = df.select(as_column(score).alias("_s"), as_column(id).alias("_id"))
-    grid = score_grid(rows, "_s", buckets)
+    grid = grid or score_grid(rows, "_s", buckets)
     if grid.rows == 0:
         return []
     bucketed = with_bucket(rows, "_s", "_id", grid)
-    ends = TILE_RULES[rule](grid.rows, tiles)
+    ends = TILE_RULES[rule](grid.rows, tiles)[:first]
     holds_end = F.exists(F.lit(ends), lambda e: (e > F.col("_before"))
                          & (e <= F.col("_before") + F.col("_n")))
     needed = bucket_offsets(bucketed).filter(holds_end)
@@ -258,10 +263,11 @@ def lift_of(df: DataFrame, in_top: Column, label: str) -> DataFrame:
         F.round(_lift(), 6).alias("lift_vs_random"))
 
 
-def top_decile_lift(df: DataFrame, score: str, label: str, id: str, tiles: int = 10) -> DataFrame:
+def top_decile_lift(df: DataFrame, score: str, label: str, id: str, tiles: int = 10,
+                    grid: Grid | None = None) -> DataFrame:
     """Rate, capture and lift of the first quantile tile of the score."""
-    cuts = tile_cuts(df, score, id, tiles, "qcut")
-    return lift_of(df, tile_of(score, id, cuts[:1]) == 1, label)
+    cuts = tile_cuts(df, score, id, tiles, "qcut", first=1, grid=grid)
+    return lift_of(df, tile_of(score, id, cuts) == 1, label)
 
 
 def rule_flag_lift(df: DataFrame, col: str, threshold: int, label: str) -> DataFrame:

@@ -22,7 +22,7 @@ from sparkrisk.plans.cleaning import (
 from sparkrisk.plans.pipeline import ModelRun, run_models
 from sparkrisk.sources.lookups import lookup
 from sparkrisk.sources.star import encounters_raw, read_table
-from sparkrisk.workspace import run_dir, staged
+from sparkrisk.workspace import run_dir, spread, staged
 
 LABEL, ID, PATIENT = "readmitted_30d", "encounter_id", "patient_nbr"
 SPECIALTY_MIN, SOURCE_MIN, SEGMENT_MIN, RELIABLE_MIN = 185, 590, 300, 200
@@ -79,6 +79,12 @@ def model_run(spark: SparkSession, folder: str) -> ModelRun:
     return _MODELS[key]
 
 
+def columns_of(spark: SparkSession, folder: str, table: str, cols: list[str]) -> DataFrame:
+    """Some columns of a given table, over all cores even if the table is a single file."""
+    rows = read_table(spark, folder, table).select(*cols)
+    return spread(rows, rows)
+
+
 # -------------------------------------------------------------- cleaning steps
 
 @query
@@ -475,22 +481,23 @@ def near_zero_variance(spark, folder):
 
 @query
 def describe_lineitem(spark, folder):
-    return profile.describe_numeric(read_table(spark, folder, "lineitem"), PRICE_COLUMNS)
+    return profile.describe_numeric(columns_of(spark, folder, "lineitem", PRICE_COLUMNS), PRICE_COLUMNS)
 
 
 @query
 def iqr_lineitem(spark, folder):
-    return profile.iqr_outliers(read_table(spark, folder, "lineitem"), PRICE_COLUMNS)
+    return profile.iqr_outliers(columns_of(spark, folder, "lineitem", PRICE_COLUMNS), PRICE_COLUMNS)
 
 
 @query
 def histogram_lineitem(spark, folder):
-    return profile.histogram(read_table(spark, folder, "lineitem"), ["l_quantity"], 10)
+    return profile.histogram(columns_of(spark, folder, "lineitem", ["l_quantity"]),
+                             ["l_quantity"], 10)
 
 
 @query
 def corr_lineitem(spark, folder):
-    return profile.corr_matrix(read_table(spark, folder, "lineitem"), PRICE_COLUMNS)
+    return profile.corr_matrix(columns_of(spark, folder, "lineitem", PRICE_COLUMNS), PRICE_COLUMNS)
 
 
 @query
