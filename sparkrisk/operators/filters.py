@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkrisk.functions import (
-    as_column, icd9_number, icd9_range_group, matches, ordinal, quoted, token_null,
+    as_column, icd9_number, icd9_range_group, ordinal, quoted, token_null,
 )
 
 
@@ -25,13 +25,15 @@ def null_tokens(df: DataFrame, tokens: Iterable[str], cols: Sequence[str] | None
 
 
 def exclude_codes(df: DataFrame, col: str, codes: Iterable) -> DataFrame:
-    """Drop rows whose code is listed; rows with a null code stay."""
-    return df.filter(~matches(as_column(col).isin(*codes)))
+    """Drop rows whose code is listed; rows with a null code stay. Pushed to the scan."""
+    c = as_column(col)
+    return df.filter(c.isNull() | ~c.isin(*codes))
 
 
 def exclude_value(df: DataFrame, col: str, value) -> DataFrame:
     """Drop rows equal to ``value``; null stays."""
-    return df.filter(~as_column(col).eqNullSafe(F.lit(value)))
+    c = as_column(col)
+    return df.filter(c.isNull() | (c != F.lit(value)))
 
 
 def fill_categories(df: DataFrame, fills: Mapping[str, str]) -> DataFrame:

@@ -92,13 +92,9 @@ def near_zero_variance(df: DataFrame, cols: Sequence[str], threshold: float = 0.
 
 # ------------------------------------------------------------------ quantiles
 
-def long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(place of the column in ``cols``, value) rows, null and NaN left out."""
-    pairs = F.array(*[
-        F.struct(F.lit(i).alias("col"), as_column(c).cast("double").alias("value"))
-        for i, c in enumerate(cols)])
-    rows = df.select(F.inline(pairs))
-    return rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+def _number(col: str) -> Column:
+    """The column as a double, NaN taken as null."""
+    return F.nanvl(as_column(col).cast("double"), F.lit(None).cast("double"))
 
 
 def _quantile_grid(probs: Sequence[float], accuracy: int) -> list[float]:
@@ -107,52 +103,78 @@ def _quantile_grid(probs: Sequence[float], accuracy: int) -> list[float]:
     return [min(1.0, max(0.0, p + step)) for p in probs for step in (-margin, margin)]
 
 
-def _summary(long: DataFrame, probs: Sequence[float], accuracy: int) -> list:
-    """One row per column: moments, ends and approximate quantiles around each target."""
-    v = F.col("value")
-    return long.groupBy("col").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("low"), F.max(v).alias("high"),
-        F.percentile_approx(v, _quantile_grid(probs, accuracy), accuracy).alias("q")).collect()
+def _summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+             accuracy: int) -> list[dict]:
+    """Per column: count, moments, ends and approximate quantiles around each target."""
+    grid = _quantile_grid(probs, accuracy)
+    rows = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = {
+        "n": F.count, "mean": F.avg, "std": F.stddev_samp, "low": F.min, "high": F.max,
+        "q": lambda v: F.percentile_approx(v, grid, accuracy),
+    }
+    one = rows.agg(*[f(F.col(f"c{i}")).alias(f"{name}{i}")
+                     for i in range(len(cols)) for name, f in parts.items()]).first()
+    return [{name: one[f"{name}{i}"] for name in parts} for i in range(len(cols))]
+
+
+def _brackets(r: dict, probs: Sequence[float]) -> list[tuple[float, float]]:
+    """Disjoint ascending value ranges that hold the wanted ranks or border on them."""
+    out: list[tuple[float, float]] = []
+    for j, p in sorted(enumerate(probs), key=lambda jp: jp[1]):
+        low = r["low"] if p == 0.0 else r["q"][2 * j]
+        high = r["high"] if p == 1.0 else r["q"][2 * j + 1]
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
 
 
-def _select_ranks(long: DataFrame, summary: list, probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles as ``(col, q0, q1, ...)``, given a bracket for each.
+def _select_ranks(df: DataFrame, cols: Sequence[str], summary: list[dict],
+                  probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles as ``(col, q0, q1, ...)``.
 
-    Values outside a bracket fall into one group below and one above it, each standing
-    for its value next to the bracket: the wanted ranks are in the bracket or are these
-    neighbours. One row per (quantile, distinct value in the bracket) is ordered.
+    The brackets cut the values of a column into intervals: even numbers are the gaps
+    between brackets, odd numbers the brackets. A gap becomes one group, a bracket one
+    group per distinct value; running counts over these groups give the ranks. A wanted
+    rank is inside a bracket or the first or last value of a gap.
     """
-    spark, brackets, ranks = long.sparkSession, [], []
-    for r in summary:
+    values, wanted = [], []
+    for i, r in enumerate(summary):
+        if not r["n"]:
+            continue
+        v = _number(cols[i])
+        brackets = _brackets(r, probs)
+        place = F.when(v.isNull(), F.lit(None))
+        for m, (low, high) in enumerate(brackets):
+            place = place.when(v < F.lit(low), 2 * m).when(v <= F.lit(high), 2 * m + 1)
+        place = place.otherwise(2 * len(brackets))
+        values.append(F.struct(F.lit(i).alias("col"), place.alias("place"), v.alias("value")))
         for j, p in enumerate(probs):
-            place = (r["n"] - 1) * p
-            first = math.floor(place)
-            low = r["low"] if p == 0.0 else r["q"][2 * j]
-            high = r["high"] if p == 1.0 else r["q"][2 * j + 1]
-            target = r["col"] * len(probs) + j
-            brackets.append((r["col"], target, low, high))
-            ranks.append((target, r["col"], j, first + 1, place - first))
-    bounds = spark.createDataFrame(brackets, "col int, target int, low double, high double")
-    wanted = spark.createDataFrame(ranks, "target int, col int, j int, k long, frac double")
-
-    v, side = F.col("value"), F.col("side")
-    sided = long.join(F.broadcast(bounds), "col").select(
-        "target", "value",
-        F.when(v < F.col("low"), -1).when(v > F.col("high"), 1).otherwise(0).alias("side"))
-    groups = sided.groupBy("target", "side", F.when(side == 0, v).alias("inside")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"))
-    order = Window.partitionBy("target").orderBy("side", "inside")
-    placed = groups.select(
-        "target", "n", F.when(side == 1, F.col("least")).otherwise(F.col("most")).alias("value"),
-        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    start = F.col("upto") - F.col("n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start < rank) & (rank <= F.col("upto")), F.col("value")))
-
-    both = placed.join(F.broadcast(wanted), "target").groupBy("col", "j", "frac").agg(
-        at(F.col("k")).alias("a"), at(F.col("k") + 1).alias("b"))
+            at = (r["n"] - 1) * p
+            wanted.append((i, j, math.floor(at) + 1, at - math.floor(at)))
+    targets = df.sparkSession.createDataFrame(wanted, "col int, j int, k long, frac double")
+    if not values:
+        return targets.groupBy("col").agg(*[
+            F.max(F.lit(None).cast("double")).alias(f"q{j}") for j in range(len(probs))])
+
+    bracket = F.col("place") % 2 == 1
+    rows = df.select(F.inline(F.array(*values))).filter(F.col("place").isNotNull())
+    groups = rows.groupBy("col", "place", F.when(bracket, F.col("value")).alias("inside")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    order = Window.partitionBy("col").orderBy("place", "inside")
+    ranked = groups.withColumn("upto", F.sum("n").over(
+        order.rowsBetween(Window.unboundedPreceding, 0)))
+    start, upto = F.col("upto") - F.col("n"), F.col("upto")
+
+    def at_rank(rank: Column) -> Column:
+        held = F.when(bracket | (rank == upto), F.col("most")).when(
+            rank == start + 1, F.col("least"))
+        return F.max(F.when((start < rank) & (rank <= upto), held))
+
+    near = ranked.join(F.broadcast(targets), "col")
+    both = near.groupBy("col", "j", "frac").agg(
+        at_rank(F.col("k")).alias("a"), at_rank(F.col("k") + 1).alias("b"))
     value = F.when(F.col("frac") == 0, F.col("a")).otherwise(
         F.col("a") + F.col("frac") * (F.col("b") - F.col("a")))
     return both.groupBy("col").agg(*[
@@ -170,22 +192,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     Two passes over the data for all columns and probabilities together; what is ordered
     is at most about ``4 / accuracy`` of the rows per quantile, one row per distinct value.
     """
-    long = long_values(df, cols)
-    found = _select_ranks(long, _summary(long, probs, accuracy), probs)
+    found = _select_ranks(df, cols, _summary(df, cols, probs, accuracy), probs)
     return found.select(_name(cols), *[f"q{j}" for j in range(len(probs))])
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
     """Count, mean, standard deviation (n - 1), minimum, quartiles and maximum."""
     probs = [0.25, 0.5, 0.75]
-    long = long_values(df, cols)
-    summary = _summary(long, probs, accuracy)
-    seen = {r["col"]: r for r in summary}
-    rows = [(i, *((seen[i]["n"], seen[i]["mean"], seen[i]["std"], seen[i]["low"], seen[i]["high"])
-                  if i in seen else (0, None, None, None, None))) for i in range(len(cols))]
+    summary = _summary(df, cols, probs, accuracy)
+    rows = [(i, r["n"], r["mean"], r["std"], r["low"], r["high"]) for i, r in enumerate(summary)]
     basic = df.sparkSession.createDataFrame(
         rows, "col int, count long, mean double, std double, min double, max double")
-    return basic.join(_select_ranks(long, summary, probs), "col", "left").select(
+    return basic.join(_select_ranks(df, cols, summary, probs), "col", "left").select(
         _name(cols), "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
         "min", F.round("q0", 6).alias("p25"), F.round("q1", 6).alias("p50"),
         F.round("q2", 6).alias("p75"), "max")
