@@ -20,7 +20,7 @@ from sparkrisk.operators.metrics import binary_metrics, roc_auc
 from sparkrisk.operators.rank import score_grid, top_decile_lift
 from sparkrisk.spec import ENCOUNTERS, EncounterSpec
 
-FEATURES, WEIGHT = "features", "class_weight"
+FEATURES, SCALED, WEIGHT = "features", "features_scaled", "class_weight"
 PROBABILITY, PREDICTION = "probability_positive", "prediction"
 
 
@@ -31,16 +31,20 @@ class ModelConfig:
     weighting: str  # "balanced" or "positive"
 
 
-def class_weights(df: DataFrame, label: str, mode: str) -> dict[int, float]:
-    """Weight of each class: n / (2 n_c), or neg / pos for positives and 1 for the rest."""
+def _weights(df: DataFrame, label: str) -> tuple[dict[int, float], dict[int, float]]:
     row = df.agg(F.count_if(as_column(label) == 1).alias("p"),
                  F.count_if(as_column(label) == 0).alias("q")).first()
     pos, neg = row["p"], row["q"]
     if not pos or not neg:
         raise ValueError("both classes must be present to weight them")
-    if mode == "balanced":
-        return {0: (pos + neg) / (2 * neg), 1: (pos + neg) / (2 * pos)}
-    return {0: 1.0, 1: neg / pos}
+    n = pos + neg
+    return {0: n / (2 * neg), 1: n / (2 * pos)}, {0: 1.0, 1: neg / pos}
+
+
+def class_weights(df: DataFrame, label: str, mode: str) -> dict[int, float]:
+    """Weight of each class: n / (2 n_c), or neg / pos for positives and 1 for the rest."""
+    balanced, positive = _weights(df, label)
+    return balanced if mode == "balanced" else positive
 
 
 def add_class_weight(df: DataFrame, label: str, mode: str = "balanced",
@@ -97,29 +101,67 @@ def model_input(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         *[as_column(c).cast("string").alias(f"cat_{_plain(c)}") for c in categorical])
 
 
-def preprocessor(numeric: Sequence[str], categorical: Sequence[str], scaled: bool) -> list:
-    """Numeric block, then one column per known category; an unknown one is all zeros.
+@dataclass(frozen=True)
+class Encoder:
+    """Fitted preprocessing: numeric block, then one column per known category.
+
+    ``plain`` leaves numbers as they are (trees), ``scaled`` standardises them (linear
+    models); both share the same category columns.
+    """
+
+    plain: tuple
+    scaled: tuple
+
+    def stages(self, scaled: bool) -> list:
+        return list(self.scaled if scaled else self.plain)
+
+
+def fit_encoder(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Encoder:
+    """Fit on the output of :func:`model_input` of training rows.
 
-    The indexer keeps unknown and null as an extra index; the encoder drops the last
-    index, which is exactly that one, so every known category has its column.
+    The indexer keeps unknown and null as an extra index; the one-hot encoder drops the
+    last index, which is exactly that one, so every known category has its column and an
+    unknown one is all zeros.
     """
     nums = [f"num_{_plain(c)}" for c in numeric]
     cats = [f"cat_{_plain(c)}" for c in categorical]
-    stages: list = [VectorAssembler(inputCols=nums, outputCol="num_block")]
-    block = "num_block"
-    if scaled:
-        stages.append(StandardScaler(inputCol=block, outputCol="num_scaled",
-                                     withMean=True, withStd=True))
-        block = "num_scaled"
+    block = VectorAssembler(inputCols=nums, outputCol="num_block")
+    category_stages: list = []
     if cats:
-        stages += [
+        category_stages = [
             StringIndexer(inputCols=cats, outputCols=[f"{c}_i" for c in cats],
                           handleInvalid="keep", stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=[f"{c}_i" for c in cats],
                           outputCols=[f"{c}_v" for c in cats], dropLast=True)]
-    stages.append(VectorAssembler(inputCols=[block] + [f"{c}_v" for c in cats],
-                                  outputCol=FEATURES))
-    return stages
+    fitted = Pipeline(stages=[block, StandardScaler(
+        inputCol="num_block", outputCol="num_scaled", withMean=True, withStd=True),
+        *category_stages]).fit(rows).stages
+    vectors = [f"{c}_v" for c in cats]
+    plain = VectorAssembler(inputCols=["num_block", *vectors], outputCol=FEATURES)
+    scaled = VectorAssembler(inputCols=["num_scaled", *vectors], outputCol=SCALED)
+    return Encoder((fitted[0], *fitted[2:], plain), (*fitted, scaled))
+
+
+def encode_training(train: DataFrame, spec: EncounterSpec = ENCOUNTERS,
+                    include_fairness: bool = False) -> tuple[Encoder, DataFrame]:
+    """Encoder and encoded training rows: label, both class weights, both feature vectors.
+
+    Several classifiers read the result many times each, so encode once and stage it.
+    """
+    numeric, categorical = spec.features(include_fairness)
+    rows = model_input(train, numeric, categorical, [spec.label])
+    encoder = fit_encoder(rows, numeric, categorical)
+    both = PipelineModel([*encoder.plain, encoder.scaled[1], encoder.scaled[-1]]).transform(rows)
+    y = as_column(spec.label)
+    balanced, positive = _weights(train, spec.label)
+    return encoder, both.select(
+        y.cast("double").alias(spec.label), FEATURES, SCALED,
+        F.when(y == 1, balanced[1]).otherwise(balanced[0]).alias(_weight_column("balanced")),
+        F.when(y == 1, positive[1]).otherwise(positive[0]).alias(_weight_column("positive")))
+
+
+def _weight_column(mode: str) -> str:
+    return f"weight_{mode}"
 
 
 def feature_names(model: PipelineModel, numeric: Sequence[str],
@@ -133,16 +175,19 @@ def feature_names(model: PipelineModel, numeric: Sequence[str],
     return names
 
 
+def fit_encoded(encoder: Encoder, encoded: DataFrame, config: ModelConfig,
+                spec: EncounterSpec = ENCOUNTERS) -> PipelineModel:
+    """Fit a classifier on encoded rows; the result starts from unencoded ones."""
+    estimator = config.estimator.copy().setParams(
+        featuresCol=SCALED if config.scaled else FEATURES, labelCol=spec.label,
+        weightCol=_weight_column(config.weighting))
+    return PipelineModel([*encoder.stages(config.scaled), estimator.fit(encoded)])
+
+
 def fit_model(train: DataFrame, config: ModelConfig, spec: EncounterSpec = ENCOUNTERS,
               include_fairness: bool = False) -> PipelineModel:
     """Fit preprocessing and classifier on training rows only."""
-    numeric, categorical = spec.features(include_fairness)
-    rows = model_input(add_class_weight(train, spec.label, config.weighting), numeric,
-                       categorical, [spec.label, WEIGHT])
-    estimator = config.estimator.copy().setParams(
-        featuresCol=FEATURES, labelCol=spec.label, weightCol=WEIGHT)
-    stages = preprocessor(numeric, categorical, config.scaled)
-    return Pipeline(stages=[*stages, estimator]).fit(rows)
+    return fit_encoded(*encode_training(train, spec, include_fairness), config, spec)
 
 
 def predict(model: PipelineModel, df: DataFrame, spec: EncounterSpec = ENCOUNTERS,

@@ -37,9 +37,11 @@ def compare_models(train: DataFrame, test: DataFrame, configs: dict[str, models.
                    spec: EncounterSpec = ENCOUNTERS, include_fairness: bool = False
                    ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit every configuration, one row of test metrics each."""
+    encoder, encoded = models.encode_training(train, spec, include_fairness)
+    encoded = fresh(train.sparkSession, "encoded", encoded)
     fitted, rows = {}, []
     for name, config in configs.items():
-        fitted[name] = models.fit_model(train, config, spec, include_fairness)
+        fitted[name] = models.fit_encoded(encoder, encoded, config, spec)
         scored = fresh(test.sparkSession, "predictions", models.predict(
             fitted[name], test, spec, include_fairness))
         rows.append(models.evaluate(scored, name, spec))
