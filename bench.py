@@ -44,6 +44,8 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "7g"))
+        # call sites in error messages cost several round trips per expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # a generated method longer than this is not compiled by the JVM: split it instead
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate())

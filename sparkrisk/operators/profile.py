@@ -30,8 +30,9 @@ def null_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Null count and percent of every column that has any, most nulls first."""
     cols = list(cols or df.columns)
     one = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(as_column(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
-    out = _long(one, cols, missing_count=lambda i: F.col(f"_m{i}"), _n=lambda i: F.col("_n"))
+                 *[F.count(as_column(c)).alias(f"_c{i}") for i, c in enumerate(cols)])
+    out = _long(one, cols, missing_count=lambda i: F.col("_n") - F.col(f"_c{i}"),
+                _n=lambda i: F.col("_n"))
     return (
         out.filter(F.col("missing_count") > 0)
         .select("feature", "missing_count", rate_pct("missing_count", "_n").alias("missing_pct"))
@@ -177,8 +178,11 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], summary: list[dict],
         at_rank(F.col("k")).alias("a"), at_rank(F.col("k") + 1).alias("b"))
     value = F.when(F.col("frac") == 0, F.col("a")).otherwise(
         F.col("a") + F.col("frac") * (F.col("b") - F.col("a")))
-    return both.groupBy("col").agg(*[
-        F.max(F.when(F.col("j") == j, value)).alias(f"q{j}") for j in range(len(probs))])
+    missed = F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double")
+    found = both.select("col", "j", F.coalesce(value, missed).alias("value"))
+    return found.groupBy("col").agg(*[
+        F.max(F.when(F.col("j") == j, F.col("value"))).alias(f"q{j}")
+        for j in range(len(probs))])
 
 
 def _name(cols: Sequence[str]) -> Column:

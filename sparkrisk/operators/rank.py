@@ -85,6 +85,8 @@ def with_bucket(df: DataFrame, score: str, id: str | None, grid: Grid) -> DataFr
     rows = df.withColumn("_score", _clean_score(score))
     edges, parts = [float("-inf")], [1]
     for bound, times in zip(grid.bounds, grid.parts):
+        if bound == math.inf:           # stays in the slot above the bound before
+            continue
         if edges[-1] == bound:          # the slot above the last bound is empty
             parts[-1] = times
         else:

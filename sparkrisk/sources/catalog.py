@@ -19,6 +19,11 @@ def register(spark: SparkSession, tables: Mapping[str, DataFrame], save: bool =
             df.createOrReplaceTempView(name)
 
 
+def star_tables(encounters: DataFrame, dims: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The fact table and its dimensions under the names SQL scripts use."""
+    return {"encounters": encounters, **{f"lookup_{n}": d for n, d in dims.items()}}
+
+
 @dataclass(frozen=True)
 class StatementResult:
     file: str

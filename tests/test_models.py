@@ -11,11 +11,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparkrisk import spec as S
-from sparkrisk.operators import explain, metrics, models, rank, serve
+from sparkrisk.operators import explain, metrics, models, profile, rank, serve
 from sparkrisk.operators import split as splits
 from sparkrisk.plans.cleaning import clean, cleaning_audit, top_lists
+from sparkrisk.plans.export import export_dashboard
 from sparkrisk.plans.pipeline import run_models
 from sparkrisk.sources import readers, sinks
+from sparkrisk.sources.lookups import lookups
 from sparkrisk.sources.star import encounters_raw
 from sparkrisk.streaming.scoring import score_new, start_scoring
 from sparkrisk.workspace import fresh
@@ -168,8 +170,7 @@ def test_path_attribution_equals_brute_force():
 def test_reliable_features(spark, table):
     often = {r[0] for r in explain.reliable_features(
         table, ["age_numeric"], ["gender", "diag_1_group"], 150).collect()}
-    counts = {r["name"]: r["n"] for r in __import__(
-        "sparkrisk.operators.profile", fromlist=["x"]).category_counts(
+    counts = {r["name"]: r["n"] for r in profile.category_counts(
         table, ["gender", "diag_1_group"]).collect()}
     assert often == {"age_numeric"} | {n for n, c in counts.items() if c >= 150}
     assert 0 < len(often) - 1 < len(counts)
@@ -197,6 +198,14 @@ def test_whole_run_and_stream(spark, raw, table, tmp_path):
     assert [r["priority_rank"] for r in work] == list(range(1, 26))
     assert work[0][serve.RISK] == max(r[serve.RISK] for r in work)
 
+    export_dashboard(run, lookups(spark), str(tmp_path / "board"), k=25)
+    exported = spark.read.parquet(str(tmp_path / "board" / "fact_encounters"))
+    assert set(exported.columns) == set(fact.columns) and exported.count() == fact.count()
+    sheet = spark.read.csv(str(tmp_path / "board" / "high_risk_worklist"), header=True)
+    assert sheet.columns == ["priority_rank", *S.WORKLIST_COLUMNS] and sheet.count() == 25
+    assert readers.read_summary(spark, str(tmp_path / "board" / "model_summary")).first() == summary
+    assert spark.read.csv(str(tmp_path / "board" / "dim_admission_source"), header=True).count() == 25
+
     # the same rows through a stream get the same scores
     cuts = rank.tile_cuts(splits.out_of_sample(fact), serve.RISK, SMALL.id, 10, "qcut")
     lists = top_lists(raw)

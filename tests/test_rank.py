@@ -1,6 +1,7 @@
 """Exact ranks and tiles against a plain sort, for awkward sizes and heavy ties."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -29,11 +30,13 @@ def scores(kind, n):
         "two": lambda: [float(rnd.random() < 0.1) for _ in range(n)],
         "third": lambda: [2.0 if rnd.random() < 0.34 else rnd.random() * 4 for _ in range(n)],
         "nulls": lambda: [None if rnd.random() < 0.4 else float(rnd.randrange(5)) for _ in range(n)],
+        "infinite": lambda: [rnd.choice([math.inf, -math.inf, 0.0, rnd.random()])
+                             for _ in range(n)],
         "close": lambda: [1.0 + rnd.randrange(4) * 2.0 ** -52 for _ in range(n)],
     }[kind]()
 
 
-@pytest.mark.parametrize("kind", ["distinct", "equal", "two", "third", "nulls", "close"])
+@pytest.mark.parametrize("kind", ["distinct", "equal", "two", "third", "nulls", "close", "infinite"])
 @pytest.mark.parametrize("buckets", [4, 64])
 def test_global_rank_equals_sort(spark, kind, buckets):
     rows, df = frame(spark, scores(kind, 300))
