@@ -16,7 +16,7 @@ __all__ = [
     "icd9_group", "band_lower",
     "band_midpoint", "ordinal", "row_count_eq", "row_sum", "flag_gt", "flag_ge",
     "clip_upper", "tier", "decode", "weighted_score", "cut", "ratio", "rate_pct",
-    "mean_1dp", "divide", "hash32", "token_null",
+    "mean_1dp", "divide", "round_stable", "hash32", "token_null",
 ]
 
 
@@ -182,6 +182,17 @@ def divide(num: str | Column, den: str | Column, alt=0.0) -> Column:
     return F.coalesce(quotient, F.lit(float(alt)))
 
 
+def round_stable(col: str | Column, places: int = 6) -> Column:
+    """Rounding that does not depend on the order in which doubles were added up.
+
+    The value is first cut to fourteen significant digits, which removes summation noise,
+    so a mean that is exactly halfway rounds up on every run.
+    """
+    c = as_column(col)
+    plain = F.format_string("%.13e", c).cast("double")
+    return F.round(F.when(c.isNotNull(), plain), places)
+
+
 def hash32(key: str | Column, seed: int | None = None) -> Column:
     """First 32 bits of the md5 of ``seed:key`` (or of the key) as a long.
 

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrisk.functions import as_column, quoted, rate_pct
+from sparkrisk.functions import as_column, quoted, rate_pct, round_stable
 
 ACCURACY = 10_000
 
@@ -208,7 +208,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], accuracy: int = ACCURAC
     basic = df.sparkSession.createDataFrame(
         rows, "col int, count long, mean double, std double, min double, max double")
     return basic.join(_select_ranks(df, cols, summary, probs), "col", "left").select(
-        _name(cols), "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+        _name(cols), "count", round_stable("mean").alias("mean"), round_stable("std").alias("std"),
         "min", F.round("q0", 6).alias("p25"), F.round("q1", 6).alias("p50"),
         F.round("q2", 6).alias("p75"), "max")
 
@@ -302,7 +302,7 @@ def corr_matrix(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     both = rows.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("pair"), at[a].alias("x"), at[b].alias("y"))
         for i, (a, b) in enumerate(pairs)])))
-    grouped = both.groupBy("pair").agg(F.round(F.corr("x", "y"), 6).alias("r"))
+    grouped = both.groupBy("pair").agg(round_stable(F.corr("x", "y")).alias("r"))
     names = [[p[side] for p in pairs] for side in (0, 1)]
     return grouped.select(
         *[F.element_at(F.lit(n), F.col("pair") + 1).alias(f"feature_{s}")
@@ -314,5 +314,5 @@ def corr_with(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     y = as_column(label).cast("double")
     one = df.agg(*[F.corr(as_column(c).cast("double"), y).alias(f"r{i}")
                    for i, c in enumerate(cols)])
-    return _long(one, cols, r=lambda i: F.round(f"r{i}", 6)).orderBy(
+    return _long(one, cols, r=lambda i: round_stable(f"r{i}")).orderBy(
         F.desc_nulls_last("r"), quoted("feature"))

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrisk.functions import as_column, cut
+from sparkrisk.functions import as_column, cut, round_stable
 from sparkrisk.operators.models import PROBABILITY, predict
 from sparkrisk.operators.rank import ranked_top_k, tile_cuts, tile_of
 from sparkrisk.operators.split import out_of_sample
@@ -64,4 +64,4 @@ def band_validation(fact: DataFrame, label: str) -> DataFrame:
     """Rows and label rate per band on out-of-sample rows."""
     return out_of_sample(fact).groupBy(BAND).agg(
         F.count(F.lit(1)).alias("count"),
-        F.round(F.avg(as_column(label)), 6).alias("mean")).orderBy(BAND)
+        round_stable(F.avg(as_column(label))).alias("mean")).orderBy(BAND)

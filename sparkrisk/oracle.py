@@ -393,6 +393,10 @@ _ALL_RAW = ["encounter_id", "patient_nbr", "admission_type_id", "discharge_dispo
             "admission_source_id", *PROFILE_NUMERIC, *_TEXT, "max_glu_serum", "A1Cresult"]
 _PRICES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+# Whole hundredths: their sums are exact, so the mean does not depend on the order of rows.
+_CENTS = "WITH cents AS (SELECT " + ", ".join(
+    f"CAST(round({c} * 100) AS BIGINT) AS {c}" for c in _PRICES) + " FROM lineitem)"
+
 ORACLE: dict[str, str] = {
     "null_tokens": f"""{_N} SELECT encounter_id, race, weight, payer_code, medical_specialty,
   diag_1, diag_2, diag_3, max_glu_serum, "A1Cresult" FROM norm""",
@@ -563,7 +567,7 @@ FROM f JOIN v USING (feature) GROUP BY feature""",
 c AS (SELECT feature, v, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY feature, v)
 SELECT feature, round(max(n) / CAST((SELECT count(*) FROM norm) AS DOUBLE), 6) AS top_share
 FROM c GROUP BY feature HAVING max(n) / CAST((SELECT count(*) FROM norm) AS DOUBLE) > 0.995""",
-    "describe_lineitem": _describe("", "lineitem", _PRICES),
+    "describe_lineitem": _describe(_CENTS, "cents", _PRICES),
     "iqr_lineitem": _outliers("", "lineitem", _PRICES),
     "histogram_lineitem": _histogram("", "lineitem", ["l_quantity"], 10),
     "corr_lineitem": _corr("", "lineitem", _PRICES),

@@ -81,6 +81,14 @@ def test_mean_and_divide(spark):
     assert tuple(got) == (1.3, -1.0, 1.25)
 
 
+def test_rounding_ignores_summation_noise(spark):
+    values = [0.0499185, 0.04991849999999999, 0.04991850000000001, 0.0499184, -2.5e-7, None,
+              float("nan"), 38000.1234565]
+    got = column(spark, values, X.round_stable("v"), "v double")
+    assert got[:4] == [0.049919, 0.049919, 0.049919, 0.049918]
+    assert got[4] in (0.0, -0.0) and got[5] is None and got[6] != got[6] and got[7] == 38000.123457
+
+
 def test_decode_without_else(spark):
     assert column(spark, [0, 7, None], X.decode("v", {0: "No"}), "v int") == ["No", None, None]
 
