@@ -8,6 +8,7 @@ later job column pruning and filter pushdown. Nothing is kept in executor memory
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,15 +24,19 @@ def _application(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach; a temporary one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="sparkrisk-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """The folder all executors can reach.
+
+    ``spark.checkpoint.dir`` if the session has it, else ``sparkrisk.workspace.dir``. With
+    neither, a session whose executor is the driver's own process gets a temporary folder;
+    on a cluster that is an error. No setting of the session is ever changed.
+    """
+    for key in ("spark.checkpoint.dir", "sparkrisk.workspace.dir"):
+        if configured := spark.conf.get(key, None):
+            return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir or sparkrisk.workspace.dir to a folder "
+                         "shared by the driver and all executors")
+    return tempfile.mkdtemp(prefix="sparkrisk-")
 
 
 def run_dir(spark: SparkSession) -> str:
@@ -42,6 +47,14 @@ def run_dir(spark: SparkSession) -> str:
     return _RUNS[app]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own in the shared folder: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table called ``name``, built and written the first time it is asked for."""
     key = (_application(spark), name)
@@ -66,4 +79,4 @@ def spread(df: DataFrame, source: DataFrame) -> DataFrame:
 
 def fresh(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """Write ``df`` under a name of its own and read it back."""
-    return staged(spark, f"{name}-{uuid.uuid4().hex[:8]}", lambda: df)
+    return written(df, name)
