@@ -91,7 +91,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, dense: int = DENSE) -> Da
     index = _variants(prints, max_bits // 2 + 1)
     sizes = written(index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"),
                     "keys")
-    shared = written(index.join(sizes, "key"), "shared-keys")
+    # the same plan at every size: a merge join, whose hot keys Spark splits
+    shared = written(index.join(sizes.hint("merge"), "key"), "shared-keys")
     small = shared.where(F.col("size") <= dense)
     left = small.select("key", F.col("fp").alias("a"))
     right = small.select("key", F.col("fp").alias("b"))
@@ -133,8 +134,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component stays: that with the smallest id.
 
-    Rows that repeat the smallest id of a component all stay, except that rows alike in
-    every column are one.
+    Rows that repeat that id all stay. Of rows with a null id none stays where the component
+    has an id, else all.
     """
     kept = (near_dedup(docs, id_col, text_col, shingle, max_bits)
             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
