@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkrisk.llm.common import spare
+
 SIMILARITY = 0.8
 MIN_WORDS = 5
 BLOCK_ITEMS = 2_000
@@ -269,8 +271,9 @@ def _finder(items: list[tuple[int, str]], similarity: float):
 
 
 def with_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str,
-              similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """``docs`` with a column ``_hits``: every item that contaminates the row's text."""
+              name: str, similarity: float = SIMILARITY,
+              block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs`` with a column ``name``: every item that contaminates the row's text."""
     rows = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(
         F.col("id").isNotNull() & F.col("text").isNotNull())
     blocks = max(1, -(-rows.count() // block_items))
@@ -280,7 +283,7 @@ def with_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, it
         own = [(r["id"], r["text"]) for r in rows.where(part == block).collect()]
 
         columns.append(F.arrow_udf(_finder(own, similarity), HIT_TYPE)(F.col(text_col)))
-    return docs.withColumn("_hits", F.concat(*columns) if len(columns) > 1 else columns[0])
+    return docs.withColumn(name, F.concat(*columns) if len(columns) > 1 else columns[0])
 
 
 def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
@@ -295,7 +298,7 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     empty table gives no rows.
     """
     found = with_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                      items, "text", item_id, item_text, similarity, block_items)
+                      items, "text", item_id, item_text, "_hits", similarity, block_items)
     best = F.array_max(F.transform("_hits", lambda h: 1 - h["edits"] / h["n_words"]))
     return found.select("doc_id", "_hits").select(
         "doc_id", (F.size("_hits") > 0).alias("contaminated"),
@@ -307,8 +310,9 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows without a hit, with all their columns."""
-    return (with_hits(docs, items, text_col, item_id, item_text).where(F.size("_hits") == 0)
-            .select(*docs.columns))
+    name = spare(docs, "_hits")
+    return (with_hits(docs, items, text_col, item_id, item_text, name)
+            .where(F.size(name) == 0).select(*docs.columns))
 
 
 def op4_decontaminate(spark, sf_dir):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkrisk.llm.common import numbered, text_of
+from sparkrisk.llm.common import numbered, spare, text_of
 from sparkrisk.workspace import written
 
 FAN_IN_BITS = 3
@@ -85,14 +85,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that ``exact_dedup`` keeps, with all their columns."""
+    ident, sha, own, nth = (spare(docs, f"_{x}") for x in ("id", "sha", "own", "nth"))
     kept = (exact_dedup(docs, id_col, text_col).where("kept")
-            .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
-    marked = docs.withColumn("_own", F.sha2(normalised(text_of(text_col)), 256))
-    met = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id"))
-                      & (F.col("_own") == F.col("_sha")))
+            .select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)))
+    marked = docs.withColumn(own, F.sha2(normalised(text_of(text_col)), 256))
+    met = marked.join(kept, F.col(id_col).eqNullSafe(F.col(ident))
+                      & (F.col(own) == F.col(sha)))
     # rows that repeat an id and its text: one of them
-    once = Window.partitionBy("_id", "_sha").orderBy("_id")
-    return (met.withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
+    once = Window.partitionBy(ident, sha).orderBy(ident)
+    return (met.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
             .select(*docs.columns))
 
 

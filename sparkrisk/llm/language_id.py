@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkrisk.llm.common import spare
 from sparkrisk.workspace import written
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -271,9 +272,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return model
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
-            text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: the id), lang_pred and score for every row."""
+def predict(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    """``docs`` with a column ``name``: lang_pred and score of the row's text."""
     @F.pandas_udf("lang_pred string, score double")
     def classify(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
@@ -295,10 +295,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
                 score[at:at + step] = np.where(has, share, 0.0)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    out = docs.select(*[F.col(c) for c in keep or [id_col]],
-                      classify(F.col(text_col)).alias("_lid"))
-    return out.select(*[F.col(c) for c in keep or [id_col]], F.col("_lid.lang_pred").alias(
-        "lang_pred"), F.col("_lid.score").alias("score"))
+    return docs.withColumn(name, classify(F.col(text_col)))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -312,18 +309,20 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     being equally likely beforehand. An empty table gives no rows.
     """
     model = fit(docs, id_col, text_col, label_col, **options)
-    found = predict(docs, model, id_col, text_col)
-    return found.select(F.col(id_col).alias("doc_id"), _held_out(id_col).alias("held_out"),
-                        "lang_pred", "score")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return predict(rows, model, "text", "found").select(
+        "doc_id", _held_out("doc_id").alias("held_out"), "found.lang_pred", "found.score")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
     """Rows whose language is found with at least ``min_score``, with all their columns."""
     model = fit(docs, id_col, text_col, label_col)
-    found = predict(docs, model, id_col, text_col, docs.columns)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)
-                       ).select(*docs.columns)
+    name = spare(docs, "_found")
+    found = F.col(name)
+    return predict(docs, model, text_col, name).where(
+        (found["lang_pred"] != UNDETERMINED) & (found["score"] >= min_score)
+        ).select(*docs.columns)
 
 
 def op5_language_id(spark, sf_dir):

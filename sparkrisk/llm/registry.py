@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL, run
 from sparkrisk.llm.decontaminate import op4_decontaminate
 from sparkrisk.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from sparkrisk.llm.html_text import op8_html_text
@@ -10,11 +11,13 @@ from sparkrisk.llm.license_scan import OP6_SQL, op6_license_scan
 from sparkrisk.llm.packing import op1_pack
 from sparkrisk.llm.secret_scan import op10_secret_scan
 from sparkrisk.llm.simhash import op2_simhash
+from sparkrisk.llm.suffix_dedup import op3_suffix_dedup
 from sparkrisk.llm.warc import OP7_SQL, op7_warc
 
 CORPUS_QUERIES = {
     "op1_pack": op1_pack,
     "op2_simhash": op2_simhash,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
@@ -22,10 +25,11 @@ CORPUS_QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": run,
 }
 
 CORPUS_ORACLE = {
     "op6_license_scan": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
-}
+} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

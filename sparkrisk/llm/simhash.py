@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrisk.llm.common import attach, components, numbered
+from sparkrisk.llm.common import attach, components, numbered, spare
 from sparkrisk.workspace import written
 
 SHINGLE = 3
@@ -137,10 +137,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat that id all stay. Of rows with a null id none stays where the component
     has an id, else all.
     """
+    name = spare(docs, "_kept")
     kept = (near_dedup(docs, id_col, text_col, shingle, max_bits)
             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+            .select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
 
 
 def op2_simhash(spark, sf_dir):
