@@ -65,24 +65,29 @@ def roc_auc(df: DataFrame, score: str, label: str, buckets: int | None = None,
     return one.select(F.round(F.try_divide("_u", pairs), 6).alias("roc_auc"))
 
 
-def roc_curve(df: DataFrame, score: str, label: str, max_points: int = 100,
+def roc_curve(df: DataFrame, score: str, label: str, max_points: int | None = None,
               buckets: int | None = None) -> DataFrame:
-    """ROC points from the highest score down, at most ``max_points``.
+    """ROC points from the origin (point 0, no threshold) over every distinct score down.
 
-    The rows are cut into ``max_points`` equal slices by rank; the last distinct score
-    that ends in a slice gives its point.
+    ``point`` is the number of rows at or above the threshold. ``max_points`` thins the
+    curve: the rows are cut into that many equal slices by rank, numbered from 1, and the
+    last distinct score that ends in a slice gives its point.
     """
     steps = _cumulative(df, score, label, buckets)
-    piece = F.call_function(
+    piece = F.col("n_upto") if max_points is None else F.call_function(
         "div", F.col("n_upto") * max_points + F.col("n_all") - 1, F.col("n_all"))
-    last = steps.groupBy(piece.cast("int").alias("point")).agg(
+    last = steps.groupBy(piece.cast("long").alias("point")).agg(
         F.max_by(F.struct("score", "n_upto", "pos_upto", "n_all", "pos_all"), "n_upto")
         .alias("s"))
     neg, neg_all = F.col("s.n_upto") - F.col("s.pos_upto"), F.col("s.n_all") - F.col("s.pos_all")
-    return last.select(
+    points = last.select(
         "point", F.col("s.score").alias("threshold"),
         F.round(_ratio(neg, neg_all), 6).alias("fpr"),
-        F.round(_ratio(F.col("s.pos_upto"), F.col("s.pos_all")), 6).alias("tpr")).orderBy("point")
+        F.round(_ratio(F.col("s.pos_upto"), F.col("s.pos_all")), 6).alias("tpr"))
+    origin = df.sparkSession.range(1).select(
+        F.lit(0).cast("long").alias("point"), F.lit(None).cast("double").alias("threshold"),
+        F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return origin.unionByName(points).orderBy("point")
 
 
 def compare_scores(a: DataFrame, b: DataFrame, id: str, score: str) -> DataFrame:

@@ -217,9 +217,11 @@ def evaluate(scored: DataFrame, name: str, spec: EncounterSpec = ENCOUNTERS) ->
     return reduce(lambda a, b: a.join(F.broadcast(b), "model"), parts)
 
 
-def best_model(metrics: DataFrame) -> str:
-    """Name of the model with the highest AUC; the first name on ties."""
-    return metrics.orderBy(F.desc("roc_auc"), "model").first()["model"]
+def best_model(metrics: DataFrame, order: Sequence[str] | None = None) -> str:
+    """Name of the model with the highest AUC; on ties the first one in ``order``."""
+    found = {r["model"]: r["roc_auc"] for r in metrics.select("model", "roc_auc").collect()}
+    names = [n for n in order or sorted(found) if n in found]
+    return max(names, key=lambda n: float("-inf") if found[n] is None else found[n])
 
 
 def feature_importance(model: PipelineModel, spec: EncounterSpec = ENCOUNTERS,

@@ -14,8 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column, quoted, rate_pct, round_stable
+from sparkrisk.operators.rank import default_buckets
 
-ACCURACY = 10_000
+MIN_ACCURACY = 10_000
+
+
+def default_accuracy(df: DataFrame) -> int:
+    """A bracket holds about ``4 / accuracy`` of the rows: no more than a rank bucket does."""
+    return max(MIN_ACCURACY, 16 * default_buckets(df))
 
 
 def _long(df: DataFrame, cols: Sequence[str], **per_column) -> DataFrame:
@@ -163,9 +169,15 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], summary: list[dict],
     rows = df.select(F.inline(F.array(*values))).filter(F.col("place").isNotNull())
     groups = rows.groupBy("col", "place", F.when(bracket, F.col("value")).alias("inside")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-    order = Window.partitionBy("col").orderBy("place", "inside")
-    ranked = groups.withColumn("upto", F.sum("n").over(
-        order.rowsBetween(Window.unboundedPreceding, 0)))
+    # rows before each gap or bracket (a few per column), then order inside each bracket
+    order = Window.partitionBy("col").orderBy("place")
+    before = groups.groupBy("col", "place").agg(F.sum("n").alias("held")).select(
+        "col", "place", (F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0))
+                         - F.col("held")).alias("before"))
+    inner = Window.partitionBy("col", "place").orderBy("inside")
+    ranked = groups.join(F.broadcast(before), ["col", "place"]).withColumn(
+        "upto", F.col("before") + F.sum("n").over(
+            inner.rowsBetween(Window.unboundedPreceding, 0)))
     start, upto = F.col("upto") - F.col("n"), F.col("upto")
 
     def at_rank(rank: Column) -> Column:
@@ -190,20 +202,22 @@ def _name(cols: Sequence[str]) -> Column:
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    accuracy: int = ACCURACY) -> DataFrame:
+                    accuracy: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles as ``(feature, q0, q1, ...)``.
 
     Two passes over the data for all columns and probabilities together; what is ordered
     is at most about ``4 / accuracy`` of the rows per quantile, one row per distinct value.
     """
+    accuracy = accuracy or default_accuracy(df)
     found = _select_ranks(df, cols, _summary(df, cols, probs, accuracy), probs)
     return found.select(_name(cols), *[f"q{j}" for j in range(len(probs))])
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str],
+                     accuracy: int | None = None) -> DataFrame:
     """Count, mean, standard deviation (n - 1), minimum, quartiles and maximum."""
     probs = [0.25, 0.5, 0.75]
-    summary = _summary(df, cols, probs, accuracy)
+    summary = _summary(df, cols, probs, accuracy or default_accuracy(df))
     rows = [(i, r["n"], r["mean"], r["std"], r["low"], r["high"]) for i, r in enumerate(summary)]
     basic = df.sparkSession.createDataFrame(
         rows, "col int, count long, mean double, std double, min double, max double")
@@ -213,7 +227,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], accuracy: int = ACCURAC
         F.round("q2", 6).alias("p75"), "max")
 
 
-def _fences(df: DataFrame, cols: Sequence[str], k: float, accuracy: int):
+def _fences(df: DataFrame, cols: Sequence[str], k: float, accuracy: int | None):
     """Quartiles and outlier fences per column, collected (one row per column)."""
     out = {}
     for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy).collect():
@@ -223,12 +237,12 @@ def _fences(df: DataFrame, cols: Sequence[str], k: float, accuracy: int):
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-                 accuracy: int = ACCURACY) -> DataFrame:
+                 accuracy: int | None = None) -> DataFrame:
     """Quartiles, fences and rows strictly outside them, for all columns in one pass."""
     fences = _fences(df, cols, k, accuracy)
     known = [c for c in cols if c in fences]
     one = df.agg(F.count(F.lit(1)).alias("_n"), *[
-        F.count_if((as_column(c) < fences[c][3]) | (as_column(c) > fences[c][4])).alias(f"_o{i}")
+        F.count_if((_number(c) < fences[c][3]) | (_number(c) > fences[c][4])).alias(f"_o{i}")
         for i, c in enumerate(known)])
     out = _long(one, known,
                 q1=lambda i: F.lit(round(fences[known[i]][0], 6)),
@@ -241,13 +255,13 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-              accuracy: int = ACCURACY) -> DataFrame:
+              accuracy: int | None = None) -> DataFrame:
     """Quartiles, whisker ends (last values inside the fences) and outlier count."""
     fences = _fences(df, cols, k, accuracy)
     known = [c for c in cols if c in fences]
     aggs = []
     for i, c in enumerate(known):
-        v = as_column(c).cast("double")
+        v = _number(c)
         inside = v.between(fences[c][3], fences[c][4])
         aggs += [F.min(F.when(inside, v)).alias(f"_l{i}"), F.max(F.when(inside, v)).alias(f"_h{i}"),
                  F.count_if(~inside).alias(f"_o{i}")]
@@ -260,31 +274,36 @@ def box_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5,
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
-    """Equal-width bins per column, the last one closed; empty bins are left out.
+    """Equal-width bins per column, the last one closed; empty bins have n = 0.
 
-    A column with a single value has one bin, number 0.
+    NaN counts as null. A column with a single value has one bin, number 0; one without
+    values has none.
     """
-    ends = df.agg(*[f(as_column(c).cast("double")).alias(f"{n}{i}")
+    ends = df.agg(*[f(_number(c)).alias(f"{n}{i}")
                     for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    marks = []
+    marks, every = [], []
     for i, c in enumerate(cols):
         low, high = ends[f"lo{i}"], ends[f"hi{i}"]
         if low is None:
             continue
-        v = as_column(c).cast("double")
+        v = _number(c)
         width = (high - low) / bins
+        every.append((c, low, width, 1 if width == 0 else bins))
         slot = F.lit(0) if width == 0 else F.least(
             F.floor((v - F.lit(low)) / F.lit(width)).cast("int"), F.lit(bins - 1))
         marks.append(F.when(v.isNotNull(), F.struct(
-            F.lit(c).alias("feature"), slot.alias("bin"),
-            F.lit(low).alias("_low"), F.lit(width).alias("_width"))))
+            F.lit(c).alias("feature"), slot.alias("bin"))))
     if not marks:
         return df.sparkSession.createDataFrame(
             [], "feature string, bin int, bin_start double, n long")
     rows = df.select(F.inline(F.array_compact(F.array(*marks))))
-    return rows.groupBy("feature", "bin").agg(
-        F.round(F.first(F.col("_low") + F.col("bin") * F.col("_width")), 6).alias("bin_start"),
-        F.count(F.lit(1)).alias("n")).select("feature", "bin", "bin_start", "n")
+    found = rows.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.createDataFrame(
+        every, "feature string, low double, width double, bins int").select(
+        "feature", "low", "width", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    return grid.join(found, ["feature", "bin"], "left").select(
+        "feature", "bin", F.round(F.col("low") + F.col("bin") * F.col("width"), 6)
+        .alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # ---------------------------------------------------------------- correlation
@@ -297,7 +316,7 @@ def corr_matrix(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    rows = df.select(*[as_column(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    rows = df.select(*[_number(c).alias(f"_{i}") for i, c in enumerate(cols)])
     at = {c: F.col(f"_{i}") for i, c in enumerate(cols)}
     both = rows.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("pair"), at[a].alias("x"), at[b].alias("y"))
@@ -311,8 +330,8 @@ def corr_matrix(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 def corr_with(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Correlation of each column with the label, strongest positive first."""
-    y = as_column(label).cast("double")
-    one = df.agg(*[F.corr(as_column(c).cast("double"), y).alias(f"r{i}")
+    y = _number(label)
+    one = df.agg(*[F.corr(_number(c), y).alias(f"r{i}")
                    for i, c in enumerate(cols)])
     return _long(one, cols, r=lambda i: round_stable(f"r{i}")).orderBy(
         F.desc_nulls_last("r"), quoted("feature"))

@@ -29,16 +29,20 @@ from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column, flag_ge, hash32, rate_pct
 
-NULL_PARTS = 256
+SKETCHES = 64
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Ascending score bounds; ``parts[i]`` is the number of parts of bound ``i``."""
+    """Ascending score bounds; ``parts[i]`` is the number of parts of bound ``i``.
+
+    Rows without a score are one more value, dealt into ``null_parts`` parts.
+    """
 
     rows: int
     bounds: tuple[float, ...]
     parts: tuple[int, ...]
+    null_parts: int = 1
 
 
 @dataclass(frozen=True)
@@ -53,7 +57,7 @@ class Cut:
 def default_buckets(df: DataFrame) -> int:
     """Four buckets per shuffle partition, so buckets shrink as the cluster is sized up."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(8192, max(128, 4 * partitions))
+    return max(128, 4 * partitions)
 
 
 def _array(values, of: str) -> Column:
@@ -67,13 +71,26 @@ def _clean_score(score: str) -> Column:
 
 
 def score_grid(df: DataFrame, score: str, buckets: int | None = None) -> Grid:
-    """Bounds from approximate quantiles; at most ``buckets`` numbers reach the driver."""
+    """Bounds from approximate quantiles; at most ``buckets`` numbers reach the driver.
+
+    Quantiles are taken in groups of input partitions first, then over the groups' results,
+    so no task merges the sketches of all partitions. Bounds need not be exact.
+    """
     buckets = buckets or default_buckets(df)
     probs = _array([i / buckets for i in range(1, buckets)], "double")
-    n, found = df.agg(F.count(F.lit(1)), F.percentile_approx(
-        _clean_score(score), probs, F.lit(max(10_000, 4 * buckets)))).first()
+    accuracy = F.lit(max(10_000, 4 * buckets))
+    groups = df.select(_clean_score(score).alias("_v"),
+                       (F.spark_partition_id() % SKETCHES).alias("_g")).groupBy("_g").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_known"),
+        F.percentile_approx("_v", probs, accuracy).alias("_q"))
+    n, known, found = groups.select(
+        F.posexplode_outer("_q").alias("_i", "_v"), "_n", "_known").agg(
+        *[F.coalesce(F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col(c))), F.lit(0))
+          for c in ("_n", "_known")],
+        F.percentile_approx("_v", probs, accuracy)).first()
     counts = Counter(sorted(found or []))
-    return Grid(n, tuple(counts), tuple(counts.values()))
+    return Grid(n, tuple(counts), tuple(counts.values()),
+                max(1, -(-(n - known) * buckets // max(1, n))))
 
 
 def with_bucket(df: DataFrame, score: str, id: str | None, grid: Grid) -> DataFrame:
@@ -103,7 +120,7 @@ def with_bucket(df: DataFrame, score: str, id: str | None, grid: Grid) -> DataFr
     rows = rows.withColumn("_slot", slot)
     part = F.lit(0).cast("long")
     if id is not None:
-        share = F.element_at(_array([NULL_PARTS, *parts], "long"), F.col("_slot") + 2)
+        share = F.element_at(_array([grid.null_parts, *parts], "long"), F.col("_slot") + 2)
         part = F.when(share > 1, F.shiftright(hash32(id) * share, 32)).otherwise(part)
     return rows.withColumns({
         "_bucket": -F.col("_slot"), "_part": F.coalesce(part, F.lit(0).cast("long")),
@@ -311,10 +328,13 @@ def sample_n(df: DataFrame, n: int, seed: int, id: str) -> DataFrame:
 
 
 def score_extremes(df: DataFrame, score: str, id: str) -> DataFrame:
-    """Lowest, mean and highest score and the rows that hold the ends (smallest id on ties)."""
-    s, key = as_column(score).cast("double"), as_column(id)
+    """Lowest, mean and highest score and the rows that hold the ends (smallest id on ties).
+
+    Rows with a null or NaN score hold no end.
+    """
+    s, key = _clean_score(score), as_column(id)
     return df.agg(
         F.min(s).alias("min_score"), F.round(F.avg(s), 6).alias("avg_score"),
         F.max(s).alias("max_score"),
-        F.min_by(key, F.struct(s, key)).alias("lowest_id"),
-        F.min_by(key, F.struct(-s, key)).alias("highest_id"))
+        F.min_by(key, F.when(s.isNotNull(), F.struct(s, key))).alias("lowest_id"),
+        F.min_by(key, F.when(s.isNotNull(), F.struct(-s, key))).alias("highest_id"))

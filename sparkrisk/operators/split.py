@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column, hash32
 
-PREFIX = 4
+STEP = 4
+ORDERED_KEYS = 50_000
 
 
 def _digest(key: str, seed: int) -> Column:
@@ -24,29 +25,43 @@ def in_test_hash(key: str, test_size: float = 0.2, seed: int = 42) -> Column:
 def in_test_exact(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> Column:
     """True for exactly ``ceil(test_size * groups)`` keys, those with the smallest md5.
 
-    Keys are counted per md5 prefix; only the prefix that holds the last test key is
-    ordered. The result is a comparison with that key, so rows are never joined.
+    Keys are counted per md5 prefix, ``STEP`` digits further inside the prefix that holds
+    the last test key until few enough keys are left to be ordered. The driver gets at most
+    16 ** STEP counts a time, and the result is a comparison with one key, so rows are never
+    joined.
     """
     keys = df.select(as_column(key).alias("_key")).filter(F.col("_key").isNotNull()).distinct()
     keys = keys.select("_key", _digest("_key", seed).alias("_md5"))
-    prefix = F.substring("_md5", 1, PREFIX)
-    counts = keys.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    per_prefix = sorted((r["_p"], r["_n"]) for r in counts.collect())
-    wanted = math.ceil(test_size * sum(n for _, n in per_prefix) - 1e-9)
-    if wanted == 0:
-        return F.lit(False)
-    before = 0
-    for name, n in per_prefix:
-        if before + n >= wanted:
+    wanted, name, near = None, "", keys
+    while True:
+        prefix = F.substring("_md5", 1, len(name) + STEP)
+        counts = near.groupBy(prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        per_prefix = sorted((r["_p"], r["_n"]) for r in counts.collect())
+        if wanted is None:
+            wanted = math.ceil(test_size * sum(n for _, n in per_prefix) - 1e-9)
+            if wanted == 0:
+                return F.lit(False)
+        for name, n in per_prefix:
+            if n >= wanted:
+                break
+            wanted -= n
+        near = keys.filter(F.col("_md5").startswith(name))
+        if n <= ORDERED_KEYS or len(name) >= 32:
             break
-        before += n
-    ordered = keys.filter(prefix == name).orderBy("_md5", "_key")
-    last = ordered.offset(wanted - before - 1).limit(1).first()
+    last = near.orderBy("_md5", "_key").offset(wanted - 1).limit(1).first()
     digest, column = _digest(key, seed), as_column(key)
     return (digest < last["_md5"]) | (
         (digest == last["_md5"]) & (column <= F.lit(last["_key"])))
 
 
+def sample_rows(df: DataFrame, id: str, most: int | None, seed: int = 42) -> DataFrame:
+    """About ``most`` rows chosen by the hash of their id; all rows if there are no more."""
+    rows = df.count() if most is not None else 0
+    if most is None or rows <= most:
+        return df
+    return df.filter(hash32(id, seed) < F.lit(int(most / rows * 2 ** 32)).cast("long"))
+
+
 def group_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
                 exact: bool = False) -> DataFrame:
     """Add ``data_split`` and ``is_out_of_sample_prediction``."""

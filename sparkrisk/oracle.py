@@ -294,9 +294,13 @@ def _histogram(prefix: str, table: str, cols, bins: int) -> str:
 ends AS (SELECT feature, min(v) AS lo, (max(v) - min(v)) / {bins} AS w FROM v GROUP BY feature),
 placed AS (SELECT feature, lo, w, CASE WHEN w = 0 THEN 0 ELSE
     CAST(least(floor((v - lo) / w), {bins - 1}) AS INT) END AS bin
-  FROM v JOIN ends USING (feature))
-SELECT feature, CAST(bin AS INT) AS bin, round(any_value(lo + bin * w), 6) AS bin_start,
-  count(*) AS n FROM placed GROUP BY feature, bin"""
+  FROM v JOIN ends USING (feature) WHERE v IS NOT NULL),
+slots AS (SELECT feature, lo, w, unnest(range(CASE WHEN w = 0 THEN 1 ELSE {bins} END)) AS bin
+  FROM ends WHERE lo IS NOT NULL)
+SELECT slots.feature, CAST(slots.bin AS INT) AS bin,
+  round(any_value(slots.lo + slots.bin * slots.w), 6) AS bin_start, count(placed.bin) AS n
+FROM slots LEFT JOIN placed ON placed.feature = slots.feature AND placed.bin = slots.bin
+GROUP BY slots.feature, slots.bin"""
 
 
 def _corr(prefix: str, table: str, cols) -> str:
@@ -314,19 +318,30 @@ c AS (SELECT *, sum(q) OVER (ORDER BY s) - q AS below FROM h)
 SELECT round(sum(p * (below + q / 2.0)) / (sum(p) * sum(q)), 6) AS roc_auc FROM c"""
 
 
-def _roc(prefix: str, table: str, score: str, label: str, points: int) -> str:
+def _roc(prefix: str, table: str, score: str, label: str, points: int | None) -> str:
+    piece = "cm" if points is None else f"(cm * {points} + am - 1) // am"
     return f"""{prefix}{"," if prefix else "WITH"} h AS (
   SELECT {score} AS s, CAST(sum({label}) AS BIGINT) AS p, count(*) AS m FROM {table} GROUP BY 1),
 c AS (SELECT s, CAST(sum(p) OVER w AS BIGINT) AS cp, CAST(sum(m) OVER w AS BIGINT) AS cm,
         CAST(sum(p) OVER () AS BIGINT) AS ap, CAST(sum(m) OVER () AS BIGINT) AS am
       FROM h WINDOW w AS (ORDER BY s DESC)),
-g AS (SELECT *, CAST((cm * {points} + am - 1) // am AS INT) AS point FROM c)
+g AS (SELECT *, CAST({piece} AS BIGINT) AS point FROM c)
+SELECT CAST(0 AS BIGINT) AS point, CAST(NULL AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr,
+  CAST(0 AS DOUBLE) AS tpr
+UNION ALL
 SELECT point, CAST(arg_max(s, cm) AS DOUBLE) AS threshold,
   round((max(cm) - arg_max(cp, cm)) / CAST(any_value(am - ap) AS DOUBLE), 6) AS fpr,
   round(arg_max(cp, cm) / CAST(any_value(ap) AS DOUBLE), 6) AS tpr
 FROM g GROUP BY point"""
 
 
+_GAPPY = """WITH gappy AS (
+  SELECT event_id AS id, CASE WHEN event_id % 7 IN (0, 3) THEN NULL ELSE value END AS gaps,
+    CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 20 END AS code,
+    CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'w' || CAST(event_id % 9 AS VARCHAR) END AS word
+  FROM events)"""
+
+
 _PURCHASES = """WITH bought AS (
   SELECT event_id, value, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS bought
   FROM events)"""
@@ -594,6 +609,15 @@ SELECT tp, fp, tn, fn, round((tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE), 6) A
   round(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0), 6) AS f1 FROM m""",
     "roc_auc": _auc(_S, "ruled", "risk_score", "readmitted_30d"),
     "roc_curve": _roc(_S, "ruled", "risk_score", "readmitted_30d", 100),
+    "events_roc_full": _roc(_PURCHASES, "bought", "value", "bought", None),
+    "gappy_histogram": _histogram(_GAPPY, "gappy", ["gaps"], 12),
+    "gappy_outliers": _outliers(_GAPPY, "gappy", ["gaps"]),
+    "gappy_extremes": f"""{_GAPPY} SELECT min(gaps) AS min_score, round(avg(gaps), 6) AS avg_score,
+  max(gaps) AS max_score, arg_min(id, (gaps, id)) FILTER (WHERE gaps IS NOT NULL) AS lowest_id,
+  arg_min(id, (-gaps, id)) FILTER (WHERE gaps IS NOT NULL) AS highest_id FROM gappy""",
+    "gappy_codes": f"""{_GAPPY} SELECT id, code FROM gappy
+WHERE code IS NULL OR code NOT IN (11, 13)""",
+    "gappy_values": f"""{_GAPPY} SELECT id, word FROM gappy WHERE word IS NULL OR word <> 'w3'""",
     "events_roc_auc": _auc(_PURCHASES, "bought", "value", "bought"),
     "events_roc_curve": _roc(_PURCHASES, "bought", "value", "bought", 50),
     "events_gains": _gains(f"""{_PURCHASES}, o AS (

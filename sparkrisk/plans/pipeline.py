@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrisk.operators import models, serve
-from sparkrisk.operators.split import group_split, out_of_sample
+from sparkrisk.operators.split import group_split, out_of_sample, sample_rows
 from sparkrisk.sources.sinks import save_model
 from sparkrisk.spec import ENCOUNTERS, EncounterSpec
 from sparkrisk.workspace import fresh, run_dir
@@ -73,16 +73,22 @@ def summarise(comparison: DataFrame, best: str, fairness: DataFrame) -> DataFram
 
 
 def run_models(clean: DataFrame, spec: EncounterSpec = ENCOUNTERS, trees: int = 300,
-               rounds: int = 300, max_iter: int = 1000, exact_split: bool = True) -> ModelRun:
-    """The whole modelling run. The split is written with the table, never re-derived."""
+               rounds: int = 300, max_iter: int = 1000, exact_split: bool = True,
+               max_train_rows: int | None = None) -> ModelRun:
+    """The whole modelling run. The split is written with the table, never re-derived.
+
+    ``max_train_rows`` bounds the labelled rows that classifiers are fitted on (about that
+    many, by the hash of the id); tests, scores and explanations always cover all rows.
+    """
     spark = clean.sparkSession
     table = fresh(spark, "modelling", group_split(
         clean, spec.group, spec.test_size, spec.seed, exact=exact_split))
     test = out_of_sample(table)
-    train = table.filter(F.col("data_split") == "train")
+    train = sample_rows(table.filter(F.col("data_split") == "train"), spec.id, max_train_rows,
+                        spec.seed)
     configs = models.model_configs(train.count(), trees, rounds, max_iter, spec.seed)
     fitted, comparison = compare_models(train, test, configs, spec)
-    best = models.best_model(comparison)
+    best = models.best_model(comparison, list(configs))
     check = fairness_check(train, test, best, configs[best], comparison, spec)
     summary = fresh(spark, "summary", summarise(comparison, best, check))
     model_dir = f"{run_dir(spark)}/best_model"

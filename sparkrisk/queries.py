@@ -22,13 +22,14 @@ from sparkrisk.plans.cleaning import (
 from sparkrisk.plans.pipeline import ModelRun, run_models
 from sparkrisk.sources.lookups import lookup
 from sparkrisk.sources.star import encounters_raw, read_table
-from sparkrisk.workspace import run_dir, spread, staged
+from sparkrisk.workspace import run_dir, staged
 
 LABEL, ID, PATIENT = "readmitted_30d", "encounter_id", "patient_nbr"
 SPECIALTY_MIN, SOURCE_MIN, SEGMENT_MIN, RELIABLE_MIN = 185, 590, 300, 200
 RULE_CUTOFF = 12
+#: classifiers are fitted on about this many training rows; everything else covers all rows
+TRAIN_ROWS = 10_000
 PRICE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-QUICK = {"trees": 20, "rounds": 10, "max_iter": 100}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,17 +73,17 @@ _MODELS: dict[tuple[str, str], ModelRun] = {}
 
 
 def model_run(spark: SparkSession, folder: str) -> ModelRun:
-    """One quick modelling run per session and folder, shared by the model queries."""
+    """One modelling run per session and folder, shared by the model queries."""
     key = (run_dir(spark), os.path.abspath(folder))
     if key not in _MODELS:
-        _MODELS[key] = run_models(encounters(spark, folder), **QUICK)
+        _MODELS[key] = run_models(
+            encounters(spark, folder), max_train_rows=TRAIN_ROWS)
     return _MODELS[key]
 
 
 def columns_of(spark: SparkSession, folder: str, table: str, cols: list[str]) -> DataFrame:
-    """Some columns of a given table, over all cores even if the table is a single file."""
-    rows = read_table(spark, folder, table).select(*cols)
-    return spread(rows, rows)
+    """Some columns of a given table."""
+    return read_table(spark, folder, table).select(*cols)
 
 
 # -------------------------------------------------------------- cleaning steps
@@ -566,6 +567,47 @@ def events_roc_auc(spark, folder):
     return metrics.roc_auc(_purchases(spark, folder), "value", "bought")
 
 
+@query
+def events_roc_full(spark, folder):
+    return metrics.roc_curve(_purchases(spark, folder), "value", "bought")
+
+
+def _gappy(spark, folder):
+    """Events with nulls and NaN in a number, nulls in a code and in a text."""
+    at = F.col("event_id")
+    return columns_of(spark, folder, "events", ["event_id", "value"]).select(
+        at.alias("id"),
+        F.when(at % 7 == 0, F.lit(None)).when(at % 7 == 3, F.lit(float("nan")))
+        .otherwise(F.col("value").cast("double")).alias("gaps"),
+        F.when(at % 5 != 0, at % 20).alias("code"),
+        F.when(at % 6 != 0, F.concat(F.lit("w"), (at % 9).cast("string"))).alias("word"))
+
+
+@query
+def gappy_histogram(spark, folder):
+    return profile.histogram(_gappy(spark, folder), ["gaps"], 12)
+
+
+@query
+def gappy_outliers(spark, folder):
+    return profile.iqr_outliers(_gappy(spark, folder), ["gaps"])
+
+
+@query
+def gappy_extremes(spark, folder):
+    return rank.score_extremes(_gappy(spark, folder), "gaps", "id")
+
+
+@query
+def gappy_codes(spark, folder):
+    return filters.exclude_codes(_gappy(spark, folder), "code", [11, 13]).select("id", "code")
+
+
+@query
+def gappy_values(spark, folder):
+    return filters.exclude_value(_gappy(spark, folder), "word", "w3").select("id", "word")
+
+
 @query
 def events_roc_curve(spark, folder):
     return metrics.roc_curve(_purchases(spark, folder), "value", "bought", 50)
@@ -618,7 +660,7 @@ def fairness_check(spark, folder):
 @query
 def feature_importance(spark, folder):
     run = model_run(spark, folder)
-    listed = models.feature_importance(run.fitted["Random Forest"])
+    listed = models.feature_importance(run.model)
     rows = spark.createDataFrame(listed, "feature string, importance double")
     return rows.orderBy(F.desc("importance"), "feature").limit(10)
 
@@ -646,7 +688,7 @@ def lift_vs_rule(spark, folder):
 
 
 def _explained(spark, folder):
-    """Attribution of a sample of test rows and of the two extreme ones, staged once."""
+    """Attribution of all test rows, staged once, and the ids of the two extreme ones."""
     run = model_run(spark, folder)
     test = splits.out_of_sample(run.fact)
     ends = rank.score_extremes(test, serve.RISK, ID).first()
@@ -654,32 +696,27 @@ def _explained(spark, folder):
     names = models.feature_names(run.model, *S.ENCOUNTERS.features())
 
     def build():
-        rows = rank.sample_n(test, 2000, 42, ID).withColumn("sampled", F.lit(True)).unionByName(
-            test.filter(F.col(ID).isin(*ids)).withColumn("sampled", F.lit(False)))
         train = run.table.filter(F.col("data_split") == "train")
-        shap = explain.shap_values(run.model, rows.drop("sampled").distinct(), run.model_dir,
-                                   background=train)
-        picked = rows.groupBy(ID).agg(F.max("sampled").alias("sampled"))
-        return shap.join(picked, ID)
+        return explain.shap_values(run.model, test, run.model_dir, background=train)
 
     return staged(spark, _name(folder, "shap"), build), names, ids
 
 
-def _sampled_attribution(spark, folder):
+def _attribution(spark, folder):
     shap, names, _ = _explained(spark, folder)
-    return explain.long_attribution(shap.filter("sampled"), names, ID)
+    return explain.long_attribution(shap, names, ID)
 
 
 @query
 def shap_global(spark, folder):
-    return explain.global_importance(_sampled_attribution(spark, folder))
+    return explain.global_importance(_attribution(spark, folder))
 
 
 @query
 def shap_reliable(spark, folder):
     listed = reliable_features(spark, folder)
     return explain.reliable_importance(
-        explain.global_importance(_sampled_attribution(spark, folder)), listed)
+        explain.global_importance(_attribution(spark, folder)), listed)
 
 
 @query

@@ -67,16 +67,6 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame, source: DataFrame) -> DataFrame:
-    """Repartition rows whose source arrives in fewer splits than there are cores.
-
-    For small inputs only: a source of many files is left alone, so nothing of real size
-    is shuffled for this. ``source`` is a plain scan; asking for its splits runs nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if source.rdd.getNumPartitions() < cores else df
-
-
 def fresh(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """Write ``df`` under a name of its own and read it back."""
     return written(df, name)

@@ -47,9 +47,13 @@ def test_auc_needs_both_classes(spark):
 def test_roc_curve_ends_at_one_and_rises(spark):
     _, df = scored(spark)
     points = metrics.roc_curve(df, "s", "y", 20).collect()
-    assert len(points) == 20 and (points[-1]["fpr"], points[-1]["tpr"]) == (1.0, 1.0)
+    assert len(points) == 21 and (points[-1]["fpr"], points[-1]["tpr"]) == (1.0, 1.0)
+    assert tuple(points[0]) == (0, None, 0.0, 0.0)
+    every = metrics.roc_curve(df, "s", "y").collect()
+    assert len(every) == 1 + df.select("s").dropna().distinct().count()
     assert [p["tpr"] for p in points] == sorted(p["tpr"] for p in points)
-    assert [p["threshold"] for p in points] == sorted((p["threshold"] for p in points), reverse=True)
+    cuts = [p["threshold"] for p in points[1:]]
+    assert cuts == sorted(cuts, reverse=True)
 
 
 def test_metrics_zero_where_undefined(spark):
