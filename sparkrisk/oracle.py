@@ -634,3 +634,10 @@ UNION ALL SELECT name FROM named WHERE n >= 200""",
         f"SELECT '{c}' AS feature, round(avg(abs({w} * ({c} - m_{c}))), 6) AS mean_abs_shap "
         f"FROM enc, m" for c, w in RULE_WEIGHTS.items()),
 }
+
+# scripts and round trips answer the same questions as the operators
+ORACLE |= {f"script_{n}": ORACLE[n] for n in (
+    "overall_rate", "rate_by_diagnosis", "specialty_volume", "utilization_tiers",
+    "length_of_stay", "segment_matrix", "admission_type_join", "admission_source_join",
+    "medication_change", "insulin_status")}
+ORACLE |= {"csv_round_trip": ORACLE["overall_rate"], "dims_round_trip": ORACLE["admission_type_join"]}

@@ -20,6 +20,7 @@ from sparkrisk.plans.cleaning import (
     clean, cleaning_audit, medication_features, normalise, utilization_features, with_label,
 )
 from sparkrisk.plans.pipeline import ModelRun, run_models
+from sparkrisk.sources import catalog, readers, sinks
 from sparkrisk.sources.lookups import lookup
 from sparkrisk.sources.star import encounters_raw, read_table
 from sparkrisk.workspace import run_dir, staged
@@ -228,6 +229,50 @@ def length_of_stay(spark, folder):
     }).orderBy("length_of_stay_days")
 
 
+#: statements of the package's own scripts: query, script, number of the statement
+SCRIPTS = [
+    ("overall_rate", "rates.sql", 1), ("rate_by_diagnosis", "rates.sql", 2),
+    ("specialty_volume", "rates.sql", 3), ("utilization_tiers", "utilization.sql", 1),
+    ("length_of_stay", "utilization.sql", 2), ("segment_matrix", "utilization.sql", 3),
+    ("admission_type_join", "admission.sql", 1), ("admission_source_join", "admission.sql", 2),
+    ("medication_change", "medication.sql", 1), ("insulin_status", "medication.sql", 2),
+]
+
+
+def _script(file: str, number: int) -> Query:
+    def run(spark, folder):
+        catalog.register(spark, catalog.star_tables(encounters(spark, folder), {
+            n: lookup(spark, n) for n in ("admission_type", "admission_source")}))
+        text = {file: catalog.own_scripts()[file]}
+        found = {r.number: r for r in catalog.run_scripts(spark, text)}[number]
+        if found.error:
+            raise ValueError(found.error)
+        return found.df
+    return run
+
+
+for _name_, _file, _number in SCRIPTS:
+    QUERIES[f"script_{_name_}"] = _script(_file, _number)
+
+
+@query
+def csv_round_trip(spark, folder):
+    """Raw rows written as CSV, read back with the declared schema, cleaned and counted."""
+    path = f"{run_dir(spark)}/{_name(folder, 'csv')}"
+    sinks.write_csv(raw(spark, folder), path)
+    return rates.overall_rate(clean(readers.read_encounters(spark, path)), LABEL)
+
+
+@query
+def dims_round_trip(spark, folder):
+    """A dimension exported and read back, joined as the stage table is."""
+    out = f"{run_dir(spark)}/{_name(folder, 'dims')}"
+    sinks.export_dims({"admission_type": lookup(spark, "admission_type")}, out)
+    dim = readers.read_lookup(spark, f"{out}/dim_admission_type", "admission_type_id")
+    return rates.rate_by_dim(encounters(spark, folder), dim, "admission_type_id", LABEL,
+                             "admission_type", min_n=200)
+
+
 def _by_dim(spark, folder, name, out, **kw):
     return rates.rate_by_dim(encounters(spark, folder), lookup(spark, name), f"{name}_id",
                              LABEL, out, **kw)

@@ -39,21 +39,38 @@ def statements(text: str) -> list[str]:
     return [part.strip() for part in "\n".join(code).split(";") if part.strip()]
 
 
-def run_sql_dir(spark: SparkSession, folder: str, out: str | None = None
+def read_scripts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name and text of the scripts of a folder, on any storage that Spark reads."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.sql").text(folder)
+    return {r[0]: r[1] for r in files.select("_metadata.file_name", "value").collect()}
+
+
+def own_scripts() -> dict[str, str]:
+    """The scripts that come with the package, read where the package is installed."""
+    return {p.name: p.read_text() for p in (Path(__file__).parent.parent / "sql").glob("*.sql")}
+
+
+def run_scripts(spark: SparkSession, scripts: Mapping[str, str], out: str | None = None
                 ) -> Iterator[StatementResult]:
-    """Run the scripts of a folder in name order; a failing statement is reported, not fatal.
+    """Run scripts in name order; a failing statement is reported, not fatal.
 
     With ``out`` each result is written as ``<out>/<script>_<n>`` and read back, so that
     errors of execution are recorded too and not only those of analysis.
     """
-    for script in sorted(Path(folder).glob("*.sql")):
-        for number, sql in enumerate(statements(script.read_text()), start=1):
+    for name, text in sorted(scripts.items()):
+        for number, sql in enumerate(statements(text), start=1):
             try:
                 df = spark.sql(sql)
                 if out is not None:
-                    path = f"{out.rstrip('/')}/{script.stem}_{number}"
+                    path = f"{out.rstrip('/')}/{name.removesuffix('.sql')}_{number}"
                     df.write.mode("overwrite").parquet(path)
                     df = spark.read.schema(df.schema).parquet(path)
-                yield StatementResult(script.name, number, sql, df, None)
+                yield StatementResult(name, number, sql, df, None)
             except PySparkException as err:
-                yield StatementResult(script.name, number, sql, None, str(err))
+                yield StatementResult(name, number, sql, None, str(err))
+
+
+def run_sql_dir(spark: SparkSession, folder: str, out: str | None = None
+                ) -> Iterator[StatementResult]:
+    """``run_scripts`` over the scripts of a folder."""
+    yield from run_scripts(spark, read_scripts(spark, folder), out)
