@@ -41,7 +41,7 @@ def statements(text: str) -> list[str]:
 
 def read_scripts(spark: SparkSession, folder: str) -> dict[str, str]:
     """Name and text of the scripts of a folder, on any storage that Spark reads."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.sql").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.sql")
     return {r[0]: r[1] for r in files.select("_metadata.file_name", "value").collect()}
 
 
