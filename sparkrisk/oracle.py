@@ -635,6 +635,27 @@ UNION ALL SELECT name FROM named WHERE n >= 200""",
         f"FROM enc, m" for c, w in RULE_WEIGHTS.items()),
 }
 
+# fitted models: split, decile rule and identities decide these, not the scores
+_SPLIT_EXACT = f"""{_E}, keys AS (
+  SELECT patient_nbr AS k, row_number() OVER (ORDER BY md5('42:' || patient_nbr), patient_nbr) AS r,
+         count(*) OVER () AS n FROM (SELECT DISTINCT patient_nbr FROM enc)),
+t AS (SELECT r <= ceil(0.2 * n) AS is_test FROM enc JOIN keys ON patient_nbr = k),
+tests AS (SELECT count(*) AS n FROM t WHERE is_test)"""
+ORACLE |= {
+    "scored_sizes": f"""{_SPLIT_EXACT},
+places AS (SELECT unnest(range(1, n + 1)) AS r, n FROM tests),
+tiles AS (SELECT CAST(greatest(1, (10 * (r - 1) + n - 2) // greatest(n - 1, 1)) AS INT) AS d
+          FROM places)
+SELECT 'test' AS data_split, d AS predicted_risk_decile,
+  CASE WHEN d <= 2 THEN 'High Risk (Top 20%)' WHEN d <= 5 THEN 'Medium Risk (Mid 30%)'
+       ELSE 'Low Risk (Bottom 50%)' END AS risk_band, count(*) AS n FROM tiles GROUP BY d
+UNION ALL SELECT 'train', NULL, NULL, count(*) FROM t WHERE NOT is_test""",
+    "model_auc_mirrored": "SELECT CAST(1.0 AS DOUBLE) AS both",
+    "model_reloaded": f"""{_E} SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_unmatched,
+  CAST(0.0 AS DOUBLE) AS max_diff FROM enc""",
+    "shap_adds_up": f"{_SPLIT_EXACT} SELECT n, CAST(0 AS BIGINT) AS n_off FROM tests",
+}
+
 # scripts and round trips answer the same questions as the operators
 ORACLE |= {f"script_{n}": ORACLE[n] for n in (
     "overall_rate", "rate_by_diagnosis", "specialty_volume", "utilization_tiers",

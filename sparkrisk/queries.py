@@ -772,3 +772,38 @@ def shap_local(spark, folder):
         reliable_features(spark, folder))
     return explain.local_explanation(long, high, ID).withColumn("kind", F.lit("highest")).unionByName(
         explain.local_explanation(long, low, ID).withColumn("kind", F.lit("lowest")))
+
+
+# ------------------------------- what holds for any fitted model, whatever its scores
+
+@query
+def scored_sizes(spark, folder):
+    """Rows per split, decile and band: the split and the decile rule decide them."""
+    return model_run(spark, folder).fact.groupBy(
+        "data_split", serve.DECILE, serve.BAND).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def model_auc_mirrored(spark, folder):
+    """The areas under the curves of a score and of its negative add up to one."""
+    test = splits.out_of_sample(model_run(spark, folder).fact).withColumn(
+        "mirrored", -F.col(serve.RISK))
+    one, other = (metrics.roc_auc(test, c, LABEL).first()[0] for c in (serve.RISK, "mirrored"))
+    return spark.range(1).select(F.round(F.lit(one + other), 5).alias("both"))
+
+
+@query
+def model_reloaded(spark, folder):
+    """The saved best model scores every row as the one in memory does."""
+    run = model_run(spark, folder)
+    a, b = (serve.score_fact(run.table, m) for m in (run.model, readers.load_model(run.model_dir)))
+    return metrics.compare_scores(a, b, ID, serve.RISK)
+
+
+@query
+def shap_adds_up(spark, folder):
+    """Base and attributions of every test row add up to what the model says."""
+    shap = _explained(spark, folder)[0]
+    total = F.col("base") + F.aggregate("shap", F.lit(0.0), lambda a, v: a + v)
+    return shap.agg(F.count(F.lit(1)).alias("n"),
+                    F.count_if(F.abs(total - F.col("margin")) > 1e-6).alias("n_off"))

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from sparkrisk.oracle import ORACLE
+from sparkrisk.queries import QUERIES
 from sparkrisk.queries import raw
 from sparkrisk.sources.star import encounters_raw
 from tools.check import TABLES, canonical, compare, connect
@@ -21,13 +23,13 @@ def duck():
 
 
 def test_only_model_queries_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == MODEL_QUERIES
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == MODEL_QUERIES
+    assert set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
-    assert compare(queries()[name](spark, SMALL), duck, oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, SMALL), duck, ORACLE[name]) is None
 
 
 def test_entry(spark):
@@ -81,7 +83,7 @@ def test_queries_on_skewed_tables(spark, skewed, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{skewed}/{t}.parquet/*.parquet')")
-    assert compare(queries()[name](spark, skewed), con, oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, skewed), con, ORACLE[name]) is None
 
 
 def test_tables_are_the_given_ones():
