@@ -20,6 +20,8 @@ from sparkrisk.operators.metrics import binary_metrics, roc_auc
 from sparkrisk.operators.rank import score_grid, top_decile_lift
 from sparkrisk.spec import ENCOUNTERS, EncounterSpec
 
+#: the indexer brings all values of a category to the driver
+MAX_CATEGORIES = 100_000
 FEATURES, SCALED, WEIGHT = "features", "features_scaled", "class_weight"
 PROBABILITY, PREDICTION = "probability_positive", "prediction"
 
@@ -128,6 +130,11 @@ def fit_encoder(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     block = VectorAssembler(inputCols=nums, outputCol="num_block")
     category_stages: list = []
     if cats:
+        seen = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in cats]).first().asDict()
+        wide = sorted(c for c, n in seen.items() if n > MAX_CATEGORIES)
+        if wide:
+            raise ValueError(f"more than {MAX_CATEGORIES} values to encode: {wide}; collapse "
+                             "rare ones first")
         category_stages = [
             StringIndexer(inputCols=cats, outputCols=[f"{c}_i" for c in cats],
                           handleInvalid="keep", stringOrderType="alphabetAsc"),
