@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table of its own in the shared folder: lineage ends there."""
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
