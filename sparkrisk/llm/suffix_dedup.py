@@ -367,14 +367,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP,
     """
     kind = dict(docs.dtypes)["doc_id"]
     found = docs.mapInArrow(lambda b: _anchor_rows(b, length), ANCHOR_TYPE.format(kind=kind))
-    often = found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1")
-    rows = written(found.join(often.hint("merge"), "anchor").drop("seen").withColumn(
+    # written, so that both sides of the join are plain exchanges, whose hot keys Spark splits
+    often = written(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1")
+                    .select("anchor"), "anchors-seen")
+    rows = written(found.join(often.hint("merge"), "anchor").withColumn(
         "run", F.spark_partition_id()), "anchors")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "version", "start",
                      "back", "width")
     classes = written(rows.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(place).alias("rep")), "contexts")
-    groups = classes.groupBy("anchor").agg(F.count("*").alias("alike")).where("alike > 1")
+    groups = written(classes.groupBy("anchor").agg(F.count("*").alias("alike"))
+                     .where("alike > 1"), "buckets")
     wanted = classes.join(groups.hint("merge"), "anchor").select(
         "anchor", "context", "alike", "rep.doc_id", "rep.version", "rep.start", "rep.back",
         "rep.width")
