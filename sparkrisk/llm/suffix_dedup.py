@@ -43,7 +43,7 @@ LENGTH = 200
 GRAM = 32
 PIECE = 16
 MAX_GROUP = 256
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 17
 BUCKET_BYTES = 1 << 20
 _PLACE_BITS = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,8 +56,22 @@ ANCHOR_TYPE = ("doc_id {kind}, version int, start int, back int, width int, "
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(29))
+    """``x`` with its bits spread, in place."""
+    x ^= x >> np.uint64(32)
+    x *= _MIX
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running polynomial sums, and what turns a difference of two into a hash by its start."""
+    up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[:len(data)]
+    np.cumsum(terms, out=total[1:])
+    return total, down
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,36 +95,34 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH,
     n, span = len(data), length - gram + 1
     if n < length:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    grams = _mixed((total[gram:] - total[:-gram]) * down[:n - gram + 1])
+    total, down = _totals(data)
+    keys = total[gram:] - total[:-gram]
+    keys *= down[:len(keys)]
+    _mixed(keys)
     # smallest gram of each window, the first of equals: its place is in the low bits
     low = np.uint64((1 << _PLACE_BITS) - 1)
-    keys = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    padded = np.full(-(-len(keys) // span) * span, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[:len(keys)] = keys
-    blocks = padded.reshape(-1, span)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    blocks = np.full((-(-len(keys) // span), span), np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded = blocks.reshape(-1)
+    np.bitwise_and(keys, ~low, out=padded[:len(keys)])
+    padded[:len(keys)] |= np.arange(len(keys), dtype=np.uint64)
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     windows = n - length + 1
-    least = np.minimum(behind[:windows], ahead[span - 1:span - 1 + windows])
-    place = (least & low).astype(np.int64)
-    start = np.arange(windows)
-    end_of = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[:windows]
-    valid = start + length <= end_of
-    start, place = start[valid], place[valid]
-    if not len(start):
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    new = np.ones(len(start), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.nonzero(new)[0]
-    width = np.diff(np.concatenate([first, [len(start)]])) - 1
-    at, place = start[first], place[first]
+    place = np.minimum(behind[:windows], ahead[span - 1:span - 1 + windows])
+    place &= low
+    place = place.view(np.int64)
+    # windows that cross an end belong to no run
+    cross = (ends[:-1, None] + np.arange(1 - length, 0)).ravel()
+    place[cross[(cross >= 0) & (cross < windows)]] = -1
+    first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+    width = np.diff(np.concatenate([first, [windows]])) - 1
+    real = place[first] >= 0
+    at, width = first[real], width[real]
+    place = place[at]
     covered = (total[at + width + length] - total[at]) * down[at]
-    shape = ((place - at) * 4096 + width).astype(np.uint64)
-    return (at, place, width, grams[place].view(np.int64),
-            _mixed(covered + _mixed(shape + np.uint64(1))).view(np.int64))
+    shape = ((place - at) * 4096 + width + 1).astype(np.uint64)
+    return (at, place, width, keys[place].view(np.int64),
+            _mixed(covered + _mixed(shape)).view(np.int64))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -220,13 +232,6 @@ def factors(data: np.ndarray, valid: np.ndarray,
     return out[0], out[1]
 
 
-def _ranges(flags: np.ndarray) -> list[dict]:
-    """Runs of set flags as first and last index."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [{"first": int(a), "last": int(b) - 1}
-            for a, b in zip(edge[::2], edge[1::2], strict=True)]
-
-
 _RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 RANGE_TYPE = "array<struct<first:int,last:int>>"
 
@@ -236,40 +241,90 @@ def _bucket_factors(batches: Iterator[pa.RecordBatch], length: int,
     """Windows of each context that are found elsewhere in its bucket.
 
     Rows come sorted by bucket and then by place in the corpus, so places in the joined
-    contexts of a bucket are in corpus order.
+    contexts of a bucket are in corpus order. Whole buckets are solved together until their
+    bytes reach BUCKET_BYTES.
     """
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(b for *_, b in rows), dtype=np.uint8)
-        sizes = np.array([len(b) for *_, b in rows])
-        begin = np.cumsum(sizes) - sizes
-        valid = np.concatenate([np.arange(b, b + s - length + 1)
-                                for b, s in zip(begin, sizes, strict=True)])
-        previous, following = factors(data, valid, length)
-        flags = previous >= length
-        if not first_stays:
-            flags |= following >= length
-        cut = np.cumsum(sizes - length + 1)[:-1]
-        found = [_ranges(x) for x in np.split(flags, cut)]
-        return pa.RecordBatch.from_arrays([
-            pa.array([a for a, *_ in rows], type=pa.int64()),
-            pa.array([c for _, c, _ in rows], type=pa.int64()),
-            pa.array(found, type=_RANGE)], names=["anchor", "context", "found"])
-
-    rows: list[tuple[int, int, bytes]] = []
+    rows: list[tuple[int, int, int, bytes]] = []
     size = 0
     for batch in batches:
-        for anchor, context, body in zip(batch.column("anchor").to_pylist(),
-                                         batch.column("context").to_pylist(),
-                                         batch.column("body").to_pylist(), strict=True):
-            if rows and (anchor, context) == rows[-1][:2]:
+        for row in zip(*(batch.column(c).to_pylist() for c in (
+                "anchor", "context", "back", "body")), strict=True):
+            if rows and row[:2] == rows[-1][:2]:
                 continue  # rows that repeat an id and a text
-            if size > BUCKET_BYTES and anchor != rows[-1][0]:
-                yield solve(rows)
+            if size > BUCKET_BYTES and row[0] != rows[-1][0]:
+                yield _solve(rows, length, first_stays)
                 rows, size = [], 0
-            rows.append((anchor, context, body))
-            size += len(body)
+            rows.append(row)
+            size += len(row[-1])
     if rows:
-        yield solve(rows)
+        yield _solve(rows, length, first_stays)
+
+
+def _solve(rows: list[tuple[int, int, int, bytes]], length: int,
+           first_stays: bool) -> pa.RecordBatch:
+    """Found windows of some whole buckets, by one suffix array over their contexts.
+
+    Equal windows have equal offsets from their anchor, so the windows of a piece (PIECE
+    neighbouring offsets) can only be found in contexts with the same ``core``, the bytes
+    that all of them cover. Only pieces whose core is shared go into the suffix array.
+    """
+    anchor = np.array([r[0] for r in rows], dtype=np.int64)
+    back = np.array([r[2] for r in rows], dtype=np.int64)
+    sizes = np.array([len(r[3]) for r in rows], dtype=np.int64)
+    data = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
+    begin, last = np.cumsum(sizes) - sizes, sizes - length
+    bucket = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
+    piece = (-back) // PIECE
+    count = (last - back) // PIECE - piece + 1
+    row = np.repeat(np.arange(len(rows)), count)
+    piece = piece[row] + _places(count)
+    low = piece * PIECE + back[row]  # of the whole piece, in the body
+    total, down = _totals(data)
+    a, b = begin[row] + low + PIECE - 1, begin[row] + low + length
+    core = _mixed((total[b] - total[a]) * down[a]
+                  + _mixed((bucket[row] * 8192 + piece + 4096).astype(np.uint64)))
+    _, which, times = np.unique(core, return_inverse=True, return_counts=True)
+    shared = times[which] > 1
+    row, low = row[shared], low[shared]
+    if not len(row):
+        return _found_batch(rows, row, row, row)
+    # windows of shared pieces, and the bytes of each context from the first to the last
+    start, stop = np.maximum(low, 0), np.minimum(low + PIECE - 1, last[row])
+    many = stop - start + 1
+    window = np.repeat(start, many) + _places(many)
+    held, at = np.unique(row, return_index=True)
+    from_, upto = start[at], np.maximum.reduceat(stop, at) + length
+    kept = upto - from_
+    bytes_ = data[np.repeat(begin[held] + from_, kept) + _places(kept)]
+    moved = np.zeros(len(rows), dtype=np.int64)
+    moved[held] = np.cumsum(kept) - kept - from_
+    owner = np.repeat(row, many)
+    previous, following = factors(bytes_, moved[owner] + window, length)
+    flags = previous >= length if first_stays else (previous >= length) | (following >= length)
+    owner, window = owner[flags], window[flags]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)
+    edge = np.flatnonzero(new)
+    end = np.concatenate([edge[1:], [len(owner)]])[:len(edge)] - 1
+    return _found_batch(rows, owner[edge], window[edge], window[end])
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... counts[0] - 1, 0, 1, ... counts[1] - 1, ..."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _found_batch(rows: list[tuple], owner: np.ndarray, first: np.ndarray,
+                 last: np.ndarray) -> pa.RecordBatch:
+    """One row per context with found windows: runs of windows as first and last."""
+    held, at = np.unique(owner, return_index=True)
+    runs = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)),
+                                       pa.array(last.astype(np.int32))], ["first", "last"])
+    offsets = pa.array(np.concatenate([at, [len(owner)]]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([
+        pa.array([rows[k][0] for k in held.tolist()], type=pa.int64()),
+        pa.array([rows[k][1] for k in held.tolist()], type=pa.int64()),
+        pa.ListArray.from_arrays(offsets, runs)], names=["anchor", "context", "found"])
 
 
 def _dense_factors(bodies: DataFrame, length: int, first_stays: bool) -> DataFrame:
@@ -383,9 +438,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP,
         "rep.width")
     bodies = written(_bodies(docs, wanted, length).withColumn("rep", F.struct(
         F.col("doc_id").isNull().alias("late"), "doc_id", "version", "start")), "bodies")
-    sparse = (bodies.where(F.col("alike") <= max_group).select("anchor", "context", "rep", "body")
+    sparse = (bodies.where(F.col("alike") <= max_group)
+              .select("anchor", "context", "back", "rep", "body")
               .repartition("anchor").sortWithinPartitions("anchor", "rep", "context")
-              .select("anchor", "context", "body")
+              .select("anchor", "context", "back", "body")
               .mapInArrow(lambda b: _bucket_factors(b, length, first_stays),
                           f"anchor long, context long, found {RANGE_TYPE}"))
     dense = _dense_factors(bodies.where(F.col("alike") > max_group), length, first_stays)
