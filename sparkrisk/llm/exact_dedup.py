@@ -84,15 +84,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``exact_dedup`` keeps, with all their columns."""
-    ident, sha, own, nth = (spare(docs, f"_{x}") for x in ("id", "sha", "own", "nth"))
-    kept = (exact_dedup(docs, id_col, text_col).where("kept")
-            .select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)))
-    marked = docs.withColumn(own, F.sha2(normalised(text_of(text_col)), 256))
-    met = marked.join(kept, F.col(id_col).eqNullSafe(F.col(ident))
-                      & (F.col(own) == F.col(sha)))
+    """The rows that ``exact_dedup`` keeps, with all their columns.
+
+    Texts travel once: join and window ask for the same partitioning.
+    """
+    ident, sha, own_id, own_sha, nth = (
+        spare(docs, f"_{x}") for x in ("id", "sha", "own_id", "own_sha", "nth"))
+
+    def never_null(name: str) -> Column:
+        return F.coalesce(F.concat(F.lit("i"), F.col(name).cast("string")), F.lit(""))
+
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(
+        never_null("doc_id").alias(ident), F.col("text_sha256").alias(sha))
+    marked = docs.withColumns({
+        own_id: never_null(id_col),
+        # never null either: else the join's null filter computes every digest once more
+        own_sha: F.coalesce(F.sha2(normalised(text_of(text_col)), 256), F.lit(""))})
+    met = marked.join(kept, (F.col(own_id) == F.col(ident)) & (F.col(own_sha) == F.col(sha)))
     # rows that repeat an id and its text: one of them
-    once = Window.partitionBy(ident, sha).orderBy(ident)
+    once = Window.partitionBy(own_id, own_sha).orderBy(own_id)
     return (met.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
             .select(*docs.columns))
 
