@@ -5,7 +5,9 @@ the item has) is within ``floor((1 - similarity) * n)`` word edits of it. The CG
 turns a window into a string of 3n symbols: at each step the current word is written and a
 random bit of (step, word) says whether to move on; edit distance becomes Hamming distance.
 Windows and items that agree on a few sampled steps in one of many repeats are candidates,
-and the exact edit distance decides.
+and the exact edit distance decides. How many walks and tables an item gets follows from its
+length and ``target_recall``, by trials at exactly the allowed edits; items that none of
+``LEVELS`` brings to the target are compared directly wherever the next filter lets them.
 
 Windows that cannot qualify are never embedded: k edits destroy at most 2k of an item's
 n - 1 word pairs, so a window needs n - 1 - 2k pairs of that item, and some seven
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,11 @@ from sparkrisk.llm.common import spare
 SIMILARITY = 0.8
 MIN_WORDS = 5
 BLOCK_ITEMS = 2_000
-WALKS = 8
-TABLES = 6
+TARGET_RECALL = 0.98
+#: (walks, tables of each), cheapest first
+LEVELS = ((8, 6), (8, 12), (16, 12), (16, 24))
+DIRECT = (0, 0)
+TRIALS = 200
 SAMPLED = 3
 SPAN = 7
 SEED = 7
@@ -68,6 +74,26 @@ def edit_distance(a: list[int] | np.ndarray, b: list[int] | np.ndarray, most: in
     return min(score, most + 1)
 
 
+def ends_near(a: list[int] | np.ndarray, b: list[int] | np.ndarray, most: int
+              ) -> list[tuple[int, int]]:
+    """(edits, end): places in ``b`` where some stretch within ``most`` edits of ``a`` ends."""
+    where: dict[int, int] = defaultdict(int)
+    for k, x in enumerate(a):
+        where[int(x)] |= 1 << k
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, score, out = full, 0, len(a), []
+    for end, y in enumerate(b, 1):
+        equal = where.get(int(y), 0)
+        across = (((equal & plus) + plus) ^ plus) | equal | minus
+        up, down = minus | (full & ~(across | plus)), plus & across
+        score += bool(up & last) - bool(down & last)
+        up, down = (up << 1) & full, (down << 1) & full  # a stretch may begin anywhere
+        plus, minus = down | (full & ~((equal | minus) | up)), up & (equal | minus)
+        if score <= most:
+            out.append((score, end))
+    return out
+
+
 def _moves(walks: np.ndarray, step: int, symbols: np.ndarray) -> np.ndarray:
     """A random bit of (walk, step, symbol)."""
     with np.errstate(over="ignore"):
@@ -94,12 +120,52 @@ def cgk(windows: np.ndarray, walks: int) -> np.ndarray:
     return out
 
 
+def _edited(rng: np.random.Generator, n: int, k: int, kind: int) -> np.ndarray:
+    """Words 1 .. n after k edits (substitutions, deletions, insertions or all), n words long.
+
+    A deletion and the word that fills the window up again are two edits, as are an insertion
+    and the word it pushes out.
+    """
+    words, fresh = list(range(1, n + 1)), n
+    k = k // 2 if kind in (1, 2) else k
+    for step, at in enumerate(sorted(rng.choice(n, k, replace=False).tolist(), reverse=True)):
+        fresh += 1
+        how = step % 3 if kind == 3 else kind
+        words[at:at + (how < 2)] = [] if how == 1 else [fresh]
+    return np.array((words + list(range(fresh + 1, fresh + n)))[:n])
+
+
+@lru_cache(maxsize=None)
+def _level(n: int, similarity: float, target: float) -> tuple[int, int]:
+    if n > 100 and _level(-(-n // 20) * 10, similarity, target) == DIRECT:
+        return DIRECT  # longer items are reached less often
+    rng, k = np.random.default_rng(SEED), allowed(n, similarity)
+    own = np.arange(1, n + 1)[None, :]
+    texts = [np.stack([_edited(rng, n, k, kind) for _ in range(TRIALS)]) for kind in range(4)]
+    most = max(walks for walks, _ in LEVELS)
+    item = cgk(own, most)[:, :, :2 * n]
+    shares = [(cgk(t, most)[:, :, :2 * n] == item).mean(axis=2) for t in texts]
+    for walks, tables in LEVELS:
+        if all(1 - ((1 - p[:walks] ** SAMPLED) ** tables).prod(axis=0).mean() >= target
+               for p in shares):
+            return walks, tables
+    return DIRECT
+
+
+def level(n: int, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL
+          ) -> tuple[int, int]:
+    """Walks and tables that find a passage with all allowed edits of an n-word item with
+    probability ``target_recall`` even if nothing but its own window could, or DIRECT."""
+    return _level(-(-n // 10) * 10, similarity, target_recall)
+
+
 class Index:
     """The items of one block, and the search of many windows among them."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY,
-                 walks: int = WALKS, tables: int = TABLES, sampled: int = SAMPLED):
-        self.similarity, self.walks, self.tables, self.sampled = similarity, walks, tables, sampled
+                 target_recall: float = TARGET_RECALL,
+                 levels: dict[int, tuple[int, int]] | None = None):
+        self.similarity = similarity
         self.number: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item, text in items:
@@ -121,37 +187,47 @@ class Index:
         self.pairs, first, self.count = np.unique(code[order], return_index=True,
                                                   return_counts=True)
         self.first, self.holder = first, item[order]
-        #: where the sampled steps of each walk and table are, as shares of 2n steps
-        self.at = np.random.default_rng(SEED).random((walks, tables, sampled))
-        self._signed: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def _signatures(self, windows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        #: walks and tables by item length
+        self.levels = levels or {n: level(n, similarity, target_recall)
+                                 for n in set(self.length.tolist())}
+        self.direct = np.array([self.levels[n] == DIRECT for n in self.length.tolist()],
+                               dtype=bool)
+        self._signed: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def _signatures(self, windows: np.ndarray, n: np.ndarray, walks: int,
+                    tables: int) -> np.ndarray:
         """(walks x tables, rows): a number for a window's length and sampled symbols."""
-        strings, rows = cgk(windows, self.walks), np.arange(len(windows))
-        out = np.empty((self.walks * self.tables, len(windows)), dtype=np.int64)
-        for walk in range(self.walks):
-            for table in range(self.tables):
+        strings, rows = cgk(windows, walks), np.arange(len(windows))
+        #: where the sampled steps of each walk and table are, as shares of 2n steps
+        at = np.random.default_rng(SEED).random((walks, tables, SAMPLED))
+        out = np.empty((walks * tables, len(windows)), dtype=np.int64)
+        for walk in range(walks):
+            for table in range(tables):
                 key = n.copy()
-                for share in self.at[walk, table]:
+                for share in at[walk, table]:
                     # a walk leaves its window after about 2n steps
                     symbol = strings[walk, rows, (share * 2 * n).astype(np.int64)]
                     key = key * (self.base + 1) + symbol + 1
-                out[walk * self.tables + table] = key
+                out[walk * tables + table] = key
         return out
 
-    def signed(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per walk and table: sorted signatures of the items, and the items in that order."""
-        if not self._signed:
-            rows = np.full((len(self.items), int(self.length.max())), -1, dtype=np.int64)
-            for k, (_, words) in enumerate(self.items):
-                rows[k, :len(words)] = words
-            for key in self._signatures(rows, self.length):
+    def signed(self, of: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per walk and table: sorted signatures of a level's items, and the items so ordered."""
+        if of not in self._signed:
+            own = np.array([k for k, n in enumerate(self.length.tolist()) if self.levels[n] == of])
+            rows = np.full((len(own), int(self.length[own].max())), -1, dtype=np.int64)
+            for row, k in zip(rows, own.tolist(), strict=True):
+                row[:self.length[k]] = self.items[k][1]
+            self._signed[of] = []
+            for key in self._signatures(rows, self.length[own], *of):
                 order = np.argsort(key, kind="stable")
-                self._signed.append((key[order], order))
-        return self._signed
+                self._signed[of].append((key[order], own[order]))
+        return self._signed[of]
 
-    def _starts(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Window starts by window length: windows with enough pairs of one item."""
+    def _starts(self, tokens: np.ndarray
+                ) -> tuple[list[tuple[int, np.ndarray]], list[tuple[int, int, int]]]:
+        """Windows with enough pairs of one item: starts by window length where tables decide,
+        and (item, first start, last start) where the item is compared directly."""
         marks = np.zeros(len(tokens), dtype=np.int64)
         both = np.nonzero((tokens[:-1] > 0) & (tokens[1:] > 0))[0]
         code = tokens[both] * self.base + tokens[both + 1]
@@ -163,7 +239,7 @@ class Index:
         at = np.arange(len(tokens))
         dense = np.nonzero(upto[np.minimum(at + SPAN, len(tokens))] - upto[:-1] >= self.share)[0]
         if not len(dense):
-            return []
+            return [], []
         # pairs farther from such a place than the longest item is long are in no window
         reach, most = np.zeros(len(tokens) + 1, dtype=np.int64), int(self.length.max())
         np.add.at(reach, np.maximum(dense - most, 0), 1)
@@ -183,26 +259,45 @@ class Index:
         head, tail = np.nonzero(inside)[0], last[inside]
         n = self.length[item[head]]
         good = (item[head] == item[tail]) & (spot[tail] - spot[head] <= n - 2)
-        head, tail, n = spot[head[good]], spot[tail[good]], n[good]
-        out = []
-        for size in np.unique(n).tolist():
-            own = n == size
-            low, high = np.maximum(tail[own] - size + 2, 0), head[own]
+        item, head, tail, n = item[head[good]], spot[head[good]], spot[tail[good]], n[good]
+        first, last = np.maximum(tail - n + 2, 0), head
+        direct, out = self.direct[item], []
+        for size in np.unique(n[~direct]).tolist():
+            own = ~direct & (n == size)
             cover = np.zeros(len(tokens) + 1, dtype=np.int64)
-            np.add.at(cover, low, 1)
-            np.add.at(cover, high + 1, -1)
+            np.add.at(cover, first[own], 1)
+            np.add.at(cover, last[own] + 1, -1)
             out.append((size, np.nonzero(np.cumsum(cover[:-1]) > 0)[0]))
-        return out
-
-    def _windows(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(start, length, document) of the windows to embed; none crosses a document's end."""
-        found = self._starts(tokens)
-        start = np.concatenate([np.zeros(0, dtype=np.int64), *(x for _, x in found)])
-        n = np.repeat(np.array([size for size, _ in found], dtype=np.int64),
-                      [len(x) for _, x in found])
-        doc = np.searchsorted(ends, start, side="right")
-        fits = start + n <= ends[doc] if len(start) else np.zeros(0, dtype=bool)
-        return start[fits], n[fits], doc[fits]
+        # both ends rise within an item, so runs that touch are neighbours
+        item, first, last = item[direct], first[direct], last[direct]
+        new = np.ones(len(item), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (first[1:] > last[:-1] + 1)
+        begin = np.nonzero(new)[0]
+        end = np.append(begin[1:], len(item)) - 1 if len(begin) else begin
+        return out, list(zip(item[begin].tolist(), first[begin].tolist(), last[end].tolist(),
+                             strict=True))
+
+    def _compared(self, tokens: np.ndarray, ends: np.ndarray, k: int, first: int, last: int
+                  ) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """(document, (edits, start, words)): the best windows of item k that start in a run."""
+        words = self.items[k][1]
+        n, most = len(words), allowed(len(words), self.similarity)
+        for doc in range(int(np.searchsorted(ends, first, side="right")),
+                         int(np.searchsorted(ends, last, side="right")) + 1):
+            low = max(first, int(ends[doc - 1]) if doc else 0)
+            high = min(last, int(ends[doc]) - n)
+            best = (most + 1, 0, n)
+            # a window has no fewer edits than the best stretch that ends where it does
+            for least, end in sorted(ends_near(words, tokens[low:high + n].tolist(), most)
+                                     if high >= low else []):
+                if least > best[0]:
+                    break
+                at = low + end - n
+                if at >= low:
+                    edits = edit_distance(words, tokens[at:at + n].tolist(), most)
+                    best = min(best, (edits, at, n))
+            if best[0] <= most:
+                yield doc, best
 
     def search(self, tokens: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, words, edits): the best window per document and item.
@@ -212,30 +307,44 @@ class Index:
         """
         if not self.items or len(tokens) < MIN_WORDS:
             return []
-        windows = self._windows(tokens, ends)
+        found, runs = self._starts(tokens)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for cut in range(0, len(windows[0]), 1024):
-            start, n, doc = (x[cut:cut + 1024] for x in windows)
-            span = np.arange(int(n.max()))
-            rows = np.where(span < n[:, None],
-                            tokens[np.minimum(start[:, None] + span, len(tokens) - 1)], -1)
-            tried: set[tuple[int, int]] = set()
-            for key, (theirs, order) in zip(self._signatures(rows, n), self.signed(),
-                                            strict=True):
-                low = np.searchsorted(theirs, key, side="left")
-                high = np.searchsorted(theirs, key, side="right")
-                for w in np.nonzero(high > low)[0].tolist():
-                    tried.update((w, k) for k in order[low[w]:high[w]].tolist())
-            for w, k in sorted(tried):
-                item, words = self.items[k]
-                if len(words) != n[w]:
-                    continue
-                most = allowed(len(words), self.similarity)
-                edits = edit_distance(words, rows[w, :len(words)], most)
-                if edits <= most:
-                    key = (int(doc[w]), item)
-                    found = (edits, int(start[w]), len(words))
-                    best[key] = min(best.get(key, found), found)
+
+        def better(doc: int, k: int, hit: tuple[int, int, int]) -> None:
+            key = (doc, self.items[k][0])
+            best[key] = min(best.get(key, hit), hit)
+
+        for k, first, last in runs:
+            for doc, hit in self._compared(tokens, ends, k, first, last):
+                better(doc, k, hit)
+        for of in sorted({self.levels[size] for size, _ in found}):
+            some = [(size, x) for size, x in found if self.levels[size] == of]
+            starts = np.concatenate([x for _, x in some])
+            sizes = np.repeat(np.array([size for size, _ in some], dtype=np.int64),
+                              [len(x) for _, x in some])
+            docs = np.searchsorted(ends, starts, side="right")
+            fits = starts + sizes <= ends[docs]  # no window crosses a document's end
+            starts, sizes, docs = starts[fits], sizes[fits], docs[fits]
+            for cut in range(0, len(starts), 1024):
+                start, n, doc = (x[cut:cut + 1024] for x in (starts, sizes, docs))
+                span = np.arange(int(n.max()))
+                rows = np.where(span < n[:, None],
+                                tokens[np.minimum(start[:, None] + span, len(tokens) - 1)], -1)
+                tried: set[tuple[int, int]] = set()
+                for key, (theirs, order) in zip(self._signatures(rows, n, *of), self.signed(of),
+                                                strict=True):
+                    low = np.searchsorted(theirs, key, side="left")
+                    high = np.searchsorted(theirs, key, side="right")
+                    for w in np.nonzero(high > low)[0].tolist():
+                        tried.update((w, k) for k in order[low[w]:high[w]].tolist())
+                for w, k in sorted(tried):
+                    words = self.items[k][1]
+                    if len(words) != n[w]:
+                        continue
+                    most = allowed(len(words), self.similarity)
+                    edits = edit_distance(words, rows[w, :len(words)], most)
+                    if edits <= most:
+                        better(int(doc[w]), k, (edits, int(start[w]), len(words)))
         begins = np.concatenate([[0], ends[:-1]])
         return [(d, item, at - int(begins[d]), n, edits)
                 for (d, item), (edits, at, n) in sorted(best.items())]
@@ -258,9 +367,11 @@ def _search_block(texts: list[str | None], index: Index) -> list[list[dict]]:
     return out
 
 
-def _finder(items: list[tuple[int, str]], similarity: float):
+def _finder(items: list[tuple[int, str]], similarity: float, target_recall: float):
+    levels = Index(items, similarity, target_recall).levels  # once, not in every task
+
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(items, similarity)
+        index = Index(items, similarity, target_recall, levels)
         for array in texts:
             found = []
             for at in range(0, len(array), 2000):
@@ -271,8 +382,8 @@ def _finder(items: list[tuple[int, str]], similarity: float):
 
 
 def with_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str,
-              name: str, similarity: float = SIMILARITY,
-              block_items: int = BLOCK_ITEMS) -> DataFrame:
+              name: str, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS,
+              target_recall: float = TARGET_RECALL) -> DataFrame:
     """``docs`` with a column ``name``: every item that contaminates the row's text."""
     rows = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(
         F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -282,13 +393,15 @@ def with_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, it
     for block in range(blocks):
         own = [(r["id"], r["text"]) for r in rows.where(part == block).collect()]
 
-        columns.append(F.arrow_udf(_finder(own, similarity), HIT_TYPE)(F.col(text_col)))
+        columns.append(F.arrow_udf(_finder(own, similarity, target_recall), HIT_TYPE)(
+            F.col(text_col)))
     return docs.withColumn(name, F.concat(*columns) if len(columns) > 1 else columns[0])
 
 
 def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-                    similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+                    similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS,
+                    target_recall: float = TARGET_RECALL) -> DataFrame:
     """One row per input row: doc_id, contaminated, item_ids, similarity, hits.
 
     item_ids are distinct and sorted; similarity is the largest 1 - edits / words over the
@@ -298,7 +411,8 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     empty table gives no rows.
     """
     found = with_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                      items, "text", item_id, item_text, "_hits", similarity, block_items)
+                      items, "text", item_id, item_text, "_hits", similarity, block_items,
+                      target_recall)
     best = F.array_max(F.transform("_hits", lambda h: 1 - h["edits"] / h["n_words"]))
     return found.select("doc_id", "_hits").select(
         "doc_id", (F.size("_hits") > 0).alias("contaminated"),
@@ -308,10 +422,12 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
-                      item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+                      item_id: str = "item_id", item_text: str = "text",
+                      target_recall: float = TARGET_RECALL) -> DataFrame:
     """The rows without a hit, with all their columns."""
     name = spare(docs, "_hits")
-    return (with_hits(docs, items, text_col, item_id, item_text, name)
+    return (with_hits(docs, items, text_col, item_id, item_text, name,
+                      target_recall=target_recall)
             .where(F.size(name) == 0).select(*docs.columns))
 
 

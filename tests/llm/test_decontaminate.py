@@ -103,3 +103,50 @@ def test_exact_passages_are_always_found(spark):
     got = dec.decontamination(documents(spark, texts, 0), spark.createDataFrame(
         items, "item_id long, text string")).collect()
     assert all(r["doc_id"] in r["item_ids"] and r["similarity"] == 1.0 for r in got)
+
+
+def _worst(rng, own, kind):
+    """A passage at the allowed edits: substituted, or deleted and refilled to its size."""
+    own, k = list(own), dec.allowed(len(own))
+    k = k if kind else k // 2
+    for at in sorted(rng.sample(range(len(own)), k), reverse=True):
+        own[at:at + 1] = [f"new{rng.randrange(9999)}"] if kind else []
+    return own if kind else own + [f"fill{j}" for j in range(k)]
+
+
+def test_long_items_reach_the_target_recall():
+    rng = random.Random(4)
+    items = [(k, words(n, k, 3000)) for k, n in enumerate([100, 150, 200, 300, 400] * 8)]
+    texts = [" ".join([words(30, 100 + k), *_worst(rng, t.split(), (k // 5) % 2), words(30, k)])
+             for k, t in items]
+    got = dec._search_block(texts, dec.Index(items))
+    found = [{h["item_id"] for h in hits} for hits in got]
+    for k, text in enumerate(texts):
+        own, want = dec.words_of(text), dec.words_of(items[k][1])
+        n, most = len(want), dec.allowed(len(want))
+        best = min(dec.edit_distance(_codes(want), _codes(own[s:s + n]), most)
+                   for s in range(len(own) - n + 1))
+        assert best <= most
+        assert all(h["edits"] >= best for h in got[k] if h["item_id"] == k)
+    assert all(hit <= {k} for k, hit in enumerate(found))
+    assert sum(map(len, found)) >= dec.TARGET_RECALL * len(items)
+
+
+def _codes(own):
+    return [hash(w) for w in own]
+
+
+def test_walks_and_tables_follow_length_and_target():
+    assert dec.level(20, target_recall=0.5) == dec.LEVELS[0]
+    assert dec.level(400) == dec.DIRECT and dec.level(5000) == dec.DIRECT
+    cost = [dec.LEVELS.index(x) if x in dec.LEVELS else 99
+            for x in (dec.level(60, target_recall=r) for r in (0.5, 0.9, 0.98, 0.9999))]
+    assert cost == sorted(cost)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=8),
+       st.lists(st.integers(0, 3), max_size=12), st.integers(0, 5))
+def test_ends_of_near_stretches(a, b, most):
+    want = [(min(_distance(a, b[s:e]) for s in range(e + 1)), e) for e in range(1, len(b) + 1)]
+    assert dec.ends_near(a, b, most) == [x for x in want if x[0] <= most]
