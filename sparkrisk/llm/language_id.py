@@ -210,6 +210,14 @@ def _held_out(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 == HELD_OUT
 
 
+def sampled(rows: DataFrame, sizes: dict[str, int], sample_docs: int) -> DataFrame:
+    """About ``sample_docs`` rows of each ``lang``, of which there are ``sizes``, by a 63-bit hash."""
+    bound = F.create_map(*[F.lit(x) for lang, n in sizes.items()
+                           for x in (lang, min((sample_docs << 63) // n, (1 << 63) - 1))])
+    return rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 1)
+                      <= bound[F.col("lang")])
+
+
 def training_words(docs: DataFrame, id_col: str, text_col: str, label_col: str,
                    sample_docs: int) -> DataFrame:
     """Rows (lang, word, n) of about ``sample_docs`` documents per label, held-out ones apart."""
@@ -219,10 +227,7 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, label_col: str,
     sizes = dict(rows.groupBy("lang").count().collect())
     if not sizes:
         return rows.select("lang", F.lit("").alias("word"), F.lit(1).alias("n")).limit(0)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items()
-                           for x in (lang, int(min(1.0, sample_docs / n) * 1_000_000))])
-    some = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-                      < share[F.col("lang")])
+    some = sampled(rows, sizes, sample_docs)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

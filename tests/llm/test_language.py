@@ -114,3 +114,15 @@ def test_without_labels_everything_is_undetermined(spark):
     rows = [(k, t, None, s, n) for k, t, _, s, n in _rows(20)]
     got = lid.language_id(spark.createDataFrame(rows, DOCS)).collect()
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
+
+
+def test_sample_of_a_language_does_not_shrink_with_its_size(spark):
+    rows = spark.range(40_000_000).selectExpr("id AS doc_id", "'en' AS lang")
+    # as many rows as a language of n documents would give from a part of it
+    for n in (650_000_000, 2_000_000_000):
+        want = 40_000_000 * 1200 / n
+        got = lid.sampled(rows, {"en": n}, 1200).count()
+        assert abs(got - want) < 5 * math.sqrt(want)
+        assert got > 0
+    assert lid.sampled(rows.limit(900), {"en": 900}, 1200).count() == 900
+    assert lid.sampled(rows.limit(1200), {"en": 1200, "de": 3}, 1200).count() == 1200
