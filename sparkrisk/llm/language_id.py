@@ -31,7 +31,6 @@ VOCABULARY = "piece_bpe_32k.model"
 MAX_PIECE = 4
 SAMPLE_DOCS = 1200
 ROUNDS = 3
-ALPHABET = 46
 PRIOR = 0.1
 MIN_SCORE = 0.5
 HELD_OUT = 2
@@ -58,8 +57,9 @@ def vocabulary_pieces(path: str | None = None, max_piece: int = MAX_PIECE) -> li
 class Model:
     """Letters, pieces as tuples of letter codes, and one row of probabilities per piece.
 
-    Letter code 0 stands for every letter outside the alphabet, code 1 for the word start.
-    Every single code is a piece, so each word has at least one segmentation.
+    Letter code 0 stands for every letter that neither the vocabulary nor the sample has, code
+    1 for the word start. Every single code is a piece, so each word has at least one
+    segmentation.
     """
 
     letters: str
@@ -67,16 +67,24 @@ class Model:
     languages: list[str]
     prob: np.ndarray  # (pieces, languages)
 
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per piece length: n-gram code to row, and the rows (row 0: not a piece)."""
-        base = len(self.letters) + 2
-        out = []
-        for size in range(1, max(map(len, self.pieces)) + 1):
-            own = [k for k, p in enumerate(self.pieces) if len(p) == size]
-            row_of = np.zeros(base ** size, dtype=np.int32)
-            codes = np.array([self.pieces[k] for k in own], dtype=np.int64).reshape(-1, size)
-            row_of[codes @ (base ** np.arange(size - 1, -1, -1))] = np.arange(1, len(own) + 1)
-            out.append((row_of, np.array(own, dtype=np.int64)))
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per size: the beginnings of pieces, their rows, and the pieces of the rows.
+
+        A beginning is the number of the one a letter shorter (0 of no letter) times the
+        number of codes, plus its last code; they are sorted and numbered from 1. Row 0 is not
+        a piece.
+        """
+        base, pieces = len(self.letters) + 2, self.pieces
+        node, out = np.zeros(len(pieces), dtype=np.int64), []
+        for size in range(1, max(map(len, pieces)) + 1):
+            own = np.array([k for k, p in enumerate(pieces) if len(p) >= size], dtype=np.int64)
+            key = node[own] * base + np.array([pieces[k][size - 1] for k in own], dtype=np.int64)
+            keys, at = np.unique(key, return_inverse=True)
+            node[own] = at + 1
+            whole = np.array([k for k in own if len(pieces[k]) == size], dtype=np.int64)
+            row_of = np.zeros(len(keys) + 1, dtype=np.int32)
+            row_of[node[whole]] = np.arange(1, len(whole) + 1)
+            out.append((keys, row_of, whole))
         return out
 
 
@@ -102,12 +110,17 @@ def _encoded(words: list[str], letters: str) -> Iterator[tuple[np.ndarray, np.nd
             yield np.array(some), codes
 
 
-def _grams(codes: np.ndarray, base: int, most: int) -> list[np.ndarray]:
-    """Codes of the n-grams of each size; column j is the n-gram that ends before j + size."""
-    grams = [codes]
-    for size in range(2, min(most, codes.shape[1]) + 1):
-        grams.append(grams[-1][:, :-1] * base + codes[:, size - 1:])
-    return grams
+def _rows(codes: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
+          base: int) -> list[np.ndarray]:
+    """Rows of the n-grams of each size; column j is the n-gram that ends before j + size."""
+    out, node = [], np.zeros((len(codes), codes.shape[1] + 1), dtype=np.int64)
+    for size, (keys, row_of, _) in enumerate(tables[:codes.shape[1]], 1):
+        before = node[:, :-1]
+        key = before * base + codes[:, size - 1:]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        node = np.where((keys[at] == key) & ((before > 0) | (size == 1)), at + 1, 0)
+        out.append(row_of[node])
+    return out
 
 
 class Scorer:
@@ -117,20 +130,19 @@ class Scorer:
         self.model = model
         self.base = len(model.letters) + 2
         empty = np.zeros((1, len(model.languages)))
-        self.tables = [(row_of, np.vstack([empty, model.prob[own]]))
-                       for row_of, own in model.tables()]
+        self.tables = model.tables()
+        self.probs = [np.vstack([empty, model.prob[own]]) for *_, own in self.tables]
         self.place: dict[str, int] = {}
         self.known = np.zeros((0, len(model.languages)))
 
     def forward(self, codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Forward values after each position, scaled, and the log of the scale."""
         n, length = codes.shape
-        rows = [row_of[g] for (row_of, _), g in zip(
-            self.tables, _grams(codes, self.base, len(self.tables)), strict=False)]
+        rows = _rows(codes, self.tables, self.base)
         alpha = [np.ones((n, len(self.model.languages)))]
         scale = np.zeros((n, 1))
         for j in range(1, length + 1):
-            total = sum(alpha[-size] * self.tables[size - 1][1][rows[size - 1][:, j - size]]
+            total = sum(alpha[-size] * self.probs[size - 1][rows[size - 1][:, j - size]]
                         for size in range(1, min(j, len(rows)) + 1))
             if j % 16 == 0 and length > 24:  # keep long words inside the range of doubles
                 most = total.max(axis=1, keepdims=True)
@@ -174,10 +186,8 @@ def expected_counts(model: Model, words: list[str], weights: np.ndarray,
     for places, codes in _encoded(words, model.letters):
         lang, weight = languages[places], weights[places]
         n, length = codes.shape
-        grams = _grams(codes, base, len(tables))
         prob, ids = [], []
-        for (row_of, own), g in zip(tables, grams, strict=False):
-            row = row_of[g]
+        for (*_, own), row in zip(tables, _rows(codes, tables, base), strict=False):
             piece = np.append(own, 0)[row - 1]  # row 0 is no piece
             ids.append(piece)
             prob.append(np.where(row > 0, model.prob[piece, lang[:, None]], 0.0))
@@ -241,20 +251,28 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, label_col: str,
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
+def sample_letters(words: DataFrame) -> set[str]:
+    """Every letter of the words."""
+    def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
+        for batch in batches:
+            seen.update(*batch["word"])
+        yield pd.DataFrame({"c": sorted(seen)}, dtype=object)
+
+    return {r[0] for r in words.select("word").mapInPandas(letters, "c string")
+            .distinct().collect()}
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "lang", vocabulary: str | None = None, max_piece: int = MAX_PIECE,
         sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
     """Piece probabilities per language; a model without languages if nothing is labelled."""
     words = written(training_words(docs, id_col, text_col, label_col, sample_docs), "lid-words")
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
-    letters = "".join(sorted(r[0] for r in (
-        words.select(F.explode(F.split("word", "")).alias("c"), "n").where("c <> ''")
-        .groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(ALPHABET)
-        .collect())))
+    known = vocabulary_pieces(vocabulary, max_piece)
+    letters = "".join(sorted(sample_letters(words).union(*known) - {START}))
     code = {START: 1} | {c: k + 2 for k, c in enumerate(letters)}
-    pieces = {(k,) for k in range(len(letters) + 2)} | {
-        tuple(code[c] for c in p) for p in vocabulary_pieces(vocabulary, max_piece)
-        if all(c in code for c in p)}
+    pieces = {(k,) for k in range(len(letters) + 2)} | {tuple(code[c] for c in p) for p in known}
     pieces = sorted(pieces, key=lambda p: (len(p), p))
     model = Model(letters, pieces, languages, np.full((len(pieces), len(languages)),
                                                       1 / len(pieces)))

@@ -126,3 +126,31 @@ def test_sample_of_a_language_does_not_shrink_with_its_size(spark):
         assert got > 0
     assert lid.sampled(rows.limit(900), {"en": 900}, 1200).count() == 900
     assert lid.sampled(rows.limit(1200), {"en": 1200, "de": 3}, 1200).count() == 1200
+
+
+def test_minor_scripts_are_told_apart(spark):
+    """Latin and Cyrillic fill any short alphabet; three scripts are rare beside them."""
+    rng = random.Random(6)
+    scripts = {"en": (97, 26, 300), "ru": (0x430, 32, 300), "el": (0x3b1, 17, 30),
+               "he": (0x5d0, 27, 30), "zh": (0x4e00, 400, 30), "got": (0x10330, 27, 30)}
+    rows = []
+    for lang, (first, letters, docs) in scripts.items():
+        for _ in range(docs):
+            text = " ".join("".join(chr(first + rng.randrange(letters)) for _ in range(
+                rng.randrange(2, 8))) for _ in range(30))
+            rows.append((len(rows), text, lang, "s", 0))
+    got = {r["doc_id"]: r for r in lid.language_id(spark.createDataFrame(rows, DOCS)).collect()}
+    held = [(lang, got[k]["lang_pred"]) for k, _, lang, *_ in rows if got[k]["held_out"]]
+    assert {lang for lang, _ in held} == set(scripts)
+    assert all(lang == pred for lang, pred in held)
+
+
+def test_pieces_longer_than_their_beginnings():
+    pieces = [(k,) for k in range(3003)] + [(1, 2002, 2003, 2004, 2005, 2006), (2002, 2003)]
+    letters = "".join(chr(0x4e00 + k) for k in range(3001))
+    model = _model(pieces, letters=letters)
+    word = "".join(letters[k - 2] for k in (2002, 2003, 2004, 2005, 2006, 2002, 2003))
+    row, = lid.Scorer(model).score([word])
+    for lang in (0, 1):
+        want = math.log(_all_sums(model, tuple(_codes(word, letters)), lang))
+        assert math.isclose(row[lang], want, rel_tol=1e-9)
