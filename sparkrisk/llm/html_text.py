@@ -44,10 +44,9 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true",
-                     re.I)
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 
 class _Line:
@@ -63,14 +62,29 @@ class _Line:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
-def _names(attributes: str) -> set[str]:
+def _read(attributes: str) -> dict[str, str]:
+    """Values by name, the first of equal names."""
+    found: dict[str, str] = {}
+    for match in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(match[1].lower(), next((g for g in match.groups()[1:] if g is not None), ""))
+    return found
+
+
+def _names(values: dict[str, str]) -> set[str]:
     found = set()
-    for match in _NAMED.finditer(attributes):
-        spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", next(g for g in match.groups() if g is not None))
+    for name in ("class", "id", "role"):
+        spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", values.get(name, ""))
         found.update(_PARTS.findall(spaced.lower()))
     return found
 
 
+def _hidden(values: dict[str, str]) -> bool:
+    """Whether an element is marked as not shown, not whether the word stands in some value."""
+    return (values.get("hidden", "false").strip().lower() != "false"
+            or values.get("aria-hidden", "").strip().lower() == "true"
+            or bool(_UNSHOWN.search(values.get("style", ""))))
+
+
 def lines_of(page: str) -> list[_Line]:
     """The page's blocks in order, each with what is known about its place."""
     lines = [_Line(False, False)]
@@ -116,7 +130,8 @@ def lines_of(page: str) -> list[_Line]:
                 article -= 1
                 linked = 0
         else:
-            names = _names(attributes) if attributes else set()
+            values = _read(attributes) if attributes else {}
+            names = _names(values)
             main = name in ("article", "main") or "articlebody" in names
             marked = bool(names & MARKS) and not (name in ("body", "html", "article", "main"))
             if name == "article" and names & {"comment", "comments", "reply", "promo", "ad"}:
@@ -127,7 +142,7 @@ def lines_of(page: str) -> list[_Line]:
                 if name not in VOID:
                     dropped.append(name)
             elif (marked or name in DROP or (name == "header" and not article)
-                  or (attributes and name not in VOID and _HIDDEN.search(attributes))):
+                  or (name not in ("html", "body") and _hidden(values))):
                 if name not in VOID:
                     dropped.append(name)
             elif main and name in ("article", "main"):

@@ -117,6 +117,26 @@ def test_containers_that_are_never_closed_do_not_swallow_the_article():
     assert html_text.extract(page) == "Text stays."
 
 
+@pytest.mark.parametrize("attribute", [
+    'class="overflow-hidden"', "class='md:hidden lg:block'", 'style="overflow: hidden"',
+    'data-title="hidden gems"', "title=hidden", 'aria-hidden="false"', 'hidden="false"',
+    'data-hidden="1"', 'style="--x-display: none"', 'data-aria-hidden="true"'])
+def test_the_word_hidden_in_a_value_hides_nothing(attribute):
+    for page in (f"<div {attribute}><p>{words(25, 1)}</p></div>",
+                 f"<body {attribute}><p>{words(25, 1)}</p></body>",
+                 f"<main {attribute}><p>{words(25, 1)}</p></main>",
+                 f"<article><div {attribute}>{words(25, 1)}</div></article>"):
+        assert html_text.extract(page) == words(25, 1)
+
+
+@pytest.mark.parametrize("attribute", [
+    "hidden", 'hidden=""', "id=x hidden class=y", 'HIDDEN="hidden"', 'aria-hidden="true"',
+    "aria-hidden=true", 'style="color:red; display : none"', "style='display:none !important'"])
+def test_hidden_elements_are_dropped(attribute):
+    page = f"<article><p>Shown.</p><div {attribute}><p>{words(25, 1)}</p></div><p>Too.</p></article>"
+    assert html_text.extract(page) == "Shown.\nToo."
+
+
 def test_extract_text(spark):
     rows = [(1, "u", MARKED), (1, "u", MARKED), (2, None, None), (None, "v", "<article>x</article>")]
     got = html_text.extract_text(_pages(spark, rows)).collect()
