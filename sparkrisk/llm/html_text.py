@@ -2,11 +2,12 @@
 
 Markup is stripped and every block element becomes a line. Text inside containers that are
 not the article (menus, footers, sidebars, notices, adverts, forms, comments: by element, or
-by a word of their class, id or role) and lines that are mostly links count as length zero.
+by a name in their class, id or role) and lines that are mostly links count as length zero.
 Text lengths are summed over sliding windows of lines. The distribution surges where a window
 sum reaches ``surge`` and dives where it falls under it; lines between a surge and its dive
 are kept. Where the page marks its article, lines outside it count as zero and any text makes
-a surge, so short paragraphs at its ends stay.
+a surge, so short paragraphs at its ends stay. A class, id or itemprop marks the article on
+pages without an article or main element, if it holds at least half of the other text.
 """
 
 from __future__ import annotations
@@ -24,20 +25,32 @@ SURGE = 80
 LINK_SHARE = 0.6
 
 # fixed values: elements and the words that mark a container as not the article
-RAW = "script style noscript template textarea title iframe noembed noframes svg math xmp".split()
+RAW = ("script style noscript template textarea title iframe noembed noframes svg annotation "
+       "annotation-xml").split()
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map "
              "mark nobr object q ruby rb rt rp s samp small span strike strong sub sup time tt u "
-             "var wbr".split())
+             "var wbr "
+             # formulas
+             "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded "
+             "mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd "
+             "mtext mtr munder munderover none semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROP = set("nav footer aside form menu dialog button select datalist fieldset head audio video "
-           "canvas figcaption".split())
+           "canvas".split())
 MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs "
             "comment comments cookie cookies consent disqus footer header masthead menu modal nav "
             "navbar navigation newsletter notice notices pagination paywall popup promo promoted "
             "related reply replies respond share sharing sidebar sidebars social sponsor "
             "sponsored subscribe subscription toolbar widget complementary contentinfo "
             "search".split())
+#: beside a mark in one compound name; any other word gives the name another meaning
+BESIDE = set("area bar body block box bottom btn button buttons container desktop div email fixed "
+             "form global icon icons id inner item items left link links list main mobile outer "
+             "page posts articles primary right secondary section signup site slot sticky thread "
+             "title top unit wrap wrapper x zone".split())
 ARTICLE_MARKS = set("articlebody article entry content".split())
+ARTICLE_BESIDE = set("body main page post single story text".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # end of fixed values
 
 _TAG = re.compile(
@@ -46,17 +59,19 @@ _TAG = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z]+")
+_XMP_END = re.compile(r"</xmp\b[^>]*>", re.I)
 _UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "inside", "dropped")
+    __slots__ = ("parts", "linked", "inside", "dropped", "named")
 
-    def __init__(self, inside: bool, dropped: bool):
+    def __init__(self, inside: bool, dropped: bool, named: bool = False):
         self.parts: list[str] = []
         self.linked = 0
         self.inside = inside
         self.dropped = dropped
+        self.named = named
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
@@ -70,14 +85,27 @@ def _read(attributes: str) -> dict[str, str]:
     return found
 
 
-def _names(values: dict[str, str]) -> set[str]:
-    found = set()
-    for name in ("class", "id", "role"):
-        spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", values.get(name, ""))
-        found.update(_PARTS.findall(spaced.lower()))
+def _tokens(value: str) -> list[set[str]]:
+    """The words of each name in a value."""
+    return [set(_PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()))
+            for token in value.split()]
+
+
+def _marks(values: dict[str, str], ids: bool) -> set[str]:
+    """Marks among whole names: a mark alone, several, or one with words of its place."""
+    found = set(values.get("role", "").lower().split()) & MARKS
+    for name in ("class", "id") if ids else ("class",):
+        for words in _tokens(values.get(name, "")):
+            if words <= MARKS | BESIDE:
+                found |= words & MARKS
     return found
 
 
+def _article_named(values: dict[str, str]) -> bool:
+    return any(words & ARTICLE_MARKS and words <= ARTICLE_MARKS | ARTICLE_BESIDE
+               for name in ("class", "id", "itemprop") for words in _tokens(values.get(name, "")))
+
+
 def _hidden(values: dict[str, str]) -> bool:
     """Whether an element is marked as not shown, not whether the word stands in some value."""
     return (values.get("hidden", "false").strip().lower() != "false"
@@ -89,13 +117,15 @@ def lines_of(page: str) -> list[_Line]:
     """The page's blocks in order, each with what is known about its place."""
     lines = [_Line(False, False)]
     dropped: list[str] = []  # open elements from the outermost dropped one on
+    named: list[str] = []  # the same from the outermost one named as the article on
     article = linked = at = 0
 
     def fresh() -> None:
         if lines[-1].parts:
-            lines.append(_Line(article > 0, bool(dropped)))
+            lines.append(_Line(article > 0, bool(dropped), bool(named)))
         else:
             lines[-1].inside, lines[-1].dropped = article > 0, bool(dropped)
+            lines[-1].named = bool(named)
 
     def say(text: str) -> None:
         if text:
@@ -110,6 +140,13 @@ def lines_of(page: str) -> list[_Line]:
         closing, attributes = tag[1] or tag[4], tag[3] or tag[6] or ""
         if not name:
             continue
+        if name == "xmp" and not closing:  # plain text up to its end
+            fresh()
+            end = _XMP_END.search(page, at)
+            say(html.escape(page[at:end.start() if end else len(page)]))
+            at = end.end() if end else len(page)
+            fresh()
+            continue
         if name in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -129,14 +166,18 @@ def lines_of(page: str) -> list[_Line]:
             elif name in ("article", "main") and article and not dropped:
                 article -= 1
                 linked = 0
+            elif name in named and not dropped:
+                while named and named.pop() != name:
+                    pass
         else:
             values = _read(attributes) if attributes else {}
-            names = _names(values)
-            main = name in ("article", "main") or "articlebody" in names
-            marked = bool(names & MARKS) and not (name in ("body", "html", "article", "main"))
-            if name == "article" and names & {"comment", "comments", "reply", "promo", "ad"}:
+            main = name in ("article", "main")
+            # headings and blocks of the article have ids after their subject
+            marks = _marks(values, name == "article" or not (article or name in HEADINGS))
+            marked = bool(marks) and name not in ("body", "html", "article", "main")
+            if name == "article" and marks & {"comment", "comments", "reply", "promo", "ad"}:
                 marked, main = True, False
-            if main and dropped and name in ("article", "main"):
+            if main and dropped:
                 dropped.clear()  # an unclosed container does not swallow the article
             if dropped:
                 if name not in VOID:
@@ -145,9 +186,12 @@ def lines_of(page: str) -> list[_Line]:
                   or (name not in ("html", "body") and _hidden(values))):
                 if name not in VOID:
                     dropped.append(name)
-            elif main and name in ("article", "main"):
+            elif main:
                 article += 1
                 linked = 0
+            elif name not in VOID and (named or (name not in ("body", "html")
+                                                 and _article_named(values))):
+                named.append(name)
         fresh()
     say(page[at:])
     return lines
@@ -158,6 +202,13 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE,
     """Main text of one page; an empty text if there is none."""
     lines = lines_of(page or "")
     marked = any(line.inside and not line.dropped for line in lines)
+    if not marked:
+        every = sum(len(line.text()) for line in lines if not line.dropped)
+        own = sum(len(line.text()) for line in lines if line.named and not line.dropped)
+        if own and 2 * own >= every:
+            marked = True
+            for line in lines:
+                line.inside = line.named
     texts, lengths = [], []
     for line in lines:
         text = "" if line.dropped or (marked and not line.inside) else line.text()

@@ -137,6 +137,41 @@ def test_hidden_elements_are_dropped(attribute):
     assert html_text.extract(page) == "Shown.\nToo."
 
 
+def test_names_that_only_hold_a_mark_drop_nothing():
+    long = words(25, 1)
+    page = (f'<article><h2 id="related-work">Related work</h2><p>{long}</p><h2 id="search">Search</h2>'
+            f'<section id="notice-period"><p>Notice.</p></section><section id="comments"><p>On '
+            'comments.</p></section><div class="has-comments comment-open">Open.</div></article>')
+    assert html_text.extract(page) == "\n".join(
+        ["Related work", long, "Search", "Notice.", "On comments.", "Open."])
+    page = (f'<div class="layout has-sidebar"><h2 id="search-algorithms">Algorithms</h2><p>{long}</p>'
+            f'</div><div class="left-sidebar"><p>{words(25, 2)}</p></div><div id="siteFooter"><p>'
+            f'{words(25, 3)}</p></div><div role="search"><p>{words(25, 4)}</p></div>')
+    assert html_text.extract(page) == f"Algorithms\n{long}"
+
+
+def test_captions_formulas_and_plain_text_are_kept():
+    page = ("<article><p>Given <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math>."
+            "</p><figure><img src=a><figcaption>The figure.</figcaption></figure><xmp>a <b> &amp; c"
+            "</xmp><p>End.</p></article>")
+    assert html_text.extract(page) == "Given x+1.\nThe figure.\na <b> &amp; c\nEnd."
+
+
+@pytest.mark.parametrize("mark", ["class=entry", 'class="post-content x"', "id=content",
+                                  'class="articleBody"', 'itemprop="articleBody"'])
+def test_articles_marked_by_name_keep_short_lines(mark):
+    items = "".join(f"<li>Item {k}</li>" for k in range(9))
+    page = (f"<div class=top>Site</div><div {mark}><div><h1>T</h1></div><p>Intro.<ul>{items}</ul>"
+            f"<p>{words(12, 1)}</p><p>End.</div><p>After.</p>")
+    assert html_text.extract(page).split("\n") == [
+        "T", "Intro.", *[f"Item {k}" for k in range(9)], words(12, 1), "End."]
+
+
+def test_small_boxes_named_content_do_not_replace_the_article():
+    page = f"<div class=content>Box</div><div><p>{words(40, 1)}</p><p>{words(40, 2)}</p></div>"
+    assert html_text.extract(page).split("\n")[-2:] == [words(40, 1), words(40, 2)]
+
+
 def test_extract_text(spark):
     rows = [(1, "u", MARKED), (1, "u", MARKED), (2, None, None), (None, "v", "<article>x</article>")]
     got = html_text.extract_text(_pages(spark, rows)).collect()
