@@ -13,6 +13,11 @@ Windows that cannot qualify are never embedded: k edits destroy at most 2k of an
 n - 1 word pairs, so a window needs n - 1 - 2k pairs of that item, and some seven
 neighbouring pairs must hold their share of them. This loses nothing.
 
+With ``any_length`` a window may have any number of words: within k edits that is n - k to
+n + k. A window of n + j words needs j pairs more. Windows of the item's size, cut at the
+document's end, are embedded as before; candidates and direct comparisons look for the best
+stretch of any length in the words around.
+
 Items are the query set: they are read in blocks of bounded size and each block goes to the
 tasks with the function; documents stay where they are and nothing is shuffled.
 """
@@ -55,43 +60,51 @@ def allowed(n: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def edit_distance(a: list[int] | np.ndarray, b: list[int] | np.ndarray, most: int) -> int:
-    """Word edits between two sequences, or ``most + 1`` if there are more (bit-parallel)."""
-    if not len(a):
-        return min(len(b), most + 1)
+def _distances(a: list[int] | np.ndarray, b: list[int] | np.ndarray, anywhere: bool) -> list[int]:
+    """Word edits between ``a`` and each beginning of ``b`` from one word on (bit-parallel).
+
+    ``anywhere``: between ``a`` and the nearest stretch of ``b`` that ends there.
+    """
     where: dict[int, int] = defaultdict(int)
     for k, x in enumerate(a):
         where[int(x)] |= 1 << k
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
+    full, last, first = (1 << len(a)) - 1, 1 << (len(a) - 1), 0 if anywhere else 1
+    plus, minus, score, out = full, 0, len(a), []
     for y in b:
         equal = where.get(int(y), 0)
         across = (((equal & plus) + plus) ^ plus) | equal | minus
         up, down = minus | (full & ~(across | plus)), plus & across
         score += bool(up & last) - bool(down & last)
-        up, down = ((up << 1) | 1) & full, (down << 1) & full
+        up, down = ((up << 1) | first) & full, (down << 1) & full
         plus, minus = down | (full & ~((equal | minus) | up)), up & (equal | minus)
-    return min(score, most + 1)
+        out.append(score)
+    return out
+
+
+def edit_distance(a: list[int] | np.ndarray, b: list[int] | np.ndarray, most: int) -> int:
+    """Word edits between two sequences, or ``most + 1`` if there are more."""
+    if not len(a) or not len(b):
+        return min(max(len(a), len(b)), most + 1)
+    return min(_distances(a, b, False)[-1], most + 1)
 
 
 def ends_near(a: list[int] | np.ndarray, b: list[int] | np.ndarray, most: int
               ) -> list[tuple[int, int]]:
     """(edits, end): places in ``b`` where some stretch within ``most`` edits of ``a`` ends."""
-    where: dict[int, int] = defaultdict(int)
-    for k, x in enumerate(a):
-        where[int(x)] |= 1 << k
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score, out = full, 0, len(a), []
-    for end, y in enumerate(b, 1):
-        equal = where.get(int(y), 0)
-        across = (((equal & plus) + plus) ^ plus) | equal | minus
-        up, down = minus | (full & ~(across | plus)), plus & across
-        score += bool(up & last) - bool(down & last)
-        up, down = (up << 1) & full, (down << 1) & full  # a stretch may begin anywhere
-        plus, minus = down | (full & ~((equal | minus) | up)), up & (equal | minus)
-        if score <= most:
-            out.append((score, end))
-    return out
+    return [(score, end) for end, score in enumerate(_distances(a, b, True), 1) if score <= most]
+
+
+def nearest(a: list[int], b: list[int], most: int) -> tuple[int, int, int] | None:
+    """(edits, start, words) of the stretch of ``b`` nearest to ``a``, if within ``most`` edits.
+
+    Of equals the first to end, then the one nearest to the length of ``a``.
+    """
+    best, end = min(ends_near(a, b, most), default=(most + 1, 0))
+    if best > most:
+        return None
+    back = _distances(a[::-1], b[max(0, end - len(a) - best):end][::-1], False)
+    size = min((abs(size - len(a)), size) for size, edits in enumerate(back, 1) if edits == best)[1]
+    return best, end - size, size
 
 
 def _moves(walks: np.ndarray, step: int, symbols: np.ndarray) -> np.ndarray:
@@ -120,14 +133,14 @@ def cgk(windows: np.ndarray, walks: int) -> np.ndarray:
     return out
 
 
-def _edited(rng: np.random.Generator, n: int, k: int, kind: int) -> np.ndarray:
+def _edited(rng: np.random.Generator, n: int, k: int, kind: int, any_length: bool) -> np.ndarray:
     """Words 1 .. n after k edits (substitutions, deletions, insertions or all), n words long.
 
     A deletion and the word that fills the window up again are two edits, as are an insertion
-    and the word it pushes out.
+    and the word it pushes out, unless windows may have any length.
     """
     words, fresh = list(range(1, n + 1)), n
-    k = k // 2 if kind in (1, 2) else k
+    k = k // 2 if kind in (1, 2) and not any_length else k
     for step, at in enumerate(sorted(rng.choice(n, k, replace=False).tolist(), reverse=True)):
         fresh += 1
         how = step % 3 if kind == 3 else kind
@@ -136,12 +149,13 @@ def _edited(rng: np.random.Generator, n: int, k: int, kind: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def _level(n: int, similarity: float, target: float) -> tuple[int, int]:
-    if n > 100 and _level(-(-n // 20) * 10, similarity, target) == DIRECT:
+def _level(n: int, similarity: float, target: float, any_length: bool) -> tuple[int, int]:
+    if n > 100 and _level(-(-n // 20) * 10, similarity, target, any_length) == DIRECT:
         return DIRECT  # longer items are reached less often
     rng, k = np.random.default_rng(SEED), allowed(n, similarity)
     own = np.arange(1, n + 1)[None, :]
-    texts = [np.stack([_edited(rng, n, k, kind) for _ in range(TRIALS)]) for kind in range(4)]
+    texts = [np.stack([_edited(rng, n, k, kind, any_length) for _ in range(TRIALS)])
+             for kind in range(4)]
     most = max(walks for walks, _ in LEVELS)
     item = cgk(own, most)[:, :, :2 * n]
     shares = [(cgk(t, most)[:, :, :2 * n] == item).mean(axis=2) for t in texts]
@@ -152,11 +166,11 @@ def _level(n: int, similarity: float, target: float) -> tuple[int, int]:
     return DIRECT
 
 
-def level(n: int, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL
-          ) -> tuple[int, int]:
+def level(n: int, similarity: float = SIMILARITY, target_recall: float = TARGET_RECALL,
+          any_length: bool = False) -> tuple[int, int]:
     """Walks and tables that find a passage with all allowed edits of an n-word item with
     probability ``target_recall`` even if nothing but its own window could, or DIRECT."""
-    return _level(-(-n // 10) * 10, similarity, target_recall)
+    return _level(-(-n // 10) * 10, similarity, target_recall, any_length)
 
 
 class Index:
@@ -164,8 +178,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY,
                  target_recall: float = TARGET_RECALL,
-                 levels: dict[int, tuple[int, int]] | None = None):
-        self.similarity = similarity
+                 levels: dict[int, tuple[int, int]] | None = None, any_length: bool = False):
+        self.similarity, self.any_length = similarity, any_length
         self.number: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item, text in items:
@@ -175,11 +189,14 @@ class Index:
                     [self.number.setdefault(w, len(self.number) + 1) for w in words])))
         self.base = len(self.number) + 1
         self.length = np.array([len(w) for _, w in self.items], dtype=np.int64)
+        edits = np.array([allowed(n, similarity) for n in self.length.tolist()], dtype=np.int64)
         #: pairs that a window within the allowed edits of the item must hold
-        self.need = self.length - 1 - 2 * np.array(
-            [allowed(n, similarity) for n in self.length.tolist()], dtype=np.int64)
-        spans = -(-(self.length - 1) // SPAN)
-        self.share = int((-(-self.need // np.maximum(spans, 1))).min()) if self.items else 1
+        self.need = self.length - 1 - 2 * edits
+        #: words that a window may have more than the item
+        self.slack = edits if any_length else edits * 0
+        self.share = min((-(-(need + j) // -(-(n - 1 + j) // SPAN)) for n, need, slack in zip(
+            self.length.tolist(), self.need.tolist(), self.slack.tolist(), strict=True)
+            for j in range(slack + 1)), default=1)
         own = [np.unique(w[:-1] * self.base + w[1:]) for _, w in self.items]
         code = np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
         item = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -188,7 +205,7 @@ class Index:
                                                   return_counts=True)
         self.first, self.holder = first, item[order]
         #: walks and tables by item length
-        self.levels = levels or {n: level(n, similarity, target_recall)
+        self.levels = levels or {n: level(n, similarity, target_recall, any_length)
                                  for n in set(self.length.tolist())}
         self.direct = np.array([self.levels[n] == DIRECT for n in self.length.tolist()],
                                dtype=bool)
@@ -241,7 +258,7 @@ class Index:
         if not len(dense):
             return [], []
         # pairs farther from such a place than the longest item is long are in no window
-        reach, most = np.zeros(len(tokens) + 1, dtype=np.int64), int(self.length.max())
+        reach, most = np.zeros(len(tokens) + 1, dtype=np.int64), int((self.length + self.slack).max())
         np.add.at(reach, np.maximum(dense - most, 0), 1)
         np.add.at(reach, np.minimum(dense + most + SPAN, len(tokens)), -1)
         near = np.cumsum(reach[:-1])[both] > 0
@@ -257,10 +274,10 @@ class Index:
         last = np.arange(len(item)) + self.need[item] - 1
         inside = last < len(item)
         head, tail = np.nonzero(inside)[0], last[inside]
-        n = self.length[item[head]]
-        good = (item[head] == item[tail]) & (spot[tail] - spot[head] <= n - 2)
-        item, head, tail, n = item[head[good]], spot[head[good]], spot[tail[good]], n[good]
-        first, last = np.maximum(tail - n + 2, 0), head
+        longest = self.length[item[head]] + self.slack[item[head]]
+        good = (item[head] == item[tail]) & (spot[tail] - spot[head] <= longest - 2)
+        item, head, tail, longest = item[head[good]], spot[head[good]], spot[tail[good]], longest[good]
+        n, first, last = self.length[item], np.maximum(tail - longest + 2, 0), head
         direct, out = self.direct[item], []
         for size in np.unique(n[~direct]).tolist():
             own = ~direct & (n == size)
@@ -282,9 +299,16 @@ class Index:
         """(document, (edits, start, words)): the best windows of item k that start in a run."""
         words = self.items[k][1]
         n, most = len(words), allowed(len(words), self.similarity)
+        slack = int(self.slack[k])
         for doc in range(int(np.searchsorted(ends, first, side="right")),
                          int(np.searchsorted(ends, last, side="right")) + 1):
             low = max(first, int(ends[doc - 1]) if doc else 0)
+            if self.any_length:
+                part = tokens[low:min(last + n + slack, int(ends[doc]))].tolist()
+                hit = nearest(words.tolist(), part, most) if len(part) >= n - slack else None
+                if hit:
+                    yield doc, (hit[0], low + hit[1], hit[2])
+                continue
             high = min(last, int(ends[doc]) - n)
             best = (most + 1, 0, n)
             # a window has no fewer edits than the best stretch that ends where it does
@@ -323,12 +347,16 @@ class Index:
             sizes = np.repeat(np.array([size for size, _ in some], dtype=np.int64),
                               [len(x) for _, x in some])
             docs = np.searchsorted(ends, starts, side="right")
-            fits = starts + sizes <= ends[docs]  # no window crosses a document's end
+            # no window crosses a document's end
+            least = sizes - (np.array([allowed(n, self.similarity) for n in sizes.tolist()],
+                                      dtype=np.int64) if self.any_length else 0)
+            fits = starts + least <= ends[docs]
             starts, sizes, docs = starts[fits], sizes[fits], docs[fits]
+            near: dict[int, list[int]] = defaultdict(list)
             for cut in range(0, len(starts), 1024):
                 start, n, doc = (x[cut:cut + 1024] for x in (starts, sizes, docs))
                 span = np.arange(int(n.max()))
-                rows = np.where(span < n[:, None],
+                rows = np.where(span < np.minimum(n, ends[doc] - start)[:, None],
                                 tokens[np.minimum(start[:, None] + span, len(tokens) - 1)], -1)
                 tried: set[tuple[int, int]] = set()
                 for key, (theirs, order) in zip(self._signatures(rows, n, *of), self.signed(of),
@@ -341,18 +369,36 @@ class Index:
                     words = self.items[k][1]
                     if len(words) != n[w]:
                         continue
+                    if self.any_length:
+                        near[k].append(int(start[w]))
+                        continue
                     most = allowed(len(words), self.similarity)
                     edits = edit_distance(words, rows[w, :len(words)], most)
                     if edits <= most:
                         better(int(doc[w]), k, (edits, int(start[w]), len(words)))
+            for k, places in near.items():
+                # candidates close to each other are compared at once
+                slack, run = int(self.slack[k]), []
+                for at in sorted(places):
+                    if run and at - slack <= run[1] + 1:
+                        run[1] = at + slack
+                        continue
+                    if run:
+                        for doc, hit in self._compared(tokens, ends, k, *run):
+                            better(doc, k, hit)
+                    run = [max(at - slack, 0), at + slack]
+                for doc, hit in self._compared(tokens, ends, k, *run):
+                    better(doc, k, hit)
         begins = np.concatenate([[0], ends[:-1]])
         return [(d, item, at - int(begins[d]), n, edits)
                 for (d, item), (edits, at, n) in sorted(best.items())]
 
 
 HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()),
-                           ("n_words", pa.int64()), ("edits", pa.int64())]))
-HIT_TYPE = "array<struct<item_id:bigint,first_word:bigint,n_words:bigint,edits:bigint>>"
+                           ("n_words", pa.int64()), ("edits", pa.int64()),
+                           ("item_words", pa.int64())]))
+HIT_TYPE = ("array<struct<item_id:bigint,first_word:bigint,n_words:bigint,edits:bigint,"
+            "item_words:bigint>>")
 
 
 def _search_block(texts: list[str | None], index: Index) -> list[list[dict]]:
@@ -362,16 +408,19 @@ def _search_block(texts: list[str | None], index: Index) -> list[list[dict]]:
         chunks.append(np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words)))
     out: list[list[dict]] = [[] for _ in texts]
     ends = np.cumsum([len(c) for c in chunks])
+    sizes = {item: len(words) for item, words in index.items}
     for doc, item, at, n, edits in index.search(np.concatenate(chunks), ends):
-        out[doc].append({"item_id": item, "first_word": at, "n_words": n, "edits": edits})
+        out[doc].append({"item_id": item, "first_word": at, "n_words": n, "edits": edits,
+                         "item_words": sizes[item]})
     return out
 
 
-def _finder(items: list[tuple[int, str]], similarity: float, target_recall: float):
-    levels = Index(items, similarity, target_recall).levels  # once, not in every task
+def _finder(items: list[tuple[int, str]], similarity: float, target_recall: float,
+            any_length: bool):
+    levels = Index(items, similarity, target_recall, None, any_length).levels  # once, not in every task
 
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(items, similarity, target_recall, levels)
+        index = Index(items, similarity, target_recall, levels, any_length)
         for array in texts:
             found = []
             for at in range(0, len(array), 2000):
@@ -383,7 +432,7 @@ def _finder(items: list[tuple[int, str]], similarity: float, target_recall: floa
 
 def with_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str,
               name: str, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS,
-              target_recall: float = TARGET_RECALL) -> DataFrame:
+              target_recall: float = TARGET_RECALL, any_length: bool = False) -> DataFrame:
     """``docs`` with a column ``name``: every item that contaminates the row's text."""
     rows = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where(
         F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -393,27 +442,29 @@ def with_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, it
     for block in range(blocks):
         own = [(r["id"], r["text"]) for r in rows.where(part == block).collect()]
 
-        columns.append(F.arrow_udf(_finder(own, similarity, target_recall), HIT_TYPE)(
-            F.col(text_col)))
+        columns.append(F.arrow_udf(_finder(own, similarity, target_recall, any_length),
+                                   HIT_TYPE)(F.col(text_col)))
     return docs.withColumn(name, F.concat(*columns) if len(columns) > 1 else columns[0])
 
 
 def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                     similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS,
-                    target_recall: float = TARGET_RECALL) -> DataFrame:
+                    target_recall: float = TARGET_RECALL, any_length: bool = False
+                    ) -> DataFrame:
     """One row per input row: doc_id, contaminated, item_ids, similarity, hits.
 
-    item_ids are distinct and sorted; similarity is the largest 1 - edits / words over the
-    hits, 0 without one; hits has the best window per item, the first of equals. Null and
+    item_ids are distinct and sorted; similarity is the largest 1 - edits / item words over the
+    hits, 0 without one; hits has the best window per item, the first of equals; windows have
+    the item's words, with ``any_length`` any number of words. Null and
     empty texts have no hits. Items that are null or have fewer than MIN_WORDS words match
     nothing. Repeated rows are judged each on their own; without items nothing is hit; an
     empty table gives no rows.
     """
     found = with_hits(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
                       items, "text", item_id, item_text, "_hits", similarity, block_items,
-                      target_recall)
-    best = F.array_max(F.transform("_hits", lambda h: 1 - h["edits"] / h["n_words"]))
+                      target_recall, any_length)
+    best = F.array_max(F.transform("_hits", lambda h: 1 - h["edits"] / h["item_words"]))
     return found.select("doc_id", "_hits").select(
         "doc_id", (F.size("_hits") > 0).alias("contaminated"),
         F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["item_id"])))
@@ -423,14 +474,16 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                       item_id: str = "item_id", item_text: str = "text",
-                      target_recall: float = TARGET_RECALL) -> DataFrame:
+                      target_recall: float = TARGET_RECALL, any_length: bool = False
+                      ) -> DataFrame:
     """The rows without a hit, with all their columns."""
     name = spare(docs, "_hits")
     return (with_hits(docs, items, text_col, item_id, item_text, name,
-                      target_recall=target_recall)
+                      target_recall=target_recall, any_length=any_length)
             .where(F.size(name) == 0).select(*docs.columns))
 
 
 def op4_decontaminate(spark, sf_dir):
     return decontamination(spark.read.parquet(f"{sf_dir}/documents.parquet"),
-                           spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+                           spark.read.parquet(f"{sf_dir}/benchmark.parquet"),
+                           any_length=True)

@@ -150,3 +150,63 @@ def test_walks_and_tables_follow_length_and_target():
 def test_ends_of_near_stretches(a, b, most):
     want = [(min(_distance(a, b[s:e]) for s in range(e + 1)), e) for e in range(1, len(b) + 1)]
     assert dec.ends_near(a, b, most) == [x for x in want if x[0] <= most]
+
+
+def _nearest(want, own):
+    """Fewest edits between an item and any stretch of a text."""
+    row = list(range(len(want) + 1))
+    best = row[-1]
+    for y in own:
+        before, row[0] = row[0], 0
+        for i, x in enumerate(want, 1):
+            before, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, before + (x != y))
+        best = min(best, row[-1])
+    return best
+
+
+def test_passages_of_any_length_against_brute_force():
+    rng = random.Random(12)
+    sizes = [6, 10, 15, 20, 30, 40, 60, 100, 200]
+    items = [(k, words(n, 900 + k, 300)) for k, n in enumerate(sizes * 4)]
+    texts = []
+    for k, text in items:
+        own = text.split()
+        few = dec.allowed(len(own))
+        cut = rng.sample(range(len(own)), few)
+        shorter = [w for j, w in enumerate(own) if j not in cut]
+        longer = list(own)
+        for _ in range(few):
+            longer.insert(rng.randrange(1, len(longer)), f"new{rng.randrange(999)}")
+        around = words(40, k, 300), words(40, 70 + k, 300)
+        texts += [" ".join(own[:-1]), " ".join(own[few:]), " ".join(shorter),
+                  " ".join([around[0], *shorter, around[1]]), " ".join(longer),
+                  " ".join([around[0], *longer, around[1]]), f"{around[0]} {' '.join(own[:-few])}",
+                  _edited(rng, text, few + 1), ""]
+    got = dec._search_block(texts, dec.Index(items, any_length=True))
+    want = []
+    for text in texts:
+        own = dec.words_of(text)
+        passages = [(item, dec.words_of(t)) for item, t in items]
+        want.append({item: edits for item, w in passages
+                     if len(set(w) & set(own)) >= len(set(w)) - dec.allowed(len(w))
+                     and (edits := _nearest(w, own)) <= dec.allowed(len(w))})
+    found = [{h["item_id"]: h["edits"] for h in hits} for hits in got]
+    assert all(hit.items() <= w.items() for hit, w in zip(found, want, strict=True))
+    total = sum(map(len, want))
+    assert total > 250 and sum(map(len, found)) >= dec.TARGET_RECALL * total
+    for text, hits in zip(texts, got, strict=True):
+        own = dec.words_of(text)
+        for h in hits:
+            part = own[h["first_word"]:h["first_word"] + h["n_words"]]
+            assert h["edits"] == _distance(dec.words_of(items[h["item_id"]][1]), part)
+
+
+def test_query_takes_passages_of_any_length(spark, tmp_path):
+    item = words(40, 3)
+    texts = [" ".join(item.split()[:-1]), words(39, 4)]
+    documents(spark, texts, 0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in dec.op4_decontaminate(spark, str(tmp_path)).collect()}
+    assert got[0]["item_ids"] == [7] and got[0]["similarity"] == 0.975
+    assert not got[1]["contaminated"]
