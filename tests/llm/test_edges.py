@@ -12,7 +12,9 @@ from sparkrisk.llm import (
     html_text,
     language_id,
     license_scan,
+    merkle_manifest,
     packing,
+    periodic_runs,
     secret_scan,
     simhash,
     suffix_dedup,
@@ -45,6 +47,8 @@ OPERATORS = {
     "html": lambda s, d: html_text.extract_text(_pages(d)),
     "exact": lambda s, d: exact_dedup.exact_dedup(d),
     "secrets": lambda s, d: secret_scan.secret_scan(d),
+    "runs": lambda s, d: periodic_runs.periodic_runs(d, plant=True),
+    "manifest": lambda s, d: merkle_manifest.manifest(d, slab=1),
 }
 
 
