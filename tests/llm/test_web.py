@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -177,3 +179,82 @@ def test_extract_text(spark):
     got = html_text.extract_text(_pages(spark, rows)).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == sorted(
         [(1, len(html_text.extract(MARKED)))] * 2 + [(2, 0), (0, 1)])
+
+
+@pytest.mark.parametrize("shape", [
+    "<a", "<", "<x", '<a "', "<a '\"' ", '<a href="x', "<script>", "</script", "<script></script",
+    "<xmp></xmp", "<!--", "<![CDATA[", "<?", "&#", "<a x=", "<p a='='"])
+@pytest.mark.parametrize("end", ["", ">", "-->", "a" * 100_000])
+def test_broken_pages_take_linear_time(shape, end):
+    page = shape * (1_000_000 // len(shape)) + end
+    start = time.perf_counter()
+    html_text.extract(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_deeply_nested_and_unclosed_elements_take_linear_time():
+    for page in ("<nav>" + "<div>" * 100_000 + "</span2>" * 100_000,
+                 "<div class=content>" + "<div>" * 100_000 + "</b2>" * 100_000 + "x"):
+        start = time.perf_counter()
+        html_text.extract(page)
+        assert time.perf_counter() - start < 15
+
+
+def test_a_tag_left_open_at_the_end_has_no_text_and_open_quotes_end_at_the_tag():
+    assert html_text.extract("<article><p>Text.</p><a href=x") == "Text."
+    assert html_text.extract("<article><p title='it>Text.</p><p>More.</p>") == "Text.\nMore."
+    assert html_text.extract('<article><p title="a > b">Text.</p>') == "Text."
+
+
+def test_short_pages_and_short_lines_keep_their_text():
+    page = "<body><div><p>First short paragraph.</p><p>Second one here.</p></div></body>"
+    assert html_text.extract(page) == "First short paragraph.\nSecond one here."
+    long, link = words(60, 1), words(12, 2)
+    page = (f"<p>{long}</p><ul><li>one<li>two<li>three</ul><p><a href=x>{link}</a> end</p>"
+            f"<p>{long}</p>")
+    assert html_text.extract(page) == "\n".join([long, "one", "two", "three", f"{link} end", long])
+
+
+def test_only_listed_kinds_are_dropped_inside_the_article():
+    page = ("<article><p>A.</p><section class='related'>Related work.</section><svg><title>no</title>"
+            "<text>In the figure.</text></svg><aside class=sidebar>Side</aside><p class=widget>B.</p>"
+            "<div class=comments>No.</div></article><svg><text>icon</text></svg>")
+    assert html_text.extract(page) == "A.\nRelated work.\nIn the figure.\nB."
+
+
+def _by_definition(lengths, linked, window, surge, share):
+    """Surge and dive straight from the definition, sum by sum."""
+    n, half = len(lengths), window // 2
+    near = [range(max(0, k - half), min(n, k + half + 1)) for k in range(n)]
+    own = []
+    for k in range(n):
+        sides = [next((j for j in places if lengths[j]), None)
+                 for places in (range(k - 1, -1, -1), range(k + 1, n))]
+        menu = any(j is None or linked[j] > share * lengths[j] for j in sides)
+        own.append(0 if linked[k] > share * lengths[k] and menu else lengths[k])
+    sums = [sum(own[j] for j in near[k]) for k in range(n)]
+    high = [k for k in range(n) if own[k] and sums[k] >= max(1, surge * max(sums))]
+    return [bool(high) and min(high) <= k <= max(high) and own[k] > 0 for k in range(n)]
+
+
+def test_surges_equal_the_definition():
+    rng = random.Random(6)
+    for _ in range(500):
+        n = rng.randrange(30)
+        lengths = [rng.choice([0, 3, 20, 200, 900]) for _ in range(n)]
+        linked = [rng.choice([0, 0, x // 2, x]) for x in lengths]
+        args = rng.choice([1, 3, 5]), rng.choice([0.05, 0.1, 0.5]), rng.choice([0.3, 0.6])
+        assert html_text.surging(lengths, linked, *args) == _by_definition(lengths, linked, *args)
+
+
+def test_generated_pages_give_their_blocks():
+    """Pages put together from known blocks, with menus and links around them."""
+    rng = random.Random(9)
+    for trial in range(150):
+        blocks = [words(rng.randrange(20, 90), trial * 50 + k) for k in range(rng.randrange(2, 9))]
+        body = "".join(rng.choice([f"<p>{b}</p>", f"<p>{b}", f"<div><p>{b}</p></div>",
+                                   f"<p>{b[:9]}<b title='>'>{b[9:]}</b></p>"]) for b in blocks)
+        menu = "".join(f"<li><a href='/{k}'>{words(2, k)}</a></li>" for k in range(rng.randrange(9)))
+        page = (f"<body><nav><ul>{menu}</ul></nav><ul>{menu}</ul><div>{body}</div><ul>{menu}</ul>"
+                f"<footer>{words(30, 1)}</footer><script>var a = '<p>{words(9, 2)}</p>'</script>")
+        assert html_text.extract(page) == "\n".join(blocks)
