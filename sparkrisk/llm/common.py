@@ -59,17 +59,22 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the smallest.
 
     Alternating large-star and small-star rounds; every round is written to the shared
-    folder, and the loop ends when a round leaves the edge set as it was. Nodes without an
-    edge are not in the result. No edges: no rows.
+    folder, and the loop ends when a round leaves the edge set as it was. A node with very many
+    neighbours, as the root of a large component is, meets its smallest one through ``attach``,
+    so its edges stay dealt over the runs they were read in. Nodes without an edge are not in
+    the result. No edges: no rows.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         # (u, v): neighbours v of u; large: all of them, small: the smaller ones
+        pairs = pairs.withColumn("run", F.spark_partition_id())
         if large:
-            near = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            near = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"),
+                                                  "run"))
         else:
-            near = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            near = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"),
+                                "run")
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        met = near.join(least, "u")
+        met = attach(near, least, ["u"])
         if large:
             out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:

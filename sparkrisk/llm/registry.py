@@ -9,6 +9,7 @@ from sparkrisk.llm.html_text import op8_html_text
 from sparkrisk.llm.language_id import op5_language_id
 from sparkrisk.llm.license_scan import OP6_SQL, op6_license_scan
 from sparkrisk.llm.merkle_manifest import OP13_SQL, op13_merkle
+from sparkrisk.llm.minhash import op11_minhash
 from sparkrisk.llm.packing import op1_pack
 from sparkrisk.llm.periodic_runs import op12_periodic_runs
 from sparkrisk.llm.secret_scan import op10_secret_scan
@@ -27,6 +28,7 @@ CORPUS_QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_minhash": op11_minhash,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle": op13_merkle,
     "pipeline": run,

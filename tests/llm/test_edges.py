@@ -13,6 +13,7 @@ from sparkrisk.llm import (
     language_id,
     license_scan,
     merkle_manifest,
+    minhash,
     packing,
     periodic_runs,
     secret_scan,
@@ -47,6 +48,7 @@ OPERATORS = {
     "html": lambda s, d: html_text.extract_text(_pages(d)),
     "exact": lambda s, d: exact_dedup.exact_dedup(d),
     "secrets": lambda s, d: secret_scan.secret_scan(d),
+    "minhash": lambda s, d: minhash.near_dedup(d),
     "runs": lambda s, d: periodic_runs.periodic_runs(d, plant=True),
     "manifest": lambda s, d: merkle_manifest.manifest(d, slab=1),
 }
