@@ -6,11 +6,17 @@ own, so further columns of the input, whatever they are called, never get in the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkrisk.workspace import written
 
+#: edges that one task contracts at a time
+EDGES = 1_000_000
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -55,15 +61,53 @@ def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], run: str = "run"
     return rows.join(held, [*keys, run], "left")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node that is not the smallest of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while len(x):
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) as stars around the smallest nodes, ``EDGES`` at a time."""
+    def solved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("u", "v")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in forest(*ends)], names=["u", "v"])
+
+    parts, n = [], 0
+    for batch in batches:
+        parts.append(batch)
+        n += batch.num_rows
+        if n >= EDGES:
+            yield solved(parts)
+            parts, n = [], 0
+    if parts:
+        yield solved(parts)
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the smallest.
 
-    Alternating large-star and small-star rounds; every round is written to the shared
-    folder, and the loop ends when a round leaves the edge set as it was. A node with very many
-    neighbours, as the root of a large component is, meets its smallest one through ``attach``,
-    so its edges stay dealt over the runs they were read in. Nodes without an edge are not in
-    the result. No edges: no rows.
+    Edges are dealt into lots of about ``most``, and every lot is contracted to stars around its
+    smallest nodes by one task. If there is more than one lot, large-star and small-star rounds
+    follow, each after a contraction, until a round leaves the edge set as it was. Every round
+    is written to the shared folder. A node with very many neighbours, as the root of a large
+    component is, meets its smallest one through ``attach``, so its edges stay dealt over the
+    runs they were read in. Nodes without an edge are not in the result. No edges: no rows.
     """
+    def contracted(pairs: DataFrame, n: int) -> DataFrame:
+        return pairs.repartition(-(-n // most)).mapInArrow(_contracted, "u long, v long")
+
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         # (u, v): neighbours v of u; large: all of them, small: the smaller ones
         pairs = pairs.withColumn("run", F.spark_partition_id())
@@ -89,11 +133,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                   .where("u <> v").distinct(), "edges")
     before = mark(now)
-    while before[0]:
-        now = written(star(star(now, True), False), "edges")
-        after = mark(now)
-        if after == before:
-            break
-        before = after
+    if 0 < before[0] <= most:
+        now = written(contracted(now, before[0]), "edges")
+    else:
+        while before[0]:
+            now = written(star(star(contracted(now, before[0]), True), False), "edges")
+            after = mark(now)
+            if after == before:
+                break
+            before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
