@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -16,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column
-from sparkrisk.operators.metrics import binary_metrics, roc_auc
-from sparkrisk.operators.rank import score_grid, top_decile_lift
+from sparkrisk.operators.metrics import evaluate_by
 from sparkrisk.spec import ENCOUNTERS, EncounterSpec
 
 #: the indexer brings all values of a category to the driver
@@ -208,20 +206,40 @@ def predict(model: PipelineModel, df: DataFrame, spec: EncounterSpec = ENCOUNTER
         vector_to_array("probability")[1].alias(PROBABILITY))
 
 
-def evaluate(scored: DataFrame, name: str, spec: EncounterSpec = ENCOUNTERS) -> DataFrame:
-    """One row of metrics: threshold metrics, exact AUC, top-decile lift."""
-    named = F.lit(name).alias("model")
-    grid = score_grid(scored, PROBABILITY)
-    parts = [
-        binary_metrics(scored, spec.label, PREDICTION).select(
-            named, *[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")]),
-        roc_auc(scored, PROBABILITY, spec.label, grid=grid).select(
-            named, F.round("roc_auc", 4).alias("roc_auc")),
-        top_decile_lift(scored, PROBABILITY, spec.label, spec.id, grid=grid).select(
-            named, "top_decile_readmit_rate_pct", "pct_of_readmissions_captured",
-            F.round("lift_vs_random", 2).alias("lift_vs_random")),
-    ]
-    return reduce(lambda a, b: a.join(F.broadcast(b), "model"), parts)
+def predict_all(fitted: Mapping[str, PipelineModel], df: DataFrame,
+                spec: EncounterSpec = ENCOUNTERS, include_fairness: bool = False,
+                keep: Sequence[str] | None = None) -> DataFrame:
+    """Predictions of several models as a long table (model, ...), in one pass over the rows.
+
+    The models share their encoding, as those of one ``encode_training`` do; every row is
+    encoded once.
+    """
+    numeric, categorical = spec.features(include_fairness)
+    keep = list(keep or (spec.id, spec.label))
+    rows = model_input(df, numeric, categorical, keep)
+    shared: dict[str, object] = {}
+    for model in fitted.values():
+        shared |= {stage.uid: stage for stage in model.stages[:-1]}
+    rows = PipelineModel(list(shared.values())).transform(rows)
+    found = []
+    for i, (name, model) in enumerate(fitted.items()):
+        last = model.stages[-1].copy()
+        last.setPredictionCol(f"_class{i}").setProbabilityCol(f"_chance{i}").setRawPredictionCol(
+            f"_raw{i}")
+        rows = last.transform(rows)
+        found.append(F.struct(
+            F.lit(name).alias("model"), F.col(f"_class{i}").cast("int").alias(PREDICTION),
+            vector_to_array(f"_chance{i}")[1].alias(PROBABILITY)))
+    return rows.select(*[as_column(c) for c in keep], F.inline(F.array(*found)))
+
+
+def evaluate_models(scored: DataFrame, spec: EncounterSpec = ENCOUNTERS) -> DataFrame:
+    """One row of metrics per model of a long prediction table."""
+    found = evaluate_by(scored, "model", PROBABILITY, spec.label, PREDICTION, spec.id)
+    return found.select("model", *[F.round(c, 4).alias(c) for c in (
+        "accuracy", "precision", "recall", "f1", "roc_auc")],
+        "top_decile_readmit_rate_pct", "pct_of_readmissions_captured",
+        F.round("lift_vs_random", 2).alias("lift_vs_random"))
 
 
 def best_model(metrics: DataFrame, order: Sequence[str] | None = None) -> str:
@@ -244,7 +262,9 @@ def feature_importance(model: PipelineModel, spec: EncounterSpec = ENCOUNTERS,
 
 
 def compare_lift(df: DataFrame, scores: Mapping[str, str], label: str, id: str) -> DataFrame:
-    """Top-decile measures of several scores side by side."""
-    rows = [top_decile_lift(df, col, label, id).select(F.lit(name).alias("score"), "*")
-            for name, col in scores.items()]
-    return reduce(DataFrame.unionByName, rows)
+    """Top-decile measures of several score columns side by side, in the same passes."""
+    long = df.select(as_column(id), as_column(label), F.inline(F.array(*[
+        F.struct(F.lit(name).alias("score"), as_column(col).cast("double").alias("_value"),
+                 F.lit(0).alias("_class")) for name, col in scores.items()])))
+    return evaluate_by(long, "score", "_value", label, "_class", id).select(
+        "score", "top_decile_readmit_rate_pct", "pct_of_readmissions_captured", "lift_vs_random")

@@ -1,8 +1,9 @@
 """Table profile: all columns in one pass, exact quantiles without collecting values.
 
-``percentile`` keeps every distinct value of a column in one task. Here approximate
-quantiles only bracket the wanted ranks; a second pass counts the rows below each bracket
-and groups and orders only the values inside it.
+``percentile`` keeps every distinct value of a column in one task. Here quantile sketches,
+merged in a tree, only bracket the wanted ranks; a further pass counts the rows below each
+bracket and groups and orders only the values inside it. A bracket that would hold more rows
+than one task should order is narrowed first, by sketches of the values inside it.
 """
 
 from __future__ import annotations
@@ -14,14 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column, quoted, rate_pct, round_stable
-from sparkrisk.operators.rank import default_buckets
+from sparkrisk.operators import sketch
 
-MIN_ACCURACY = 10_000
-
-
-def default_accuracy(df: DataFrame) -> int:
-    """A bracket holds about ``4 / accuracy`` of the rows: no more than a rank bucket does."""
-    return max(MIN_ACCURACY, 16 * default_buckets(df))
+#: size of the sketches; brackets hold about half a percent of the rows each
+ACCURACY = 4096
+#: more rows of a bracket than this are narrowed down before they are ordered
+ROWS_IN_BRACKET = 1_000_000
 
 
 def _long(df: DataFrame, cols: Sequence[str], **per_column) -> DataFrame:
@@ -104,32 +103,31 @@ def _number(col: str) -> Column:
     return F.nanvl(as_column(col).cast("double"), F.lit(None).cast("double"))
 
 
-def _quantile_grid(probs: Sequence[float], accuracy: int) -> list[float]:
-    """Two percentages around each wanted one, wider than the approximation error."""
-    margin = 2.0 / accuracy
-    return [min(1.0, max(0.0, p + step)) for p in probs for step in (-margin, margin)]
+def _summary(df: DataFrame, cols: Sequence[str], accuracy: int) -> list[dict]:
+    """Per column: count, moments, ends and a quantile sketch (at most some k numbers)."""
+    rows = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    found = sketch.sketch_tree(rows, rows.columns, accuracy, moments=True).first()
+    out = []
+    for i in range(len(cols)):
+        n = found[f"n{i}"] if found else 0
+        m2 = found[f"moments{i}"]["m2"] if n else None
+        out.append({
+            "n": n, "mean": found[f"moments{i}"]["mean"] if n else None,
+            "std": (m2 / (n - 1)) ** 0.5 if n > 1 else None,
+            "low": found[f"low{i}"] if n else None, "high": found[f"high{i}"] if n else None,
+            "sketch": found[f"s{i}"] if n else None})
+    return out
 
 
-def _summary(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-             accuracy: int) -> list[dict]:
-    """Per column: count, moments, ends and approximate quantiles around each target."""
-    grid = _quantile_grid(probs, accuracy)
-    rows = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    parts = {
-        "n": F.count, "mean": F.avg, "std": F.stddev_samp, "low": F.min, "high": F.max,
-        "q": lambda v: F.percentile_approx(v, grid, accuracy),
-    }
-    one = rows.agg(*[f(F.col(f"c{i}")).alias(f"{name}{i}")
-                     for i in range(len(cols)) for name, f in parts.items()]).first()
-    return [{name: one[f"{name}{i}"] for name in parts} for i in range(len(cols))]
+def _ranks(n: int, probs: Sequence[float]) -> list[tuple[int, float]]:
+    """Of each quantile the rank of the value below it, and how far it is to the next."""
+    return [(math.floor((n - 1) * p) + 1, (n - 1) * p - math.floor((n - 1) * p)) for p in probs]
 
 
-def _brackets(r: dict, probs: Sequence[float]) -> list[tuple[float, float]]:
-    """Disjoint ascending value ranges that hold the wanted ranks or border on them."""
+def _merged(ranges: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Disjoint ascending ranges that cover the given ones."""
     out: list[tuple[float, float]] = []
-    for j, p in sorted(enumerate(probs), key=lambda jp: jp[1]):
-        low = r["low"] if p == 0.0 else r["q"][2 * j]
-        high = r["high"] if p == 1.0 else r["q"][2 * j + 1]
+    for low, high in sorted(ranges):
         if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], max(high, out[-1][1]))
         else:
@@ -137,8 +135,92 @@ def _brackets(r: dict, probs: Sequence[float]) -> list[tuple[float, float]]:
     return out
 
 
+def _around(spark, wanted: Sequence[tuple], accuracy: int) -> list[tuple[float, float]]:
+    """Value ranges that hold the ranks ``first`` to ``last``, from (sketch, n, low, high,
+    first, last); wider than the sketch's error on both sides."""
+    margin = sketch.MARGIN * sketch.rank_error(accuracy)
+    shares = [((first - 1) / n - margin, (last + 1) / n + margin)
+              for _, n, _, _, first, last in wanted]
+    found = sketch.quantiles(spark, [
+        (w[0], [min(1.0, max(0.0, s)) for s in share])
+        for w, share in zip(wanted, shares, strict=True)])
+    return [(low if share[0] <= 0 else q[0], high if share[1] >= 1 else q[1])
+            for (_, _, low, high, _, _), share, q in zip(wanted, shares, found, strict=True)]
+
+
+def _brackets(df: DataFrame, cols: Sequence[str], summary: list[dict], probs: Sequence[float],
+              accuracy: int, most: int) -> list[list[tuple[float, float]]]:
+    """Per column disjoint ascending value ranges that hold the wanted ranks.
+
+    Ranges that may hold more than ``most`` rows of different values are narrowed: their rows
+    are counted and sketched again, which leaves a few thousandths of them each time. A rank
+    that turns out to lie beside its range is looked for in the gap next to it.
+    """
+    spark = df.sparkSession
+    wanted = [(i, k, k + 1) for i, r in enumerate(summary) if r["n"]
+              for k, _ in _ranks(r["n"], probs)]
+    around = _around(spark, [
+        (summary[i]["sketch"], summary[i]["n"], summary[i]["low"], summary[i]["high"], a, b)
+        for i, a, b in wanted], accuracy)
+    share = 2 * (sketch.MARGIN + 1) * sketch.rank_error(accuracy)
+    held = [summary[i]["n"] * share for i, _, _ in wanted]
+
+    def per_column() -> list[list[tuple[float, float]]]:
+        return [_merged(r for (i, _, _), r in zip(wanted, around, strict=True) if i == col)
+                for col in range(len(cols))]
+
+    while share < 0.5 and any(n > most and low < high
+                              for n, (low, high) in zip(held, around, strict=True)):
+        ranges, known = per_column(), list(around)
+        rows = _placed(df, cols, ranges).withColumn(
+            "inside", F.when(F.col("place") % 2 == 1, F.col("value")))
+        found = {(r["col"], r["place"]): r for r in sketch.sketch_tree(
+            rows, ["inside"], accuracy, ["col", "place"]).collect()}
+        inner, which = [], []
+        for at, (i, first, last) in enumerate(wanted):
+            m = next(m for m, (low, high) in enumerate(ranges[i])
+                     if low <= around[at][0] and around[at][1] <= high)
+            before = sum(r["rows"] for (col, place), r in found.items()
+                         if col == i and place < 2 * m + 1)
+            r = found.get((i, 2 * m + 1))
+            n = r["n0"] if r else 0
+            if first > before + n:
+                after = ranges[i][m + 1][0] if m + 1 < len(ranges[i]) else summary[i]["high"]
+                around[at] = (ranges[i][m][1], after)
+            elif last <= before:
+                around[at] = (ranges[i][m - 1][1] if m else summary[i]["low"], ranges[i][m][0])
+            else:
+                held[at] = n * share
+                inner.append((r["s0"], n, r["low0"], r["high0"], first - before, last - before))
+                which.append(at)
+        for at, new in zip(which, _around(spark, inner, accuracy), strict=True):
+            around[at] = new
+        if around == known:  # as narrow as these sketches make it
+            break
+    return per_column()
+
+
+def _placed(df: DataFrame, cols: Sequence[str],
+            ranges: list[list[tuple[float, float]]]) -> DataFrame:
+    """(col, place, value) of every value of the columns that have ranges.
+
+    Even places are the gaps between ranges, odd places the ranges.
+    """
+    values = []
+    for i, own in enumerate(ranges):
+        if not own:
+            continue
+        v = _number(cols[i])
+        place = F.when(v.isNull(), F.lit(None))
+        for m, (low, high) in enumerate(own):
+            place = place.when(v < F.lit(low), 2 * m).when(v <= F.lit(high), 2 * m + 1)
+        place = place.otherwise(2 * len(own))
+        values.append(F.struct(F.lit(i).alias("col"), place.alias("place"), v.alias("value")))
+    return df.select(F.inline(F.array(*values))).filter(F.col("place").isNotNull())
+
+
 def _select_ranks(df: DataFrame, cols: Sequence[str], summary: list[dict],
-                  probs: Sequence[float]) -> DataFrame:
+                  probs: Sequence[float], accuracy: int, most: int) -> DataFrame:
     """Exact quantiles as ``(col, q0, q1, ...)``.
 
     The brackets cut the values of a column into intervals: even numbers are the gaps
@@ -146,27 +228,15 @@ def _select_ranks(df: DataFrame, cols: Sequence[str], summary: list[dict],
     group per distinct value; running counts over these groups give the ranks. A wanted
     rank is inside a bracket or the first or last value of a gap.
     """
-    values, wanted = [], []
-    for i, r in enumerate(summary):
-        if not r["n"]:
-            continue
-        v = _number(cols[i])
-        brackets = _brackets(r, probs)
-        place = F.when(v.isNull(), F.lit(None))
-        for m, (low, high) in enumerate(brackets):
-            place = place.when(v < F.lit(low), 2 * m).when(v <= F.lit(high), 2 * m + 1)
-        place = place.otherwise(2 * len(brackets))
-        values.append(F.struct(F.lit(i).alias("col"), place.alias("place"), v.alias("value")))
-        for j, p in enumerate(probs):
-            at = (r["n"] - 1) * p
-            wanted.append((i, j, math.floor(at) + 1, at - math.floor(at)))
+    wanted = [(i, j, k, frac) for i, r in enumerate(summary) if r["n"]
+              for j, (k, frac) in enumerate(_ranks(r["n"], probs))]
     targets = df.sparkSession.createDataFrame(wanted, "col int, j int, k long, frac double")
-    if not values:
+    if not wanted:
         return targets.groupBy("col").agg(*[
             F.max(F.lit(None).cast("double")).alias(f"q{j}") for j in range(len(probs))])
 
+    rows = _placed(df, cols, _brackets(df, cols, summary, probs, accuracy, most))
     bracket = F.col("place") % 2 == 1
-    rows = df.select(F.inline(F.array(*values))).filter(F.col("place").isNotNull())
     groups = rows.groupBy("col", "place", F.when(bracket, F.col("value")).alias("inside")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
     # rows before each gap or bracket (a few per column), then order inside each bracket
@@ -202,32 +272,33 @@ def _name(cols: Sequence[str]) -> Column:
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    accuracy: int | None = None) -> DataFrame:
+                    accuracy: int = ACCURACY, most: int = ROWS_IN_BRACKET) -> DataFrame:
     """Exact linear-interpolated quantiles as ``(feature, q0, q1, ...)``.
 
-    Two passes over the data for all columns and probabilities together; what is ordered
-    is at most about ``4 / accuracy`` of the rows per quantile, one row per distinct value.
+    ``accuracy`` is the size of the sketches, 8 to 65,535. Two passes over the data for all
+    columns and probabilities together, and one more per factor of some 200 by which a
+    bracket's rows exceed ``most``, the rows of different values that one task may order.
     """
-    accuracy = accuracy or default_accuracy(df)
-    found = _select_ranks(df, cols, _summary(df, cols, probs, accuracy), probs)
+    found = _select_ranks(df, cols, _summary(df, cols, accuracy), probs, accuracy, most)
     return found.select(_name(cols), *[f"q{j}" for j in range(len(probs))])
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str],
-                     accuracy: int | None = None) -> DataFrame:
+                     accuracy: int = ACCURACY) -> DataFrame:
     """Count, mean, standard deviation (n - 1), minimum, quartiles and maximum."""
     probs = [0.25, 0.5, 0.75]
-    summary = _summary(df, cols, probs, accuracy or default_accuracy(df))
+    summary = _summary(df, cols, accuracy)
     rows = [(i, r["n"], r["mean"], r["std"], r["low"], r["high"]) for i, r in enumerate(summary)]
     basic = df.sparkSession.createDataFrame(
         rows, "col int, count long, mean double, std double, min double, max double")
-    return basic.join(_select_ranks(df, cols, summary, probs), "col", "left").select(
+    ranks = _select_ranks(df, cols, summary, probs, accuracy, ROWS_IN_BRACKET)
+    return basic.join(ranks, "col", "left").select(
         _name(cols), "count", round_stable("mean").alias("mean"), round_stable("std").alias("std"),
         "min", F.round("q0", 6).alias("p25"), F.round("q1", 6).alias("p50"),
         F.round("q2", 6).alias("p75"), "max")
 
 
-def _fences(df: DataFrame, cols: Sequence[str], k: float, accuracy: int | None):
+def _fences(df: DataFrame, cols: Sequence[str], k: float, accuracy: int):
     """Quartiles and outlier fences per column, collected (one row per column)."""
     out = {}
     for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75], accuracy).collect():
@@ -237,7 +308,7 @@ def _fences(df: DataFrame, cols: Sequence[str], k: float, accuracy: int | None):
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-                 accuracy: int | None = None) -> DataFrame:
+                 accuracy: int = ACCURACY) -> DataFrame:
     """Quartiles, fences and rows strictly outside them, for all columns in one pass."""
     fences = _fences(df, cols, k, accuracy)
     known = [c for c in cols if c in fences]
@@ -255,7 +326,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5,
-              accuracy: int | None = None) -> DataFrame:
+              accuracy: int = ACCURACY) -> DataFrame:
     """Quartiles, whisker ends (last values inside the fences) and outlier count."""
     fences = _fences(df, cols, k, accuracy)
     known = [c for c in cols if c in fences]

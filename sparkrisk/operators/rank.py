@@ -3,7 +3,8 @@
 A window without partition keys moves the whole table into one task. Here the score
 range is split into many small buckets instead:
 
-1. approximate quantiles of the score give bucket bounds. A value that fills several
+1. a quantile sketch of the score, merged in a tree, gives bucket bounds; how many follows
+   the number of rows. A value that fills several
    quantiles on its own becomes a bucket of its own, split further by the md5 of the
    row id into as many parts as it filled quantiles;
 2. a count per bucket and its running total give the number of rows before each bucket;
@@ -28,8 +29,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrisk.functions import as_column, flag_ge, hash32, rate_pct
+from sparkrisk.operators import sketch
 
-SKETCHES = 64
+#: rows that one task should order
+ROWS_PER_BUCKET = 1_000_000
+#: a sketch of size k tells some k / 4 buckets apart
+GRID_K = 8192
 
 
 @dataclass(frozen=True)
@@ -54,10 +59,10 @@ class Cut:
     id: object
 
 
-def default_buckets(df: DataFrame) -> int:
-    """Four buckets per shuffle partition, so buckets shrink as the cluster is sized up."""
+def default_buckets(df: DataFrame, rows: int = 0) -> int:
+    """One bucket per ``ROWS_PER_BUCKET`` rows, and at least four per shuffle partition."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(128, 4 * partitions)
+    return max(128, 4 * partitions, -(-rows // ROWS_PER_BUCKET))
 
 
 def _array(values, of: str) -> Column:
@@ -71,35 +76,46 @@ def _clean_score(score: str) -> Column:
 
 
 def score_grid(df: DataFrame, score: str, buckets: int | None = None) -> Grid:
-    """Bounds from approximate quantiles; at most ``buckets`` numbers reach the driver.
+    """Bounds from a quantile sketch; at most ``buckets`` numbers reach the driver."""
+    return score_grids(df, score, None, buckets).get(None, Grid(0, (), ()))
 
-    Quantiles are taken in groups of input partitions first, then over the groups' results,
-    so no task merges the sketches of all partitions. Bounds need not be exact.
-    """
-    buckets = buckets or default_buckets(df)
-    probs = _array([i / buckets for i in range(1, buckets)], "double")
-    accuracy = F.lit(max(10_000, 4 * buckets))
-    groups = df.select(_clean_score(score).alias("_v"),
-                       (F.spark_partition_id() % SKETCHES).alias("_g")).groupBy("_g").agg(
-        F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_known"),
-        F.percentile_approx("_v", probs, accuracy).alias("_q"))
-    n, known, found = groups.select(
-        F.posexplode_outer("_q").alias("_i", "_v"), "_n", "_known").agg(
-        *[F.coalesce(F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col(c))), F.lit(0))
-          for c in ("_n", "_known")],
-        F.percentile_approx("_v", probs, accuracy)).first()
-    counts = Counter(sorted(found or []))
-    return Grid(n, tuple(counts), tuple(counts.values()),
-                max(1, -(-(n - known) * buckets // max(1, n))))
 
+def score_grids(df: DataFrame, score: str, by: str | None,
+                buckets: int | None = None) -> dict[object, Grid]:
+    """The grid of each group ``by``, of which there are a few; one of all rows without it.
 
-def with_bucket(df: DataFrame, score: str, id: str | None, grid: Grid) -> DataFrame:
-    """Add ``_score``, ``_bucket`` and ``_part``; ascending (bucket, part) follows the order.
+    Bounds need not be exact. Very many rows need more buckets than the sketch tells apart:
+    then it is made once more, as large as it needs to be (up to 16,384 buckets).
+    """
+    keys = [] if by is None else ["_by"]
+    rows = df.select(_clean_score(score).alias("_v"),
+                     *[as_column(by).alias("_by") for _ in keys])
+    k = GRID_K
+    while True:
+        found = sketch.sketch_tree(rows, ["_v"], k, keys).collect()
+        wanted = [buckets or default_buckets(df, r["rows"]) for r in found]
+        if k >= min(sketch.MOST_K, max((4 * w for w in wanted), default=0)):
+            break
+        k = sketch.MOST_K
+    wanted = [min(w, k // 4) for w in wanted]
+    bounds = sketch.quantiles(df.sparkSession, [
+        (r["s0"], [i / w for i in range(1, w)] if r["n0"] else [])
+        for r, w in zip(found, wanted, strict=True)])
+    grids = {}
+    for r, w, own in zip(found, wanted, bounds, strict=True):
+        counts = Counter(sorted(own))
+        n, known = r["rows"], r["n0"]
+        grids[r["_by"] if keys else None] = Grid(
+            n, tuple(counts), tuple(counts.values()), max(1, -(-(n - known) * w // max(1, n))))
+    return grids
+
+
+def _slots(grid: Grid) -> tuple[list[float], list[int]]:
+    """Ascending edges of the slots, and the number of parts of each.
 
     Each bound opens a slot for itself alone and one for the values above it, up to the
-    next bound. Both new columns are never null, so joins on them add no null filters.
+    next bound.
     """
-    rows = df.withColumn("_score", _clean_score(score))
     edges, parts = [float("-inf")], [1]
     for bound, times in zip(grid.bounds, grid.parts):
         if bound == math.inf:           # stays in the slot above the bound before
@@ -113,32 +129,57 @@ def with_bucket(df: DataFrame, score: str, id: str | None, grid: Grid) -> DataFr
         if math.isfinite(above):
             edges.append(above)
             parts.append(1)
-    edges.append(float("inf"))
-    rows = Bucketizer(splits=edges, inputCol="_score", outputCol="_slot",
-                      handleInvalid="keep").transform(rows)
-    slot = F.coalesce(F.col("_slot").cast("int"), F.lit(-1))
-    rows = rows.withColumn("_slot", slot)
+    return [*edges, float("inf")], parts
+
+
+def with_bucket(df: DataFrame, score: str, id: str | None, grid: Grid) -> DataFrame:
+    """Add ``_score``, ``_bucket`` and ``_part``; ascending (bucket, part) follows the order.
+
+    Both new columns are never null, so joins on them add no null filters.
+    """
+    return with_buckets(df, score, id, {None: grid})
+
+
+def with_buckets(df: DataFrame, score: str, id: str | None, grids: dict[object, Grid],
+                 by: str | None = None) -> DataFrame:
+    """``with_bucket`` by the grid of each row's group ``by``, of which there are a few."""
+    rows = df.withColumn("_score", _clean_score(score))
+    slot, share = F.lit(None).cast("int"), F.lit(1).cast("long")
+    for i, (name, grid) in enumerate(grids.items()):
+        edges, parts = _slots(grid)
+        own = F.lit(True) if by is None else as_column(by) == F.lit(name)
+        rows = rows.withColumn(f"_s{i}", F.when(own, F.col("_score")))
+        rows = Bucketizer(splits=edges, inputCol=f"_s{i}", outputCol=f"_slot{i}",
+                          handleInvalid="keep").transform(rows)
+        found = F.col(f"_slot{i}").cast("int")
+        slot = F.when(own, found).otherwise(slot)
+        share = F.when(own, F.element_at(_array([grid.null_parts, *parts], "long"),
+                                         F.coalesce(found, F.lit(-1)) + 2)).otherwise(share)
+    rows = rows.withColumn("_slot", F.coalesce(slot, F.lit(-1)))
     part = F.lit(0).cast("long")
     if id is not None:
-        share = F.element_at(_array([grid.null_parts, *parts], "long"), F.col("_slot") + 2)
         part = F.when(share > 1, F.shiftright(hash32(id) * share, 32)).otherwise(part)
     return rows.withColumns({
         "_bucket": -F.col("_slot"), "_part": F.coalesce(part, F.lit(0).cast("long")),
-    }).drop("_slot")
+    }).drop("_slot", *[f"{c}{i}" for i in range(len(grids)) for c in ("_s", "_slot")])
 
 
-def bucket_offsets(bucketed: DataFrame, sums: dict[str, str] | None = None) -> DataFrame:
+def bucket_offsets(bucketed: DataFrame, sums: dict[str, str] | None = None,
+                   by: str | None = None) -> DataFrame:
     """One row per bucket part: rows in it (``_n``), rows before it, rows in all.
 
-    ``sums`` replaces the row count by sums of columns, as ``{suffix: column}``. The
-    window runs over the bucket counts only, whose number is bounded by the grid.
+    ``sums`` replaces the row count by sums of columns, as ``{suffix: column}``; ``by`` counts
+    each group on its own. The window runs over the bucket counts only, whose number is
+    bounded by the grid.
     """
+    keys = [] if by is None else [by]
     aggs = {f"_{s}": F.sum(c) for s, c in sums.items()} if sums else {"_n": F.count(F.lit(1))}
-    counts = bucketed.groupBy("_bucket", "_part").agg(*[c.alias(a) for a, c in aggs.items()])
-    order = Window.orderBy("_bucket", "_part")
+    counts = bucketed.groupBy(*keys, "_bucket", "_part").agg(
+        *[c.alias(a) for a, c in aggs.items()])
+    order = Window.partitionBy(*keys).orderBy("_bucket", "_part")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = ["_bucket", "_part", *aggs]
+    out = [*keys, "_bucket", "_part", *aggs]
     for a in aggs:
         end = "" if a == "_n" else a
         out += [(F.sum(a).over(upto) - F.col(a)).alias(f"_before{end}"),
@@ -150,8 +191,8 @@ def _digest(id: str) -> Column:
     return F.md5(as_column(id).cast("string"))
 
 
-def _rank_in_bucket(id: str) -> Column:
-    order = Window.partitionBy("_bucket", "_part").orderBy(
+def _rank_in_bucket(id: str, *by: str) -> Column:
+    order = Window.partitionBy(*by, "_bucket", "_part").orderBy(
         F.desc_nulls_last("_score"), _digest(id), as_column(id))
     return F.col("_before") + F.row_number().over(order)
 
@@ -202,6 +243,32 @@ def tile_cuts(df: DataFrame, score: str, id: str, tiles: int = 10, rule: str = "
     return [by_rank[e] for e in ends]
 
 
+def group_cuts(df: DataFrame, score: str, id: str, by: str, grids: dict[object, Grid],
+               tiles: int = 10, rule: str = "ntile") -> dict[object, Cut]:
+    """The last row of the first tile of each group: one row per group reaches the driver."""
+    ends = {name: TILE_RULES[rule](grid.rows, tiles)[0] for name, grid in grids.items()}
+    rows = df.select(as_column(score).alias("_s"), as_column(id).alias("_id"),
+                     as_column(by).alias("_by"))
+    bucketed = with_buckets(rows, "_s", "_id", grids, "_by")
+    end = F.lit(None).cast("long")
+    for name, place in ends.items():
+        end = F.when(F.col("_by") == F.lit(name), place).otherwise(end)
+    needed = bucket_offsets(bucketed, by="_by").filter(
+        (end > F.col("_before")) & (end <= F.col("_before") + F.col("_n")))
+    near = bucketed.join(F.broadcast(needed), ["_by", "_bucket", "_part"])  # one per group
+    found = near.withColumn("_rank", _rank_in_bucket("_id", "_by")).filter(
+        F.col("_rank") == end).select("_by", "_score", _digest("_id").alias("_digest"), "_id")
+    return {r["_by"]: Cut(r["_score"], r["_digest"], r["_id"]) for r in found.collect()}
+
+
+def in_first_tile(score: str, id: str, by: str, cuts: dict[object, Cut]) -> Column:
+    """Whether a row is in the first tile of its group."""
+    value, first = _clean_score(score), F.lit(None).cast("boolean")
+    for name, cut in cuts.items():
+        first = F.when(as_column(by) == F.lit(name), ~_after(value, id, cut)).otherwise(first)
+    return F.coalesce(first, F.lit(False))
+
+
 def _after(score: Column, id: str, end: Cut) -> Column:
     """True for rows that come after the given row in the global order."""
     digest = _digest(id)
@@ -274,12 +341,16 @@ def _lift() -> Column:
     return F.try_divide(top, base)
 
 
-def lift_of(df: DataFrame, in_top: Column, label: str) -> DataFrame:
+def lift_columns() -> list[Column]:
     """Rate in the chosen part, share of positives it captures, and lift over average."""
-    return df.agg(*top_tile_measures(in_top, label)).select(
-        rate_pct("_top_pos", "_top_n").alias("top_decile_readmit_rate_pct"),
-        rate_pct("_top_pos", "_pos").alias("pct_of_readmissions_captured"),
-        F.round(_lift(), 6).alias("lift_vs_random"))
+    return [rate_pct("_top_pos", "_top_n").alias("top_decile_readmit_rate_pct"),
+            rate_pct("_top_pos", "_pos").alias("pct_of_readmissions_captured"),
+            F.round(_lift(), 6).alias("lift_vs_random")]
+
+
+def lift_of(df: DataFrame, in_top: Column, label: str) -> DataFrame:
+    """The three measures of a chosen part of the table."""
+    return df.agg(*top_tile_measures(in_top, label)).select(*lift_columns())
 
 
 def top_decile_lift(df: DataFrame, score: str, label: str, id: str, tiles: int = 10,

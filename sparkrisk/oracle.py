@@ -357,6 +357,34 @@ def _lift(table: str, top: str) -> str:
 FROM {table}"""
 
 
+def _compared(prefix: str, rows: str, by: str) -> str:
+    """Measures of a classifier per group of rows (by, id, y, s, flagged)."""
+    first = f"{_QCUT} = 1"
+    return f"""{prefix}{"," if prefix else "WITH"} rows_of AS ({rows}),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, md5(CAST(id AS VARCHAR)), id) AS r,
+        count(*) OVER (PARTITION BY g) AS n FROM rows_of),
+m AS (SELECT g, count(*) FILTER (WHERE y = 1 AND flagged) AS tp, count(*) FILTER (WHERE y = 0 AND flagged) AS fp,
+        count(*) FILTER (WHERE y = 0 AND NOT flagged) AS tn, count(*) FILTER (WHERE y = 1 AND NOT flagged) AS fn,
+        CAST(sum(y) AS BIGINT) AS pos, count(*) AS al, count(*) FILTER (WHERE {first}) AS tops,
+        CAST(coalesce(sum(y) FILTER (WHERE {first}), 0) AS BIGINT) AS top_pos FROM o GROUP BY g),
+h AS (SELECT g, s, CAST(sum(y) AS DOUBLE) AS p, CAST(count(*) - sum(y) AS DOUBLE) AS q FROM rows_of GROUP BY g, s),
+c AS (SELECT *, sum(q) OVER (PARTITION BY g ORDER BY s) - q AS below FROM h),
+a AS (SELECT g, round(sum(p * (below + q / 2.0)) / (sum(p) * sum(q)), 6) AS roc_auc FROM c GROUP BY g)
+SELECT m.g AS {by}, round((tp + tn) / CAST(al AS DOUBLE), 6) AS accuracy,
+  round(coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0), 6) AS precision,
+  round(coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0), 6) AS recall,
+  round(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0), 6) AS f1, roc_auc,
+  {_pct("top_pos", "tops")} AS top_decile_readmit_rate_pct, {_pct("top_pos", "pos")} AS pct_of_readmissions_captured,
+  round((CAST(top_pos AS DOUBLE) / tops) / (CAST(pos AS DOUBLE) / al), 6) AS lift_vs_random
+FROM m JOIN a ON m.g = a.g"""
+
+
+_TWO_SCORES = """
+  SELECT 'rule' AS g, encounter_id AS id, readmitted_30d AS y, risk_score AS s, risk_score >= 12 AS flagged FROM ruled
+  UNION ALL
+  SELECT 'visits', encounter_id, readmitted_30d, service_utilization, service_utilization >= 3 FROM ruled"""
+
+
 def _gains(prefix: str, table: str, decile: str, label: str) -> str:
     s = f"CAST(sum({label}) AS BIGINT)"
     return f"""{prefix}
@@ -608,6 +636,12 @@ SELECT tp, fp, tn, fn, round((tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE), 6) A
   round(coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0), 6) AS recall,
   round(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0), 6) AS f1 FROM m""",
     "roc_auc": _auc(_S, "ruled", "risk_score", "readmitted_30d"),
+    "scores_compared": _compared(_S, _TWO_SCORES, "score"),
+    "scores_lift": f"""SELECT score, top_decile_readmit_rate_pct, pct_of_readmissions_captured,
+  lift_vs_random FROM ({_compared(_S, _TWO_SCORES, "score")})""",
+    "event_types_compared": _compared("", """
+  SELECT event_type AS g, event_id AS id, CAST(event_id % 2 AS INT) AS y, value AS s,
+    value >= 50 AS flagged FROM events""", "event_type"),
     "roc_curve": _roc(_S, "ruled", "risk_score", "readmitted_30d", 100),
     "events_roc_full": _roc(_PURCHASES, "bought", "value", "bought", None),
     "gappy_histogram": _histogram(_GAPPY, "gappy", ["gaps"], 12),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -36,16 +35,14 @@ class ModelRun:
 def compare_models(train: DataFrame, test: DataFrame, configs: dict[str, models.ModelConfig],
                    spec: EncounterSpec = ENCOUNTERS, include_fairness: bool = False
                    ) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Fit every configuration, one row of test metrics each."""
+    """Fit every configuration; one row of test metrics each, all models in the same passes."""
     encoder, encoded = models.encode_training(train, spec, include_fairness)
     encoded = fresh(train.sparkSession, "encoded", encoded)
-    fitted, rows = {}, []
-    for name, config in configs.items():
-        fitted[name] = models.fit_encoded(encoder, encoded, config, spec)
-        scored = fresh(test.sparkSession, "predictions", models.predict(
-            fitted[name], test, spec, include_fairness))
-        rows.append(models.evaluate(scored, name, spec))
-    table = reduce(DataFrame.unionByName, rows)
+    fitted = {name: models.fit_encoded(encoder, encoded, config, spec)
+              for name, config in configs.items()}
+    scored = fresh(test.sparkSession, "predictions", models.predict_all(
+        fitted, test, spec, include_fairness))
+    table = models.evaluate_models(scored, spec)
     return fitted, fresh(test.sparkSession, "comparison", table.coalesce(1))
 
 

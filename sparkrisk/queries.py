@@ -597,6 +597,39 @@ def roc_auc(spark, folder):
     return metrics.roc_auc(ruled(spark, folder), "risk_score", LABEL)
 
 
+def _two_scores(spark, folder):
+    """Two fixed scores with a class each, as a long table (score, value, flagged)."""
+    return ruled(spark, folder).select(ID, LABEL, F.inline(F.array(
+        F.struct(F.lit("rule").alias("score"), F.col("risk_score").cast("double").alias("value"),
+                 flag_ge("risk_score", RULE_CUTOFF).alias("flagged")),
+        F.struct(F.lit("visits").alias("score"),
+                 F.col("service_utilization").cast("double").alias("value"),
+                 flag_ge("service_utilization", 3).alias("flagged")))))
+
+
+@query
+def scores_compared(spark, folder):
+    """What a model comparison measures, for two scores that SQL knows."""
+    return metrics.evaluate_by(_two_scores(spark, folder), "score", "value", LABEL, "flagged", ID)
+
+
+@query
+def scores_lift(spark, folder):
+    rows = ruled(spark, folder)
+    return models.compare_lift(rows, {"rule": "risk_score", "visits": "service_utilization"},
+                               LABEL, ID)
+
+
+@query
+def event_types_compared(spark, folder):
+    """The same measures per event type: how well a value tells the later half of the events."""
+    later = F.col("event_id") % 2
+    rows = read_table(spark, folder, "events").select(
+        "event_id", "event_type", F.col("value").cast("double").alias("value"),
+        later.cast("int").alias("later"), flag_ge("value", 50).alias("flagged"))
+    return metrics.evaluate_by(rows, "event_type", "value", "later", "flagged", "event_id")
+
+
 @query
 def roc_curve(spark, folder):
     return metrics.roc_curve(ruled(spark, folder), "risk_score", LABEL, 100)

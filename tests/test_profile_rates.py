@@ -36,6 +36,20 @@ def test_quantiles_are_exact_at_any_accuracy(table, accuracy):
         assert np.allclose([got[c][f"q{j}"] for j in range(len(probs))], want, atol=1e-12)
 
 
+@pytest.mark.parametrize("accuracy, most", [(400, 50), (60, 20), (8, 1)])
+def test_wide_brackets_are_narrowed(spark, accuracy, most):
+    """Brackets with too many rows are sketched again, also by poor sketches; ties are kept."""
+    rnd = random.Random(accuracy)
+    values = [rnd.gauss(0, 1) for _ in range(6000)] + [0.25] * 3000 + [None] * 50
+    df = spark.createDataFrame([(v, 1.0) for v in values], "v double, one double").repartition(20)
+    probs = [0.0, 0.01, 0.3, 0.5, 0.501, 0.9, 1.0]
+    got = {r["feature"]: r for r in profile.exact_quantiles(
+        df, ["v", "one"], probs, accuracy, most).collect()}
+    want = np.quantile([v for v in values if v is not None], probs)
+    assert np.allclose([got["v"][f"q{j}"] for j in range(len(probs))], want, atol=1e-12)
+    assert {got["one"][f"q{j}"] for j in range(len(probs))} == {1.0}
+
+
 def test_describe_matches_pandas(table):
     pdf, df = table
     want = pdf.describe().T

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkrisk.operators import rank
+from sparkrisk.operators import profile, rank, sketch
 
 
 def brute_order(rows):
@@ -136,3 +136,63 @@ def test_deciles_shuffle_no_rows(spark):
     tiled = rank.assign_tile(df, "score", "id", "tile")
     plan = tiled._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def _aggregates(df):
+    """Lines of the plan that make or merge sketches."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Aggregate" in line and "kll" in line]
+
+
+def test_sketches_are_merged_in_a_tree(spark, monkeypatch):
+    """Every sketch aggregate has keys, with a fan-in that does not grow with the partitions."""
+    made = []
+    tree = sketch.sketch_tree
+
+    def recorded(*args, **kwargs):
+        made.append(tree(*args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(sketch, "sketch_tree", recorded)
+    df = spark.range(5000).selectExpr("id", "id % 97 AS score", "id * 0.5 AS other").repartition(40)
+    profile.describe_numeric(df, ["score", "other"]).collect()
+    profile.iqr_outliers(df, ["score"]).collect()
+    rank.global_rank(df, "score", "id").collect()
+    assert len(made) == 3
+    for frame in made:
+        lines = _aggregates(frame)
+        assert len(lines) >= 4 and all("keys=[_g" in line for line in lines)
+        assert "percentile" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_follow_the_shuffle_partitions(spark):
+    df = spark.range(1000).selectExpr("cast(id AS double) AS v")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    rounds = {}
+    try:
+        for partitions in (4, 40, 600):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rounds[partitions] = len(_aggregates(sketch.sketch_tree(df, ["v"], 200)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert rounds == {4: 4, 40: 6, 600: 8}  # two lines a round: before and after the exchange
+
+
+def test_sketch_tree_moments_and_keys(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("abc"), rnd.choice([None, float("nan"), rnd.gauss(1e6, 1)])) for _ in range(900)]
+    rows += [("none", None)] * 5
+    df = spark.createDataFrame(rows, "k string, v double").repartition(30).selectExpr(
+        "k", "nanvl(v, cast(null AS double)) AS v")
+    got = {r["k"]: r for r in sketch.sketch_tree(df, ["v"], 200, ["k"], moments=True).collect()}
+    for k in "abc":
+        own = [v for key, v in rows if key == k and v is not None and v == v]
+        r = got[k]
+        assert (r["rows"], r["n0"]) == (sum(key == k for key, _ in rows), len(own))
+        assert (r["low0"], r["high0"]) == (min(own), max(own))
+        mean = sum(own) / len(own)
+        assert r["moments0"]["mean"] == pytest.approx(mean, rel=1e-12)
+        assert r["moments0"]["m2"] == pytest.approx(sum((v - mean) ** 2 for v in own), rel=1e-9)
+    assert (got["none"]["rows"], got["none"]["n0"], got["none"]["low0"]) == (5, 0, None)
+    assert sketch.quantiles(spark, [(got["a"]["s0"], []), (got["a"]["s0"], [0.0, 1.0])]) == [
+        [], [got["a"]["low0"], got["a"]["high0"]]]
