@@ -14,14 +14,22 @@ that matching windows cannot leave:
    the same anchor are one row: (anchor hash, hash of the bytes they cover, place).
 2. Anchors whose hash occurs once have no match and are dropped.
 3. Rows whose covered bytes are equal are copies of each other as a whole; one of them goes
-   on for all. Only buckets with different contexts are compared byte by byte.
-4. The contexts of a bucket are joined to their texts, and a truncated suffix array of the
-   bucket's contexts gives previous and next factors of each window.
-5. A bucket of more than ``max_group`` contexts (a passage that a third of all documents
-   share has that many surroundings) is never gathered: pieces of ``PIECE`` windows are
-   compared by the bytes common to them and by the bytes they cover, and only pieces that
-   straddle the end of the passage are compared window by window. The same windows are
-   found; every step is an aggregate that starts before the shuffle.
+   on for all, with its first place.
+4. ``PIECE`` windows at neighbouring offsets from an anchor are a piece: the ``core`` that all
+   of them cover, and a few bytes left and right of it. Equal windows lie in pieces with equal
+   cores. Pieces are put in the order of (core, left, right, place); a piece next to one with
+   the same core may hold matches, one next to an equal piece is a match as a whole, and of
+   equal pieces the first goes on for all.
+5. The windows of the remaining pieces are put in suffix order: by core, offset and the bytes
+   beside the core, equal ones by place. In that order the nearest smaller position with a
+   common prefix of full length is the row before, the nearest larger one the row after, so a
+   window's previous (next) factor reaches ``length`` when that row has the same bytes.
+
+Both orders are range partitionings, places included, so a passage that a third of all texts
+share is dealt over many tasks like any other, and there is one way for buckets of every size.
+What a row needs from its neighbours it reads in passing; only the two rows at a partition's
+ends look across, through a table of as many rows as there are partitions. A core is held as two
+independent 64-bit hashes of its bytes, the bytes beside it as they are.
 
 Rows of hot buckets meet their result on (bucket, run), see ``attach``.
 """
@@ -33,7 +41,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrisk.llm.common import attach, text_of
@@ -42,14 +51,11 @@ from sparkrisk.workspace import written
 LENGTH = 200
 GRAM = 32
 PIECE = 16
-MAX_GROUP = 256
 CHUNK_BYTES = 1 << 17
-BUCKET_BYTES = 1 << 20
 _PLACE_BITS = 24
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 ANCHOR_TYPE = ("doc_id {kind}, version int, start int, back int, width int, "
                "anchor long, context long")
@@ -63,26 +69,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _totals(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial sums, and what turns a difference of two into a hash by its start."""
-    up, down = _powers(len(data) + 1)
+    up, down = _powers(len(data) + 1, which)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     terms = data.astype(np.uint64)
     terms += np.uint64(1)
+    if which:  # bytes go in mixed, so the two hashes have nothing in common
+        terms = _mixed(terms)
     terms *= up[:len(data)]
     np.cumsum(terms, out=total[1:])
     return total, down
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash base and of its inverse, modulo 2^64."""
+    if len(_POWERS.get((which, 0), ())) < n:
         size = max(n, CHUNK_BYTES + 4 * LENGTH)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+        for sign, base in enumerate((_BASES[which], pow(_BASES[which], -1, 1 << 64))):
             row = np.full(size, base, dtype=np.uint64)
             row[0] = 1
-            _POWERS[name] = np.multiply.accumulate(row)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            _POWERS[which, sign] = np.multiply.accumulate(row)
+    return _POWERS[which, 0][:n], _POWERS[which, 1][:n]
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH,
@@ -159,262 +167,206 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             yield flush(some, batch)
 
 
-def _ranks(data: np.ndarray, longest: int) -> dict[int, np.ndarray]:
-    """Rank of the substring of 8, 16, 32, ... bytes at every position (prefix doubling)."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n])
-    ranks, size = {}, 8
-    key = words.view(">u8").ravel().astype(np.uint64)
-    while True:
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        ranks[size] = rank
-        if 2 * size > longest:
-            return ranks
-        second = np.zeros(n, dtype=np.int64)
-        second[:max(0, n - size)] = rank[size:] + 1
-        key, size = rank * (n + 2) + second, 2 * size
-
-
-def _common(ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray,
-            longest: int) -> np.ndarray:
-    """Length of the common prefix at places a and b, in steps of 8 bytes, up to ``longest``."""
-    n = len(ranks[8])
-    length = np.zeros(len(a), dtype=np.int64)
-    for size in sorted(ranks, reverse=True):
-        for _ in range(longest // size if size == max(ranks) else 1):
-            x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
-            same = (ranks[size][x] == ranks[size][y]) & (length + size <= longest)
-            same &= (a + length < n) & (b + length < n)
-            length += size * same
-    return length
-
-
-def _nearest_smaller(places: np.ndarray) -> np.ndarray:
-    """For each entry the nearest one before it with a smaller value, or -1."""
-    at = np.arange(-1, len(places) - 1)
-    while True:
-        wrong = np.nonzero((at >= 0) & (places[at] > places))[0]
-        if not len(wrong):
-            return at
-        at[wrong] = at[at[wrong]]
-
-
-def factors(data: np.ndarray, valid: np.ndarray,
-            longest: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and next factors at the ``valid`` places, in steps of 8 bytes.
-
-    Only valid places are matched with each other; lengths are cut at ``longest``, which is a
-    multiple of 8.
-    """
-    ranks = _ranks(data, longest)
-    top = max(ranks)
-    # suffix order up to ``longest`` bytes: by the rank at the place, then further on
-    keys, n = [], len(data)
-    for shift in range(0, longest - top + 1, top) if longest >= top else [0]:
-        keys.append(ranks[top][np.minimum(valid + shift, n - 1)])
-    keys.append(ranks[top][np.minimum(valid + max(0, longest - top), n - 1)])
-    order = np.lexsort([valid, *keys[::-1]])
-    places = valid[order]
-    out = []
-    for sign in (1, -1):  # earlier places, then later ones
-        signed = sign * places
-        best = np.zeros(len(places), dtype=np.int64)
-        before = _nearest_smaller(signed)
-        after = len(places) - 1 - _nearest_smaller(signed[::-1])[::-1]
-        for near in (before, after):
-            has = np.nonzero((near >= 0) & (near < len(places)))[0]
-            best[has] = np.maximum(best[has], _common(
-                ranks, places[has], places[near[has]], longest))
-        back = np.empty_like(best)
-        back[order] = best
-        out.append(back)
-    return out[0], out[1]
-
-
 _RANGE = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 RANGE_TYPE = "array<struct<first:int,last:int>>"
 
 
-def _bucket_factors(batches: Iterator[pa.RecordBatch], length: int,
-                    first_stays: bool) -> Iterator[pa.RecordBatch]:
-    """Windows of each context that are found elsewhere in its bucket.
+def _cut_pieces(data: np.ndarray, raw: bytes, start: np.ndarray, back: np.ndarray,
+                width: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(context, low, core hash, second hash, left, right) of the pieces of contexts.
 
-    Rows come sorted by bucket and then by place in the corpus, so places in the joined
-    contexts of a bucket are in corpus order. Whole buckets are solved together until their
-    bytes reach BUCKET_BYTES.
+    ``start`` are the contexts' places in ``data``, ``low`` is the place of a piece's first
+    window in its context; pieces at the ends may lie over them.
     """
-    rows: list[tuple[int, int, int, bytes]] = []
-    size = 0
+    first = (-back) // PIECE
+    count = (width - back) // PIECE - first + 1
+    row = np.repeat(np.arange(len(start)), count)
+    piece = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    low = piece * PIECE + back[row]
+    at = start[row]
+    a, b = at + low + PIECE - 1, at + low + length
+    hashes = []
+    for which in (0, 1):
+        total, down = _totals(data, which)
+        hashes.append(_mixed((total[b] - total[a]) * down[a]).view(np.int64))
+    begin = (at + np.maximum(low, 0)).tolist()
+    stop = (at + np.minimum(low + PIECE - 1, width[row]) + length).tolist()
+    left = [raw[x:y] for x, y in zip(begin, a.tolist(), strict=True)]
+    right = [raw[x:y] for x, y in zip(b.tolist(), stop, strict=True)]
+    return row, low, *hashes, left, right
+
+
+def _piece_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the contexts that are cut from each text."""
+    def flush(parts: list[bytes], some: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = b"".join(parts)
+        text, cid, start, back, width, shift = (np.concatenate(x) for x in zip(*some, strict=True))
+        row, low, core, second, left, right = _cut_pieces(
+            np.frombuffer(raw, dtype=np.uint8), raw, start, back, width, length)
+        taken = pa.array(text[row])
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id").take(taken), batch.column("version").take(taken),
+            pa.array((start + shift)[row] + low), pa.array(cid[row]),
+            pa.array(low.astype(np.int32)), pa.array(width[row].astype(np.int32)),
+            pa.array(core), pa.array(second), pa.array(left, pa.binary()),
+            pa.array(right, pa.binary())],
+            names=["doc_id", "version", "at", "cid", "low", "width", "core", "second", "left",
+                   "right"])
+
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in (
-                "anchor", "context", "back", "body")), strict=True):
-            if rows and row[:2] == rows[-1][:2]:
-                continue  # rows that repeat an id and a text
-            if size > BUCKET_BYTES and row[0] != rows[-1][0]:
-                yield _solve(rows, length, first_stays)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[-1])
-    if rows:
-        yield _solve(rows, length, first_stays)
-
-
-def _solve(rows: list[tuple[int, int, int, bytes]], length: int,
-           first_stays: bool) -> pa.RecordBatch:
-    """Found windows of some whole buckets, by one suffix array over their contexts.
-
-    Equal windows have equal offsets from their anchor, so the windows of a piece (PIECE
-    neighbouring offsets) can only be found in contexts with the same ``core``, the bytes
-    that all of them cover. Only pieces whose core is shared go into the suffix array.
+        cuts = batch.column("cuts")
+        offsets = cuts.offsets.to_numpy()
+        cid, begin, back, width = (
+            pa.compute.struct_field(cuts.values, name).to_numpy(zero_copy_only=False)
+            .astype(np.int64) for name in ("cid", "start", "back", "width"))
+        parts, some, size = [], [], 0
+        for row, text in enumerate(batch.column("text").cast(pa.binary())):
+            raw = text.as_py()
+            own = np.arange(offsets[row], offsets[row + 1])
+            own = own[np.argsort(begin[own], kind="stable")]
+            at = 0
+            while at < len(own):  # contexts that start within a chunk of the text
+                low = int(begin[own[at]])
+                to = int(np.searchsorted(begin[own], low + CHUNK_BYTES))
+                held = own[at:to]
+                part = raw[low:int((begin[held] + width[held]).max()) + length]
+                parts.append(part)
+                some.append((np.full(len(held), row), cid[held], begin[held] - low + size,
+                             back[held], width[held], np.full(len(held), low - size)))
+                size += len(part)
+                at = to
+                if size > CHUNK_BYTES:
+                    yield flush(parts, some, batch)
+                    parts, some, size = [], [], 0
+        if parts:
+            yield flush(parts, some, batch)
+
+
+def _same(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Whether each row but the last has the keys of the row after it."""
+    same = np.ones(max(0, batch.num_rows - 1), dtype=bool)
+    for key in keys:
+        column = batch.column(key)
+        same &= pa.compute.equal(column.slice(0, len(same)), column.slice(1)).to_numpy(
+            zero_copy_only=False)
+    return same
+
+
+def neighbours(rows: DataFrame, keys: dict[str, list[str]], order: list[str],
+               name: str) -> DataFrame:
+    """``rows`` in the order of ``order``, with what they have in common with those beside them.
+
+    For each entry of ``keys`` the columns ``<entry>_before`` and ``<entry>_after`` say whether
+    the row before and the row after have equal values in its columns, none of which is null.
+    The order is a range partitioning; rows that are equal in the first columns of ``order`` are
+    dealt by the others. ``rows`` are read twice: once for the ranges.
     """
-    anchor = np.array([r[0] for r in rows], dtype=np.int64)
-    back = np.array([r[2] for r in rows], dtype=np.int64)
-    sizes = np.array([len(r[3]) for r in rows], dtype=np.int64)
-    data = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
-    begin, last = np.cumsum(sizes) - sizes, sizes - length
-    bucket = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
-    piece = (-back) // PIECE
-    count = (last - back) // PIECE - piece + 1
-    row = np.repeat(np.arange(len(rows)), count)
-    piece = piece[row] + _places(count)
-    low = piece * PIECE + back[row]  # of the whole piece, in the body
-    total, down = _totals(data)
-    a, b = begin[row] + low + PIECE - 1, begin[row] + low + length
-    core = _mixed((total[b] - total[a]) * down[a]
-                  + _mixed((bucket[row] * 8192 + piece + 4096).astype(np.uint64)))
-    _, which, times = np.unique(core, return_inverse=True, return_counts=True)
-    shared = times[which] > 1
-    row, low = row[shared], low[shared]
-    if not len(row):
-        return _found_batch(rows, row, row, row)
-    # windows of shared pieces, and the bytes of each context from the first to the last
-    start, stop = np.maximum(low, 0), np.minimum(low + PIECE - 1, last[row])
-    many = stop - start + 1
-    window = np.repeat(start, many) + _places(many)
-    held, at = np.unique(row, return_index=True)
-    from_, upto = start[at], np.maximum.reduceat(stop, at) + length
-    kept = upto - from_
-    bytes_ = data[np.repeat(begin[held] + from_, kept) + _places(kept)]
-    moved = np.zeros(len(rows), dtype=np.int64)
-    moved[held] = np.cumsum(kept) - kept - from_
-    owner = np.repeat(row, many)
-    previous, following = factors(bytes_, moved[owner] + window, length)
-    flags = previous >= length if first_stays else (previous >= length) | (following >= length)
-    owner, window = owner[flags], window[flags]
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)
-    edge = np.flatnonzero(new)
-    end = np.concatenate([edge[1:], [len(owner)]])[:len(edge)] - 1
-    return _found_batch(rows, owner[edge], window[edge], window[end])
-
-
-def _places(counts: np.ndarray) -> np.ndarray:
-    """0, 1, ... counts[0] - 1, 0, 1, ... counts[1] - 1, ..."""
-    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-def _found_batch(rows: list[tuple], owner: np.ndarray, first: np.ndarray,
-                 last: np.ndarray) -> pa.RecordBatch:
-    """One row per context with found windows: runs of windows as first and last."""
-    held, at = np.unique(owner, return_index=True)
-    runs = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)),
-                                       pa.array(last.astype(np.int32))], ["first", "last"])
-    offsets = pa.array(np.concatenate([at, [len(owner)]]).astype(np.int32))
-    return pa.RecordBatch.from_arrays([
-        pa.array([rows[k][0] for k in held.tolist()], type=pa.int64()),
-        pa.array([rows[k][1] for k in held.tolist()], type=pa.int64()),
-        pa.ListArray.from_arrays(offsets, runs)], names=["anchor", "context", "found"])
-
-
-def _dense_factors(bodies: DataFrame, length: int, first_stays: bool) -> DataFrame:
-    """The same for buckets of many contexts, by aggregates over pieces of windows."""
-    # offsets count from the anchor: windows that match have the same one
-    rows = bodies.dropDuplicates(["anchor", "context"]).withColumn("run", F.spark_partition_id()).withColumn(
-        "piece", F.explode(F.expr(
-            f"sequence(cast(floor(-back / {PIECE}) AS int),"
-            f" cast(floor((width - back) / {PIECE}) AS int))")))
-    low = F.col("piece") * PIECE + F.col("back")  # of the whole piece, in the body
-
-
-    def cut(at: str, size: int, of: str = "body") -> Column:
-        return F.xxhash64(F.expr(f"substring({of}, {at} + 1, {size})"))
-
-    rows = rows.withColumn("low", low).withColumns({
-        "core": cut(f"(low + {PIECE - 1})", length - PIECE + 1),
-        "whole": F.when((F.col("low") >= 0) & (F.col("low") + PIECE - 1 <= F.col("width")),
-                        cut("low", length + PIECE - 1))})
-    pieces = written(rows.select("anchor", "context", "rep", "run", "piece", "low", "width",
-                                 "core", "whole", F.expr(
-        f"substring(body, greatest(low, 0) + 1, {length + PIECE - 1})").alias("bytes")), "pieces")
-
-    def judged(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows with ``hit``: an equal row elsewhere (an earlier one, if the first stays)."""
-        met = rows.groupBy(*keys).agg(F.min("rep").alias("least"), F.count("*").alias("n"))
-        out = attach(rows, met, keys)
-        hit = F.col("least") < F.col("rep") if first_stays else F.col("n") > 1
-        return out.withColumn("hit", hit).withColumnRenamed("n", "alike").drop("least")
-
-    full = judged(pieces.where(F.col("whole").isNotNull()).drop("bytes", "core"),
-                  ["anchor", "piece", "whole"]).where("hit").select(
-        "anchor", "context", F.col("low").alias("first"),
-        (F.col("low") + PIECE - 1).alias("last"))
-    shared = judged(pieces, ["anchor", "piece", "core"]).where("alike > 1").drop("hit", "alike")
-    open_ = judged(shared.where(F.col("whole").isNotNull()), ["anchor", "piece", "whole"]).where(
-        "alike = 1").drop("hit", "alike").unionByName(shared.where(F.col("whole").isNull()))
-    # a piece found whole elsewhere still has partners among the open ones: one per content
-    held = shared.where(F.col("whole").isNotNull()).groupBy("anchor", "piece", "whole").agg(
-        F.min(F.struct("rep", "context", "run", "low", "width", "core", "bytes")).alias("one"),
-        F.count("*").alias("n")).where("n > 1").select(
-        "anchor", "piece", "whole", "one.*")
-    windows = (open_.unionByName(held.select(open_.columns)).withColumn(
-        "at", F.explode(F.expr(f"sequence(greatest(low, 0), least(low + {PIECE - 1}, width))")))
-        .withColumn("own", cut("(at - greatest(low, 0))", length, "bytes"))
-        .select("anchor", "context", "rep", "run", (F.col("at") - F.col("low")
-                + F.col("piece") * PIECE).alias("offset"), "at", "own"))
-    single = judged(windows, ["anchor", "offset", "own"]).where("hit").select(
-        "anchor", "context", F.col("at").alias("first"), F.col("at").alias("last"))
-    return full.unionByName(single).groupBy("anchor", "context").agg(
-        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("found"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = list(rows.columns)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: pa.RecordBatch | None = None
+        known = {key: False for key in keys}
+        opening = True
+
+        def told(batch: pa.RecordBatch, n: int, closing: bool) -> pa.RecordBatch:
+            """The first ``n`` rows; the row after the last of them is there or there is none."""
+            nonlocal known, opening
+            arrays = [batch.column(c).slice(0, n) for c in names]
+            for key, columns in keys.items():
+                same = _same(batch, columns)
+                before = np.concatenate([[known[key]], same])[:n]
+                after = np.concatenate([same, [False]])[:n]
+                known = known | {key: bool(same[n - 1]) if n <= len(same) else False}
+                arrays += [pa.array(before), pa.array(after)]
+            first = np.zeros(n, dtype=bool)
+            first[:1] = opening
+            last = np.zeros(n, dtype=bool)
+            last[n - 1:] = closing
+            opening = False
+            flags = [f"{key}_{side}" for key in keys for side in ("before", "after")]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(first), pa.array(last)],
+                                              names=[*names, *flags, "opens", "closes"])
 
-
-def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` contexts with their bytes, cut from the texts."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if tail is not None:
+                batch = pa.concat_batches([tail, batch])
+            if batch.num_rows > 1:
+                yield told(batch, batch.num_rows - 1, False)
+            tail = batch.slice(batch.num_rows - 1)
+        if tail is not None:
+            yield told(tail, 1, True)
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names),
+                        *(f"{key}_{side} boolean" for key in keys for side in ("before", "after")),
+                        "opens boolean", "closes boolean"])
+    told = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
+        compare, schema).withColumn("part", F.spark_partition_id()), name)
+    # two rows of every partition: its first and its last
+    ends = sorted(told.where("opens OR closes").collect(), key=lambda r: (r["part"], r["closes"]))
+    firsts = [r for r in ends if r["opens"]]
+    lasts = [r for r in ends if r["closes"]]
+    across = []
+    for k, row in enumerate(firsts):
+        flags = []
+        for columns in keys.values():
+            flags += [k > 0 and all(row[c] == lasts[k - 1][c] for c in columns),
+                      k + 1 < len(firsts) and all(lasts[k][c] == firsts[k + 1][c] for c in columns)]
+        across.append((row["part"], *flags))
+    edges = rows.sparkSession.createDataFrame(across, ", ".join(
+        ["part int", *(f"{key}_{side}_there boolean" for key in keys for side in ("before", "after"))]))
+    met = told.join(F.broadcast(edges), "part")
+    return met.select(*names, *[
+        (F.col(f"{key}_{side}") | (F.col(end) & F.col(f"{key}_{side}_there"))).alias(f"{key}_{side}")
+        for key in keys for side, end in (("before", "opens"), ("after", "closes"))])
+
+
+def _pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Pieces of the ``wanted`` contexts (cid and place), cut from the texts."""
     per_text = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct(
-        "anchor", "context", "start", "back", "width", "alike")).alias("cuts"))
+        "cid", "start", "back", "width")).alias("cuts"))
     met = docs.join(per_text.withColumnsRenamed({"doc_id": "_id", "version": "_version"}),
                     F.col("doc_id").eqNullSafe(F.col("_id"))
                     & (F.col("version") == F.col("_version")))
     kind = dict(docs.dtypes)["doc_id"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                row, rows, bodies = [], [], []
-                for k, (text, cuts) in enumerate(zip(
-                        part.column("text").cast(pa.binary()), part.column("cuts"), strict=True)):
-                    raw = text.as_py()
-                    for c in cuts.as_py():
-                        row.append(k)
-                        rows.append(c)
-                        bodies.append(raw[c["start"]:c["start"] + c["width"] + length])
-                columns = {name: pa.array([c[name] for c in rows], type=t) for name, t in (
-                    ("anchor", pa.int64()), ("context", pa.int64()), ("start", pa.int32()),
-                    ("back", pa.int32()), ("width", pa.int32()), ("alike", pa.int64()))}
-                taken = pa.array(row, type=pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(taken), part.column("version").take(taken),
-                     *columns.values(), pa.array(bodies, type=pa.binary())],
-                    names=["doc_id", "version", *columns, "body"])
-
     return met.select("doc_id", "version", "text", "cuts").mapInArrow(
-        cut, f"doc_id {kind}, version int, anchor long, context long, start int, back int,"
-             " width int, alike long, body binary")
+        lambda b: _piece_rows(b, length),
+        f"doc_id {kind}, version int, at long, cid long, low int, width int, core long,"
+        " second long, left binary, right binary")
+
+
+def _factors(pieces: DataFrame, length: int, first_stays: bool) -> DataFrame:
+    """(cid, found): ranges of the windows of each context that have a full factor."""
+    late = F.col("doc_id").isNull().alias("late")
+    place = ["late", "doc_id", "version", "at", "cid"]
+    core, beside = ["core", "second"], ["left", "right"]
+    near = neighbours(pieces.select("*", late), {"core": core, "whole": core + beside},
+                      [*core, *beside, *place], "pieces-in-order")
+    near = near.where("core_before OR core_after")
+    hit = F.col("whole_before") if first_stays else F.col("whole_before") | F.col("whole_after")
+    whole = near.where(hit).select(
+        "cid", F.greatest("low", F.lit(0)).alias("first"),
+        F.least(F.col("low") + PIECE - 1, "width").alias("last"))
+    # of equal pieces the first stands for all
+    windows = near.where(~F.col("whole_before")).select(
+        *core, *place, "low", F.expr(
+            f"""explode(transform(
+                sequence(greatest(0, -low), least({PIECE - 1}, width - low)), k -> struct(
+                    k, concat(substring(left, low + k - greatest(low, 0) + 1, {PIECE - 1}),
+                              substring(right, 1, k)) AS beside)))""").alias("w")).select(
+        *core, *place, (F.col("low") + F.col("w.k")).alias("first"), "w.k", "w.beside")
+    found = neighbours(windows, {"window": [*core, "k", "beside"]},
+                       [*core, "k", "beside", *place], "windows-in-order")
+    hit = F.col("window_before") if first_stays else F.col("window_before") | F.col("window_after")
+    single = found.where(hit).select("cid", "first", F.col("first").alias("last"))
+    return whole.unionByName(single).groupBy("cid").agg(
+        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("found"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP,
-            first_stays: bool = True) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, first_stays: bool = True) -> DataFrame:
     """Byte ranges (doc_id, version, low, high) of repeats; ranges may overlap.
 
     ``docs`` has doc_id, version (a hash of the text, to tell rows with the same id apart)
@@ -432,20 +384,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP,
     classes = written(rows.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(place).alias("rep")), "contexts")
     groups = written(classes.groupBy("anchor").agg(F.count("*").alias("alike"))
-                     .where("alike > 1"), "buckets")
-    wanted = classes.join(groups.hint("merge"), "anchor").select(
-        "anchor", "context", "alike", "rep.doc_id", "rep.version", "rep.start", "rep.back",
-        "rep.width")
-    bodies = written(_bodies(docs, wanted, length).withColumn("rep", F.struct(
-        F.col("doc_id").isNull().alias("late"), "doc_id", "version", "start")), "bodies")
-    sparse = (bodies.where(F.col("alike") <= max_group)
-              .select("anchor", "context", "back", "rep", "body")
-              .repartition("anchor").sortWithinPartitions("anchor", "rep", "context")
-              .select("anchor", "context", "back", "body")
-              .mapInArrow(lambda b: _bucket_factors(b, length, first_stays),
-                          f"anchor long, context long, found {RANGE_TYPE}"))
-    dense = _dense_factors(bodies.where(F.col("alike") > max_group), length, first_stays)
-    compared = written(sparse.unionByName(dense).where(F.size("found") > 0), "factors")
+                     .where("alike > 1").select("anchor"), "buckets")
+    wanted = written(classes.join(groups.hint("merge"), "anchor").select(
+        "anchor", "context", "rep.doc_id", "rep.version", "rep.start", "rep.back",
+        "rep.width").withColumn("cid", F.monotonically_increasing_id()), "wanted")
+    pieces = written(_pieces(docs, wanted, length), "pieces")
+    compared = written(_factors(pieces, length, first_stays).join(
+        wanted.select("cid", "anchor", "context"), "cid").drop("cid"), "factors")
     verdict = classes.join(compared, ["anchor", "context"], "left").where(
         (F.col("n") > 1) | F.col("found").isNotNull())
     met = attach(rows, verdict.select("anchor", "context", "n", "rep", "found"),
@@ -465,7 +410,7 @@ RESULT = ("doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha25
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 length: int = LENGTH, max_group: int = MAX_GROUP, first_stays: bool = True,
+                 length: int = LENGTH, first_stays: bool = True,
                  with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -481,7 +426,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn(
         "version", F.hash("text"))
     kind = dict(own.dtypes)["doc_id"]
-    spans = repeats(own, length, max_group, first_stays).groupBy("doc_id", "version").agg(
+    spans = repeats(own, length, first_stays).groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("low", "high")).alias("ranges")).withColumnsRenamed(
         {"doc_id": "_id", "version": "_version"})
     met = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id"))

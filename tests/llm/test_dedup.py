@@ -114,6 +114,24 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
 
 
+@pytest.mark.parametrize("most", [10_000, 60])
+def test_components_of_any_graph(spark, most):
+    """One lot and many lots of edges, against a plain search."""
+    rng = random.Random(most)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)]
+    edges += [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + k, 2001 + k) for k in range(90)]
+    root = {}
+    for a, b in edges:
+        ra, rb = root.get(a, a), root.get(b, b)
+        low, high = min(ra, rb), max(ra, rb)
+        root.update({a: low, b: low})
+        root = {k: low if v == high else v for k, v in root.items()}
+    loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    got = {r["node"]: r["root"] for r in components(
+        spark.createDataFrame(edges, "a long, b long"), most).collect()}
+    assert got == {k: v for k, v in root.items() if k not in loops}
+
+
 def _repeats(texts, length, first_stays):
     """Bytes covered by a window that is found elsewhere (earlier)."""
     raw = [(t or "").encode() for t in texts]
@@ -147,12 +165,10 @@ def _passages():
     return texts + texts[-3:]
 
 
-@pytest.mark.parametrize("first_stays, max_group", [(False, 256), (False, 1), (True, 256),
-                                                    (True, 2)])
-def test_suffix_dedup_against_brute_force(spark, first_stays, max_group):
+@pytest.mark.parametrize("first_stays", [False, True])
+def test_suffix_dedup_against_brute_force(spark, first_stays):
     texts = _passages()
-    got = suffix_dedup.suffix_dedup(documents(spark, texts, 0), max_group=max_group,
-                                    first_stays=first_stays).collect()
+    got = suffix_dedup.suffix_dedup(documents(spark, texts, 0), first_stays=first_stays).collect()
     want = _repeats(texts, 200, first_stays)
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == dict(enumerate(want))
 
@@ -175,17 +191,25 @@ def test_texts_in_parts(monkeypatch):
     assert len(seen) == sum(max(0, len(d) - 199) for d in data)
 
 
-def test_factors():
+@pytest.mark.parametrize("first_stays", [False, True])
+def test_hot_passage(spark, first_stays):
+    """One passage in most texts, at the ends of which a few bytes agree by chance."""
+    rng = random.Random(3)
+    passage = words(60, 5)
+    texts = [f"{words(rng.randrange(30), k)} {passage}{' ' * (k % 3)}{words(rng.randrange(1, 30), 900 + k)}"
+             for k in range(400)] + [passage] * 5 + [passage[:199], passage[:200], passage[7:]]
+    got = suffix_dedup.suffix_dedup(documents(spark, texts, 0).repartition(6),
+                                    first_stays=first_stays).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == dict(enumerate(_repeats(texts, 200, first_stays)))
+
+
+def test_neighbours_look_across_partitions(spark):
+    """Runs of equal keys that cross many partitions, one of them holding most rows."""
     rng = random.Random(2)
-    data = bytes(rng.choice(b"ab") for _ in range(300)) * 2 + b"abab" * 40
-    valid = np.arange(0, len(data) - 64 + 1)
-    previous, following = suffix_dedup.factors(np.frombuffer(data, dtype=np.uint8), valid, 64)
-
-    def common(i, j):
-        k = 0
-        while k < 64 and data[i + k:i + k + 8] == data[j + k:j + k + 8]:
-            k += 8
-        return k
-    for i in valid.tolist()[::7]:
-        assert previous[i] == max([common(i, j) for j in range(i)], default=0)
-        assert following[i] == max([common(i, j) for j in range(i + 1, len(valid))], default=0)
+    keys = sorted([rng.randrange(40) for _ in range(300)] + [7] * 700)
+    frame = spark.createDataFrame(list(enumerate(keys)), "at long, key long").repartition(9)
+    got = sorted(suffix_dedup.neighbours(frame, {"key": ["key"]}, ["key", "at"], "n").collect())
+    n = len(keys)
+    assert [tuple(r) for r in got] == [
+        (k, keys[k], k > 0 and keys[k - 1] == keys[k], k + 1 < n and keys[k + 1] == keys[k])
+        for k in range(n)]
