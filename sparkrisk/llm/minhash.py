@@ -13,14 +13,21 @@ keys of three positions a text.
 Only components are wanted, so no key enumerates its pairs. Per key:
 
 1. Its pivot, the member that shares most keys with others, is compared with all members, and
-   what is linked is united. Near copies of one text nearly always end here.
-2. A key whose members are in one component by then has nothing to add. In any other key the
-   members outside its largest component are compared with all others, as long as they are at
-   most ``outside``; that is linear in the size of the key.
-3. The members of the other keys, crowded by texts that are alike but not linked, are indexed
-   again with fewer and longer segments: 6 of 8 with three errors, 4 of 12 with five. The same
-   distance is guaranteed, with keys of 5 and 7 positions that texts of middling similarity
-   hardly share. Only what is still crowded after the last of them is compared within its keys.
+   what is linked is united.
+2. A key whose members are in one component by then has nothing to add. In any other key only
+   the members outside its largest component, the strays, can have further links.
+3. What is known of a stray bounds the size of its difference to any other member. Let l be how
+   much of the pivot's set a member lacks, and u how many of its shingles only its component
+   has, of all texts in open keys: members of two components differ in at least
+   u + u' + |l - l'| shingles. A stray that differs
+   too much from every other member is done, and so is a member that differs too much from
+   every stray; most near copies that were changed too much to be linked end here.
+4. The remaining strays and members are compared where the bound allows it, as long as there
+   are at most ``outside`` of the ones or the others; that is linear in the size of the key. The members of the
+   other keys are indexed again with fewer and longer segments, 6 of 8 with three errors. The
+   same distance is guaranteed, with keys of 5 positions that texts of middling similarity
+   hardly share. Only what is still crowded after that is compared within its keys, where the
+   bound allows it.
 
 A pair is compared by set sizes, then by signature distance, then by the full shingle sets of
 both texts. Texts with the same word sequence are one from the start.
@@ -46,8 +53,8 @@ SHINGLE = 4
 SIMILARITY = 80
 POSITIONS = 48
 MAX_ERRORS = 23
-SEGMENTS = (12, 6, 4)
-OUTSIDE = 8
+SEGMENTS = (12, 6)
+OUTSIDE = 16
 BATCH_WORDS = 1 << 16
 KEY_ROWS = 1 << 17
 _MASK = np.uint64(0xFFFF)
@@ -184,38 +191,70 @@ def _beside(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs
 
 
-def _linked(pairs: DataFrame, prints: DataFrame, shingle: int, similarity: int,
-            max_errors: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full shingle sets reach the similarity; written."""
-    pairs = written(pairs.distinct().withColumn("run", F.spark_partition_id()), "candidates")
-    near = _beside(pairs, prints.select("node", F.col("n_shingles").alias("n"), "sig")).where(
-        (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * similarity)
-        & (F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: F.when(x == y, 0).otherwise(1)),
-                       F.lit(0), lambda n, x: n + x) <= max_errors))
-    met = _beside(written(near.select("a", "b", "run"), "near"), prints.select("node", "body"))
+def _shingles(body: bytes, shingle: int) -> set:
+    words = body.split()
+    if len(words) < shingle:
+        return {tuple(words)}
+    return set(zip(*(words[k:] for k in range(shingle)), strict=False))
 
-    def shingles(body: bytes) -> set:
-        words = body.split()
-        if len(words) < shingle:
-            return {tuple(words)}
-        return set(zip(*(words[k:] for k in range(shingle)), strict=False))
+
+def _compared(pairs: DataFrame, prints: DataFrame, shingle: int, similarity: int,
+              max_errors: int | None = None) -> DataFrame:
+    """The ``pairs`` (a, b) with how many shingles they share, and whether that links them.
+
+    With ``max_errors`` pairs whose sizes or signatures differ too much are left out.
+    """
+    pairs = pairs.distinct().withColumn("run", F.spark_partition_id())
+    if max_errors is not None:
+        near = _beside(written(pairs, "candidates"), prints.select(
+            "node", F.col("n_shingles").alias("n"), "sig"))
+        differ = F.zip_with("a_sig", "b_sig", lambda x, y: F.when(x == y, 0).otherwise(1))
+        pairs = near.where(
+            (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * similarity)
+            & (F.aggregate(differ, F.lit(0), lambda n, x: n + x) <= max_errors)).select(
+            "a", "b", "run")
+    met = _beside(written(pairs, "pairs"), prints.select("node", "body"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
         for batch in batches:
-            flags = []
+            both, flags = [], []
             for a, a_body, b_body in zip(*(batch.column(c) for c in ("a", "a_body", "b_body")),
                                          strict=True):
                 if a.as_py() != last:  # pairs of one pivot come together
-                    last, held = a.as_py(), shingles(a_body.as_py())
-                other = shingles(b_body.as_py())
-                both = len(held & other)
-                flags.append(100 * both >= similarity * (len(held) + len(other) - both))
-            kept = batch.select(["a", "b"]).filter(pa.array(flags, pa.bool_()))
-            yield kept
+                    last, held = a.as_py(), _shingles(a_body.as_py(), shingle)
+                other = _shingles(b_body.as_py(), shingle)
+                both.append(len(held & other))
+                flags.append(100 * both[-1] >= similarity * (len(held) + len(other) - both[-1]))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("a"), batch.column("b"), pa.array(both, pa.int64()),
+                pa.array(flags, pa.bool_())], names=["a", "b", "both", "linked"])
+
+    return written(met.select("a", "b", "a_body", "b_body").mapInArrow(
+        verify, "a long, b long, both long, linked boolean"), "compared")
+
+
+def _private(nodes: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """(node, private): how many shingles of a node only its component has, or fewer.
+
+    ``nodes`` are (node, root). Shingles are held as hashes; two that agree by chance only make
+    the count smaller.
+    """
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, body in zip(*(batch.column(c) for c in ("node", "root", "body")),
+                                        strict=True):
+                own = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(s)) for s in _shingles(
+                    body.as_py(), shingle)], dtype=np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(own), pa.array(np.full(len(own), node.as_py())),
+                    pa.array(np.full(len(own), root.as_py()))], names=["h", "node", "root"])
 
-    return written(met.select("a", "b", "a_body", "b_body").mapInArrow(verify, "a long, b long"),
-                   "links")
+    rows = written(prints.select("node", "body").join(nodes, "node").mapInArrow(
+        hashed, "h long, node long, root long"), "crowd-shingles")
+    own = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "low = high").select("h")
+    return rows.join(own, "h").groupBy("node").agg(F.count("*").alias("private"))
 
 
 def links(prints: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY,
@@ -227,22 +266,22 @@ def links(prints: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARIT
     """
     found: list[DataFrame] = []
 
-    def with_roots(rows: DataFrame) -> DataFrame:
-        """``rows`` with ``root``, the component their node is in so far."""
+    def all_links() -> DataFrame:
         edges = found[0]
         for more in found[1:]:
             edges = edges.unionByName(more)
-        named = components(edges)
-        return rows.drop("root").join(named, "node", "left").withColumn(
+        return edges.where("linked").select("a", "b")
+
+    def with_roots(rows: DataFrame) -> DataFrame:
+        """``rows`` with ``root``, the component their node is in so far."""
+        return rows.drop("root").join(components(all_links()), "node", "left").withColumn(
             "root", F.coalesce("root", "node"))
 
     def open_keys(rows: DataFrame) -> DataFrame:
         per_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
         return per_root.groupBy("key").agg(
-            F.sum("n").alias("size"), F.count("*").alias("roots"),
-            F.max(F.struct("n", "root")).alias("main")).where("roots > 1").select(
-            "key", "size", (F.col("size") - F.col("main.n")).alias("strays"),
-            F.col("main.root").alias("main"))
+            F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main")).where(
+            "roots > 1").select("key", F.col("main.root").alias("main"))
 
     crowd = prints.withColumn("root", F.col("node"))
     for level, count in enumerate(segments):
@@ -257,40 +296,75 @@ def links(prints: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARIT
         pivots = shared.join(weights, "node").groupBy("key").agg(
             F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")).select(
             "key", (-F.col("top.minus")).alias("a"))
-        pivots = written(pivots, "pivots")
-        stars = attach(shared, pivots, ["key"]).where("a <> node").select(
-            "a", F.col("node").alias("b"))
-        found.append(_linked(stars, prints, shingle, similarity, max_errors))
-        rooted = written(with_roots(shared.where("size > 2")), "rooted-keys")
-        left = written(open_keys(rooted).join(pivots, "key"), "open-keys")
+        starred = written(attach(shared, written(pivots, "pivots"), ["key"]), "starred-keys")
+        stars = _compared(starred.where("a <> node").select("a", F.col("node").alias("b")),
+                          prints, shingle, similarity)
+        found.append(stars)
+        rooted = written(with_roots(starred.where("size > 2")), "rooted-keys")
+        left = written(open_keys(rooted), "open-keys")
+        if left.isEmpty():
+            break
+        members = attach(rooted, left, ["key"]).where("main IS NOT NULL")
+        # how far each member is from its key's pivot, and from all others at least
+        members = members.join(prints.select("node", F.col("n_shingles").alias("n")), "node").join(
+            _private(members.select("node", "root").distinct(), prints, shingle), "node", "left")
+        members = attach(members.join(
+            stars.select("a", F.col("b").alias("node"), "both"), ["a", "node"], "left"),
+            prints.select(F.col("node").alias("a"), F.col("n_shingles").alias("a_n")), ["a"])
+        members = written(members.select(
+            "key", "node", "root", "main", "a", "run", "n",
+            F.coalesce("private", F.lit(0)).alias("u"),
+            (F.col("a_n") - F.when(F.col("node") == F.col("a"), F.col("a_n")).otherwise(
+                F.col("both"))).alias("l")), "members")
+        # a linked pair differs in at most (1 - s) / (1 + s) of both sizes: a member must lack
+        # at least ``need`` more of the pivot than it has shingles of its own
+        bound = members.groupBy("key").agg(F.max(F.col("l") - F.col("u")).alias("reach"),
+                                           F.max("n").alias("widest"))
+        sizes = F.col("n") + F.least(F.col("widest"), F.col("n") * 100 / similarity)
+        need = F.col("u") + F.col("l") - sizes * (100 - similarity) / (100 + similarity)
+        strays = attach(members, bound, ["key"]).where(
+            (F.col("root") != F.col("main")) & (F.col("node") != F.col("a"))).withColumn(
+            "need", need).where("coalesce(need <= reach, true)")
+        strays = written(strays.select("key", "need", "run", F.struct(
+            F.col("node").alias("x"), "root", "n", "u", "l").alias("stray")), "strays")
+        counts = strays.groupBy("key").agg(F.count("*").alias("strays"), F.min(F.coalesce(
+            "need", F.lit(float("-inf")))).alias("least"))
+        # the members that may be linked to a stray
+        own = written(attach(members.where("node <> a"), counts, ["key"]).where(
+            "strays IS NOT NULL AND coalesce(l - u >= least, true)"), "partners")
+        counts = written(counts.join(own.groupBy("key").agg(F.count("*").alias("partners")),
+                                     "key"), "counts")
         last = level + 1 == len(segments)
-        few = left if last else left.where(F.col("strays") <= outside)
-        # members outside a key's largest component against all others but the pivot
-        members = attach(rooted.drop("size"), few, ["key"]).where(
-            F.col("strays").isNotNull() & (F.col("node") != F.col("a")))
-        stray = F.struct(F.col("node").alias("x"), F.col("root").alias("x_root"))
-        strays = members.where("root <> main").select("key", stray.alias("stray"))
-        own = members.select("key", "node", "root", "run")
-        if last:
-            met = own.join(strays, "key")
-        else:  # at most ``outside`` a key: they travel as one row
-            met = attach(own, strays.groupBy("key").agg(F.collect_list("stray").alias("strays")),
-                         ["key"]).withColumn("stray", F.explode("strays"))
-        pairs = met.where("stray.x_root <> root").select(
-            F.least("stray.x", "node").alias("a"), F.greatest("stray.x", "node").alias("b"))
-        found.append(_linked(pairs, prints, shingle, similarity, max_errors))
+
+        def listed(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+            """At most ``outside`` rows a key, as one row."""
+            return rows.join(keys.select("key"), "key").groupBy("key").agg(
+                F.collect_list(column).alias("others"))
+
+        few = counts.where(F.col("strays") <= outside)
+        other = counts.where(F.col("strays") > outside)
+        own = own.withColumn("member", F.struct(F.col("node").alias("x"), "root", "n", "u", "l"))
+        met = attach(own, listed(strays, "stray", few), ["key"]).select(
+            "member", F.explode("others").alias("stray"))
+        met = met.unionByName(attach(strays, listed(own, "member", other.where(
+            F.col("partners") <= outside)), ["key"]).select(
+            F.explode("others").alias("member"), "stray"))
+        many = other.where(F.col("partners") > outside)
         if last:
+            met = met.unionByName(own.join(many.select("key"), "key").join(strays, "key").select(
+                "member", "stray"))
+        m, s = F.col("member"), F.col("stray")
+        apart = m["u"] + s["u"] + F.abs(m["l"] - s["l"])
+        pairs = met.where((m["root"] != s["root"]) & F.coalesce(
+            apart * (100 + similarity) <= (m["n"] + s["n"]) * (100 - similarity), F.lit(True)))
+        found.append(_compared(pairs.select(
+            F.least(m["x"], s["x"]).alias("a"), F.greatest(m["x"], s["x"]).alias("b")),
+            prints, shingle, similarity, max_errors))
+        if last or many.isEmpty():
             break
-        many = left.where(F.col("strays") > outside)
-        if many.isEmpty():
-            break
-        crowd = attach(rooted, many.select("key", "strays"), ["key"]).where(
-            "strays IS NOT NULL").select("node").distinct()
+        crowd = attach(members, many, ["key"]).where("strays IS NOT NULL").select("node").distinct()
         crowd = written(with_roots(crowd).join(prints.select("node", "sig"), "node"), "crowd")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return all_links()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
