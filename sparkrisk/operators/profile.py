@@ -9,8 +9,10 @@ than one task should order is narrowed first, by sketches of the values inside i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -380,23 +382,45 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
 # ---------------------------------------------------------------- correlation
 
 def corr_matrix(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, upper triangle, one aggregate.
+    """Pearson correlation of every pair of columns, upper triangle.
 
-    One row per pair is built and aggregated in place: a single aggregate over dozens of
-    pairs side by side generates code too long for the JVM to compile.
+    Each task sums the products of its rows block by block, as matrix products over all
+    columns at once, and gives one row per pair; only these are shuffled, however many rows
+    there are. Values are taken relative to their means, so that large numbers cancel nothing.
+    Rows without one of the two values do not count for a pair.
     """
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     rows = df.select(*[_number(c).alias(f"_{i}") for i, c in enumerate(cols)])
-    at = {c: F.col(f"_{i}") for i, c in enumerate(cols)}
-    both = rows.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("pair"), at[a].alias("x"), at[b].alias("y"))
-        for i, (a, b) in enumerate(pairs)])))
-    grouped = both.groupBy("pair").agg(round_stable(F.corr("x", "y")).alias("r"))
-    names = [[p[side] for p in pairs] for side in (0, 1)]
-    return grouped.select(
-        *[F.element_at(F.lit(n), F.col("pair") + 1).alias(f"feature_{s}")
-          for n, s in zip(names, "ab")], "r")
+    mean = rows.agg(*[F.avg(c).alias(c) for c in rows.columns]).first()
+    centre = np.array([mean[c] or 0.0 for c in rows.columns])
+    a, b = (np.array([p[side] for p in pairs], dtype=np.int64) for side in (0, 1))
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(pairs)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns],
+                         axis=1) - centre
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            held = there.astype(float)
+            once, twice = x.T @ held, (x * x).T @ held
+            total += np.stack([(held.T @ held)[a, b], once[a, b], once[b, a], twice[a, b],
+                               twice[b, a], (x.T @ x)[a, b]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(pairs), dtype=np.int32)), *map(pa.array, total)],
+            names=["pair", *names])
+
+    parts = rows.mapInArrow(sums, "pair int, " + ", ".join(f"{c} double" for c in names))
+    one = parts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in names])
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in names)
+    spread = F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
+    r = F.when(n > 0, F.try_divide(sxy - sx * sy / n, spread))
+    listed = [[cols[p[side]] for p in pairs] for side in (0, 1)]
+    return one.select(
+        *[F.element_at(F.lit(n_), F.col("pair") + 1).alias(f"feature_{s}")
+          for n_, s in zip(listed, "ab")], round_stable(r).alias("r"))
 
 
 def corr_with(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:

@@ -8,6 +8,8 @@ history is a window over orders, quantiles are ``quantile_cont``, ranks are
 
 from __future__ import annotations
 
+import math
+
 from sparkrisk.spec import (
     CLEAN_SCHEMA, EXPIRED_OR_HOSPICE_CODES, FEATURE_CATEGORICAL, FEATURE_NUMERIC,
     KEPT_MEDICATIONS, PROFILE_NUMERIC, RARE_MEDICATIONS, RULE_WEIGHTS,
@@ -379,6 +381,42 @@ SELECT m.g AS {by}, round((tp + tn) / CAST(al AS DOUBLE), 6) AS accuracy,
 FROM m JOIN a ON m.g = a.g"""
 
 
+#: a small tree, leaf by leaf: value, then (column, condition, share) along its path
+_TREE = [
+    (0.1, [("number_inpatient", "<= 1", 0.8), ("time_in_hospital", "<= 5", 0.4)]),
+    (0.2, [("number_inpatient", "<= 1", 0.8), ("time_in_hospital", "> 5", 0.6)]),
+    (0.3, [("number_inpatient", "> 1", 0.2), ("num_medications", "<= 40", 0.5)]),
+    (0.6, [("number_inpatient", "> 1", 0.2), ("num_medications", "> 40", 0.5)]),
+    (0.05, [("time_in_hospital", "> 9", 0.3)]),
+]
+
+
+def _tree_value(col: str) -> str:
+    """Shapley value of a column: both orders of two features, each half the time."""
+    terms = []
+    for value, path in _TREE:
+        for c, test, share in path:
+            if c == col:
+                others = [(d, u, s) for d, u, s in path if d != c]
+                rest = f"(({others[0][0]} {others[0][1]})::INT + {others[0][2]}) / 2" if others else "1"
+                terms.append(f"{value} * (({c} {test})::INT - {share}) * {rest}")
+    return "CAST(" + " + ".join(terms) + " AS DOUBLE)"
+
+
+def _tree_margin() -> str:
+    return "CAST(" + " + ".join(
+        f"{v} * " + " * ".join(f"({c} {test})::INT" for c, test, _ in path) for v, path in _TREE) + " AS DOUBLE)"
+
+
+def _tree_base() -> float:
+    return round(sum(v * math.prod(s for *_, s in path) for v, path in _TREE), 6)
+
+
+_TREE_COLUMNS = ["number_inpatient", "time_in_hospital", "num_medications"]
+_TREE_LONG = "\n  UNION ALL ".join(
+    f"SELECT encounter_id, '{c}' AS feature, {_tree_value(c)} AS shap FROM enc" for c in _TREE_COLUMNS)
+
+
 _TWO_SCORES = """
   SELECT 'rule' AS g, encounter_id AS id, readmitted_30d AS y, risk_score AS s, risk_score >= 12 AS flagged FROM ruled
   UNION ALL
@@ -636,6 +674,17 @@ SELECT tp, fp, tn, fn, round((tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE), 6) A
   round(coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0), 6) AS recall,
   round(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0), 6) AS f1 FROM m""",
     "roc_auc": _auc(_S, "ruled", "risk_score", "readmitted_30d"),
+    "fixed_tree_attribution": f"""{_E} SELECT encounter_id, CAST({_tree_base()} AS DOUBLE) AS base,
+  round({_tree_margin()}, 6) AS margin, {", ".join(f"round({_tree_value(c)}, 6) AS {c}" for c in _TREE_COLUMNS)} FROM enc""",
+    "fixed_tree_importance": f"""{_E}, l AS ({_TREE_LONG}),
+g AS (SELECT feature, round(avg(abs(shap)), 6) AS mean_abs_shap FROM l
+      WHERE feature <> 'num_medications' GROUP BY feature)
+SELECT CAST(row_number() OVER (ORDER BY mean_abs_shap DESC, feature) AS INT) AS place, * FROM g""",
+    "fixed_tree_local": f"""{_E}, l AS ({_TREE_LONG}),
+g AS (SELECT encounter_id, feature, round(shap, 6) AS shap FROM l
+      WHERE encounter_id = (SELECT min(encounter_id) FROM enc)),
+p AS (SELECT CAST(row_number() OVER (ORDER BY abs(shap) DESC, feature) AS INT) AS place, * FROM g)
+SELECT * FROM p WHERE place <= 2""",
     "scores_compared": _compared(_S, _TWO_SCORES, "score"),
     "scores_lift": f"""SELECT score, top_decile_readmit_rate_pct, pct_of_readmissions_captured,
   lift_vs_random FROM ({_compared(_S, _TWO_SCORES, "score")})""",

@@ -717,6 +717,55 @@ def rule_attribution(spark, folder):
         encounters(spark, folder), S.RULE_WEIGHTS, ID))
 
 
+#: a small tree, as leaves (value, places in TREE_FEATURES, low, high, share)
+TREE_FEATURES = ["number_inpatient", "time_in_hospital", "num_medications"]
+INF = float("inf")
+TREE_LEAVES = [
+    (0.1, [0, 1], [-INF, -INF], [1.0, 5.0], [0.8, 0.4]),
+    (0.2, [0, 1], [-INF, 5.0], [1.0, INF], [0.8, 0.6]),
+    (0.3, [0, 2], [1.0, -INF], [INF, 40.0], [0.2, 0.5]),
+    (0.6, [0, 2], [1.0, 40.0], [INF, INF], [0.2, 0.5]),
+    (0.05, [1], [9.0], [INF], [0.3]),
+]
+
+
+def _fixed_tree(spark, folder, leaves_per_block=2):
+    rows = encounters(spark, folder).select(ID, F.array(*[
+        F.col(c).cast("double") for c in TREE_FEATURES]).alias("x"))
+    leaves = spark.createDataFrame(
+        [(0, n, *leaf) for n, leaf in enumerate(TREE_LEAVES)], explain.LEAVES)
+    return explain.attribution(rows, leaves, ID, leaves_per_block)
+
+
+@query
+def fixed_tree_attribution(spark, folder):
+    """Attribution of a tree that SQL can follow, its leaves dealt over several blocks."""
+    return _fixed_tree(spark, folder).select(
+        ID, F.round("base", 6).alias("base"), F.round("margin", 6).alias("margin"),
+        *[F.round(F.get("shap", F.lit(i)), 6).alias(c) for i, c in enumerate(TREE_FEATURES)])
+
+
+@query
+def fixed_tree_importance(spark, folder):
+    """Ranking of the tree's features, with the place in it."""
+    long = explain.long_attribution(_fixed_tree(spark, folder), TREE_FEATURES, ID)
+    reliable = spark.createDataFrame([(c,) for c in TREE_FEATURES[:2]], "feature string")
+    return rank.ranked_top_k(
+        explain.reliable_importance(explain.global_importance(long), reliable),
+        [F.desc("mean_abs_shap"), F.col("feature")], len(TREE_FEATURES), "place")
+
+
+@query
+def fixed_tree_local(spark, folder):
+    """What moved the row with the smallest id, strongest first, with the place."""
+    rows = _fixed_tree(spark, folder)
+    least = rows.agg(F.min(ID)).first()[0]
+    local = explain.local_explanation(
+        explain.long_attribution(rows, TREE_FEATURES, ID), least, ID, 2)
+    return rank.ranked_top_k(local.withColumn("shap", F.round("shap", 6)),
+                             [F.desc(F.abs("shap")), F.col("feature")], 2, "place")
+
+
 # ----------------------------------------------------------------------- models
 
 @query
