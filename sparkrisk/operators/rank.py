@@ -392,6 +392,13 @@ def ranked_top_k(df: DataFrame, order: list[Column], k: int,
     return best.select(place, *[as_column(c) for c in df.columns]).orderBy(out)
 
 
+def with_place(df: DataFrame, out: str = "place") -> DataFrame:
+    """A small ordered result with the place of each row, from 1, as its first column."""
+    one = df.coalesce(1)
+    return one.select((F.monotonically_increasing_id() + 1).cast("int").alias(out), *[
+        as_column(c) for c in df.columns])
+
+
 def sample_n(df: DataFrame, n: int, seed: int, id: str) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, chosen by the md5 of seed and id."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), as_column(id).cast("string")))

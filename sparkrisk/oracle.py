@@ -739,6 +739,33 @@ UNION ALL SELECT 'train', NULL, NULL, count(*) FROM t WHERE NOT is_test""",
     "shap_adds_up": f"{_SPLIT_EXACT} SELECT n, CAST(0 AS BIGINT) AS n_off FROM tests",
 }
 
+def _placed(select: str, order: str) -> str:
+    """Rows of a select over the clean table with their place in an order."""
+    return f"""{_E}, rows_of AS ({select})
+SELECT CAST(row_number() OVER (ORDER BY {order}) AS INT) AS place, * EXCLUDE (hidden) FROM rows_of"""
+
+
+_AGES = "count(*) AS n, CASE age WHEN '[70-80)' THEN 1 WHEN '[60-70)' THEN 2 WHEN '[80-90)' THEN 3 ELSE 4 END"
+ORACLE |= {
+    "ordered_by_count": _placed("""SELECT age_numeric, count(*) AS n_encounters, 0 AS hidden
+FROM enc GROUP BY age_numeric""", "n_encounters DESC, age_numeric"),
+    "ordered_by_hidden_sum": _placed("""SELECT diag_1_group, count(*) AS n_encounters,
+sum(num_medications) AS hidden FROM enc GROUP BY diag_1_group""", "hidden DESC, diag_1_group"),
+    "ordered_by_case": _placed("""SELECT gender, count(*) AS n_encounters,
+CASE gender WHEN 'Female' THEN 9 WHEN 'Male' THEN 2 ELSE 3 END AS hidden FROM enc GROUP BY gender""",
+                               "hidden, gender"),
+    "ordered_utilization_tiers": f"""WITH t AS ({ORACLE["utilization_tiers"]})
+SELECT CAST(row_number() OVER (ORDER BY utilization_tier) AS INT) AS place, * FROM t""",
+    "ordered_medication_change": f"""WITH t AS ({ORACLE["medication_change"]})
+SELECT CAST(row_number() OVER (ORDER BY med_change_status) AS INT) AS place, * FROM t""",
+    "ordered_by_list": f"""{_N}, a AS (SELECT age, {_AGES} AS hidden FROM norm GROUP BY age)
+SELECT CAST(row_number() OVER (ORDER BY hidden, age) AS INT) AS place, age, n FROM a""",
+    "export_round_trip": f"""{_T} SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS data_split,
+  count(*) AS n, CAST(sum(readmitted_30d) AS BIGINT) AS n_readmissions FROM tested GROUP BY is_test""",
+    "summary_round_trip": f"""SELECT score AS model, roc_auc, lift_vs_random, 'rule' AS best_model,
+  CAST(0.25 AS DOUBLE) AS auc_uplift FROM ({_compared(_S, _TWO_SCORES, "score")})""",
+}
+
 # scripts and round trips answer the same questions as the operators
 ORACLE |= {f"script_{n}": ORACLE[n] for n in (
     "overall_rate", "rate_by_diagnosis", "specialty_volume", "utilization_tiers",

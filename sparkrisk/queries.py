@@ -255,6 +255,57 @@ for _name_, _file, _number in SCRIPTS:
     QUERIES[f"script_{_name_}"] = _script(_file, _number)
 
 
+#: statements whose order is part of the answer: it is given as a column
+ORDERED = [
+    ("by_count", "ordering.sql", 1), ("by_hidden_sum", "ordering.sql", 2),
+    ("by_case", "ordering.sql", 3), ("utilization_tiers", "utilization.sql", 1),
+    ("medication_change", "medication.sql", 1),
+]
+
+
+def _ordered(file: str, number: int) -> Query:
+    return lambda spark, folder: rank.with_place(_script(file, number)(spark, folder))
+
+
+for _name_, _file, _number in ORDERED:
+    QUERIES[f"ordered_{_name_}"] = _ordered(_file, _number)
+
+
+@query
+def ordered_by_list(spark, folder):
+    """Age groups in a fixed order of their own, others after them."""
+    counts = known(spark, folder).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
+    return rank.with_place(filters.order_by_list(counts, "age", ["[70-80)", "[60-70)", "[80-90)"]))
+
+
+@query
+def export_round_trip(spark, folder):
+    """Rows by split, written as an export, replaced, and read back through its pointer."""
+    path = f"{run_dir(spark)}/{_name(folder, 'export')}"
+    rows = tested(spark, folder)
+    sinks.publish_fact(rows.limit(10), path)
+    sinks.publish_fact(rows, path)
+    return readers.read_export(spark, path).groupBy("data_split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("n_readmissions"))
+
+
+@query
+def summary_round_trip(spark, folder):
+    """A nested summary written as JSON and read back."""
+    table = scores_compared(spark, folder).select(
+        F.col("score").alias("model"), "accuracy", "precision", "recall", "f1", "roc_auc",
+        "top_decile_readmit_rate_pct", "pct_of_readmissions_captured", "lift_vs_random")
+    doc = table.agg(F.collect_list(F.struct(*table.columns)).alias("model_comparison")).select(
+        "model_comparison", F.lit("rule").alias("best_model"), F.struct(
+            F.lit(0.5).alias("auc_without_race_payer"), F.lit(0.75).alias("auc_with_race_payer"),
+            F.lit(0.25).alias("auc_uplift")).alias("fairness_check"))
+    path = f"{run_dir(spark)}/{_name(folder, 'summary-json')}"
+    sinks.write_summary(doc, path)
+    return readers.read_summary(spark, path).select(
+        F.inline("model_comparison"), "best_model", "fairness_check").select(
+        "model", "roc_auc", "lift_vs_random", "best_model", "fairness_check.auc_uplift")
+
+
 @query
 def csv_round_trip(spark, folder):
     """Raw rows written as CSV, read back with the declared schema, cleaned and counted."""

@@ -12,7 +12,9 @@ SELECT diag_1_group, n_encounters, n_readmissions,
          AS pct_of_all_encounters
 FROM groups ORDER BY readmit_rate_pct DESC, diag_1_group;
 
-SELECT medical_specialty, COUNT(*) AS n_encounters,
-       CAST(ROUND(100.0 * SUM(readmitted_30d) / COUNT(*), 2) AS DOUBLE) AS readmit_rate_pct
-FROM encounters GROUP BY medical_specialty HAVING COUNT(*) >= 185
-ORDER BY readmit_rate_pct DESC, medical_specialty;
+WITH specialties AS (
+  SELECT medical_specialty, COUNT(*) AS n, SUM(readmitted_30d) AS positives
+  FROM encounters GROUP BY medical_specialty)
+SELECT medical_specialty, n AS n_encounters,
+       CAST(ROUND(100.0 * positives / n, 2) AS DOUBLE) AS readmit_rate_pct
+FROM specialties WHERE n >= 185 ORDER BY readmit_rate_pct DESC, medical_specialty;

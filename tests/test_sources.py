@@ -110,3 +110,42 @@ def test_fact_export_is_partitioned_by_split(spark, tmp_path):
     plan = back.filter("data_split = 'test'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(data_split" in plan
     assert spark.read.csv(str(tmp_path / "fact_csv"), header=True).count() == 2
+
+
+def test_a_failed_export_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    with pytest.raises(FileNotFoundError):
+        readers.read_export(spark, path)
+    old = spark.range(5).selectExpr("id", "'test' AS data_split")
+    sinks.publish_fact(old, path)
+    assert readers.read_export(spark, path).count() == 5
+    broken = spark.range(9).selectExpr(
+        "if(id = 8, cast(raise_error('no') AS bigint), id) AS id", "'test' AS data_split")
+    with pytest.raises(Exception, match="no"):
+        sinks.publish_fact(broken, path)
+    assert readers.read_export(spark, path).count() == 5
+    reader = readers.read_export(spark, path)
+    sinks.publish_fact(spark.range(7).selectExpr("id", "'train' AS data_split"), path, csv=True)
+    assert reader.count() == 5  # a reader at work keeps what it began with
+    assert readers.read_export(spark, path).count() == 7
+    assert len(sinks.versions(spark, path)) == 2
+
+
+def test_codebook_in_many_splits(spark, tmp_path):
+    """A codebook of several thousand lines, read in small splits."""
+    path = tmp_path / "book.csv"
+    lines = ["admission_type_id,description"] + [f'{k},"text, {k}"' for k in range(4000)]
+    lines += [",", "admission_source_id,description"] + [f"{k}, word {k}" for k in range(3000)]
+    path.write_text("\r\n".join(lines) + "\r\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        found = readers.split_codebook(spark, str(path))
+        assert {k: v.count() for k, v in found.items()} == {"admission_type": 4000,
+                                                            "admission_source": 3000}
+        types = found["admission_type"].collect()
+        assert {r["admission_type_id"]: r["description"] for r in types} == {
+            k: f"text, {k}" for k in range(4000)}
+        assert found["admission_source"].filter("admission_source_id = 7").first()[1] == " word 7"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
