@@ -3,8 +3,8 @@
 Every language has a probability for each piece of one fixed public vocabulary. A word's
 probability is the sum, over all ways to cut it into pieces, of the product of their
 probabilities: the forward algorithm, run for all languages at once over blocks of words of
-equal length. A text's score adds its words' log probabilities. Pieces of at most
-``MAX_PIECE`` characters take part, lower-cased, with the vocabulary's word-start mark.
+equal length. A text's score adds its words' log probabilities. All pieces of letters take
+part, however long, lower-cased, with the vocabulary's word-start mark.
 
 The probabilities are fitted by expectation maximisation over the words of about
 ``SAMPLE_DOCS`` labelled documents per language, taken by a hash of the id; that is the one
@@ -28,7 +28,8 @@ from sparkrisk.llm.common import spare
 from sparkrisk.workspace import written
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_PIECE = 4
+#: pieces of up to so many characters are in most words: their sums are taken for all words
+OFTEN = 4
 SAMPLE_DOCS = 1200
 ROUNDS = 3
 PRIOR = 0.1
@@ -41,7 +42,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile("[A-Za-z]")
 
 
-def vocabulary_pieces(path: str | None = None, max_piece: int = MAX_PIECE) -> list[str]:
+def vocabulary_pieces(path: str | None = None) -> list[str]:
     """Letter pieces of a sentencepiece vocabulary, lower-cased, in natural order."""
     import sentencepiece
     if path is None:
@@ -49,8 +50,7 @@ def vocabulary_pieces(path: str | None = None, max_piece: int = MAX_PIECE) -> li
         path = str(public_tokenizers.path(VOCABULARY))
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces
-                  if len(p) <= max_piece and p.strip(START) and p.replace(START, "", 1).isalpha())
+    return sorted(p for p in pieces if p.strip(START) and p.replace(START, "", 1).isalpha())
 
 
 @dataclass
@@ -142,8 +142,14 @@ class Scorer:
         alpha = [np.ones((n, len(self.model.languages)))]
         scale = np.zeros((n, 1))
         for j in range(1, length + 1):
+            sizes = range(1, min(j, len(rows)) + 1)
             total = sum(alpha[-size] * self.probs[size - 1][rows[size - 1][:, j - size]]
-                        for size in range(1, min(j, len(rows)) + 1))
+                        for size in sizes[:OFTEN])
+            for size in sizes[OFTEN:]:
+                row = rows[size - 1][:, j - size]
+                held = np.flatnonzero(row)
+                if len(held):
+                    total[held] += alpha[-size][held] * self.probs[size - 1][row[held]]
             if j % 16 == 0 and length > 24:  # keep long words inside the range of doubles
                 most = total.max(axis=1, keepdims=True)
                 alpha = [a / most for a in alpha[-len(self.tables):]]
@@ -264,12 +270,12 @@ def sample_letters(words: DataFrame) -> set[str]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "lang", vocabulary: str | None = None, max_piece: int = MAX_PIECE,
+        label_col: str = "lang", vocabulary: str | None = None,
         sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
     """Piece probabilities per language; a model without languages if nothing is labelled."""
     words = written(training_words(docs, id_col, text_col, label_col, sample_docs), "lid-words")
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
-    known = vocabulary_pieces(vocabulary, max_piece)
+    known = vocabulary_pieces(vocabulary)
     letters = "".join(sorted(sample_letters(words).union(*known) - {START}))
     code = {START: 1} | {c: k + 2 for k, c in enumerate(letters)}
     pieces = {(k,) for k in range(len(letters) + 2)} | {tuple(code[c] for c in p) for p in known}
