@@ -138,7 +138,9 @@ def _codes(own):
 
 def test_walks_and_tables_follow_length_and_target():
     assert dec.level(20, target_recall=0.5) == dec.LEVELS[0]
-    assert dec.level(400) == dec.DIRECT and dec.level(5000) == dec.DIRECT
+    for n in (15, 40, 60, 100, 200, 400, 1000):
+        assert dec.level(n) != dec.DIRECT and dec.level(n, any_length=True) != dec.DIRECT
+    assert dec.level(60, target_recall=1.1) == dec.DIRECT  # what no table reaches
     cost = [dec.LEVELS.index(x) if x in dec.LEVELS else 99
             for x in (dec.level(60, target_recall=r) for r in (0.5, 0.9, 0.98, 0.9999))]
     assert cost == sorted(cost)
