@@ -362,7 +362,10 @@ def links(prints: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARIT
             prints, shingle, similarity, max_errors))
         if last or many.isEmpty():
             break
-        crowd = attach(members, many, ["key"]).where("strays IS NOT NULL").select("node").distinct()
+        both = strays.select("key", F.col("stray.x").alias("node"), "run").unionByName(
+            own.select("key", "node", "run"))
+        crowd = attach(both, many.select("key", "strays"), ["key"]).where(
+            "strays IS NOT NULL").select("node").distinct()
         crowd = written(with_roots(crowd).join(prints.select("node", "sig"), "node"), "crowd")
     return all_links()
 

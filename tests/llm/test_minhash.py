@@ -68,7 +68,7 @@ def _got(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("outside", [8, 1, 0])
+@pytest.mark.parametrize("outside", [16, 0])
 def test_components_equal_all_pairs(spark, outside):
     texts = _texts(3 + outside)
     got = minhash.near_dedup(documents(spark, texts).repartition(5), outside=outside)
@@ -81,7 +81,7 @@ def test_near_copies_whose_text_is_not_there(spark):
     base = words(100, 9)
     texts = [_changed(base, rng.choice([2, 4, 5, 6]), rng) for _ in range(120)]
     assert len({v[1] for v in _want(texts).values()}) > 1
-    for outside in (0, 8):
+    for outside in (0,):
         assert _got(minhash.near_dedup(documents(spark, texts), outside=outside)) == _want(texts)
 
 
