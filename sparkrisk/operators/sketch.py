@@ -72,7 +72,7 @@ def sketch_tree(rows: DataFrame, cols: Sequence[str], k: int, keys: Sequence[str
 
 def quantiles(spark: SparkSession, wanted: Sequence[tuple[bytes, Sequence[float]]]
               ) -> list[list[float]]:
-    """Quantiles of collected sketches at ranks from 0 to 1; no job is run."""
+    """Quantiles of collected sketches at ranks from 0 to 1."""
     wanted = list(wanted)
     held = [(s, r) for s, r in wanted if r]
     if not held:
@@ -82,5 +82,5 @@ def quantiles(spark: SparkSession, wanted: Sequence[tuple[bytes, Sequence[float]
         ", ".join(f"s{i} binary" for i in range(len(held))))
     got = iter(one.select(*[
         F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(float(x)) for x in r]))
-        for i, (_, r) in enumerate(held)]).first())
+        for i, (_, r) in enumerate(held)]).collect()[0])
     return [list(next(got)) if r else [] for _, r in wanted]
