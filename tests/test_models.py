@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkrisk import spec as S
 from sparkrisk.operators import explain, metrics, models, profile, rank, serve
 from sparkrisk.operators import split as splits
+from sparkrisk.plans import pipeline
 from sparkrisk.plans.cleaning import clean, cleaning_audit, top_lists
 from sparkrisk.plans.export import export_dashboard
 from sparkrisk.plans.pipeline import run_models
@@ -219,3 +221,22 @@ def test_whole_run_and_stream(spark, raw, table, tmp_path):
     batch = score_new(raw, run.model, lists, cuts, SMALL)
     metrics.assert_same_scores(written, batch, SMALL.id, serve.RISK)
     assert spark.read.parquet(str(tmp_path / "out" / "worklist")).count() == 30
+
+
+def test_fits_run_at_once_over_as_many_partitions_as_rows_fill(spark, table, monkeypatch):
+    """Each fit waits for the other; eight files of a few rows are one partition."""
+    meet, seen = threading.Barrier(2, timeout=60), []
+    fit = models.fit_encoded
+
+    def waiting(encoder, encoded, config, spec):
+        meet.wait()
+        seen.append(encoded.rdd.getNumPartitions())
+        return fit(encoder, encoded, config, spec)
+
+    monkeypatch.setattr(models, "fit_encoded", waiting)
+    train, test = sides(table)
+    train = train.limit(2000).repartition(8)
+    configs = models.model_configs(2000, max_iter=5)
+    some = {name: configs[name] for name in ("Decision Tree", "Logistic Regression")}
+    fitted, comparison = pipeline.compare_models(train, test, some, SMALL)
+    assert list(fitted) == list(some) and comparison.count() == 2 and seen == [1, 1]
