@@ -41,6 +41,12 @@ def test_stage_table_is_written_once(spark):
     assert raw(spark, SMALL).inputFiles() == raw(spark, SMALL + "/").inputFiles()
 
 
+def test_tree_attribution_is_computed_once(spark):
+    """Smallest id and explanation read one table."""
+    plan = QUERIES["fixed_tree_local"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan
+
+
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
     """Orders of which a third belong to one customer, several on the same day."""
