@@ -41,6 +41,15 @@ def test_stage_table_is_written_once(spark):
     assert raw(spark, SMALL).inputFiles() == raw(spark, SMALL + "/").inputFiles()
 
 
+def test_stage_table_holds_facts_only(spark):
+    """The fifty columns of the raw table are derived on reading, not stored."""
+    rows = raw(spark, SMALL)
+    stored = spark.read.parquet(*rows.inputFiles())
+    assert len(rows.columns) == 50 and len(stored.columns) < 20
+    assert rows.exceptAll(encounters_raw(spark, SMALL)).isEmpty()
+    assert rows.count() == encounters_raw(spark, SMALL).count()
+
+
 def test_tree_attribution_is_computed_once(spark):
     """Smallest id and explanation read one table."""
     plan = QUERIES["fixed_tree_local"](spark, SMALL)._jdf.queryExecution().toString()
