@@ -6,13 +6,14 @@ import random
 import threading
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sparkrisk import spec as S
-from sparkrisk.operators import explain, metrics, models, profile, rank, serve
+from sparkrisk.operators import explain, metrics, models, profile, rank, serve, trees
 from sparkrisk.operators import split as splits
 from sparkrisk.plans import pipeline
 from sparkrisk.plans.cleaning import clean, cleaning_audit, top_lists
@@ -240,3 +241,42 @@ def test_fits_run_at_once_over_as_many_partitions_as_rows_fill(spark, table, mon
     some = {name: configs[name] for name in ("Decision Tree", "Logistic Regression")}
     fitted, comparison = pipeline.compare_models(train, test, some, SMALL)
     assert list(fitted) == list(some) and comparison.count() == 2 and seen == [1, 1]
+
+
+@pytest.mark.parametrize("name", ["Decision Tree", "Random Forest", "Gradient-Boosted Trees"])
+def test_trees_walked_over_blocks_score_as_transform_does(spark, table, name):
+    """Block after block, and categories that training rows did not have."""
+    train, test = sides(table)
+    config = models.model_configs(train.count(), trees=7, rounds=4)[name]
+    model = models.fit_model(train, config, SMALL)
+    test = test.withColumn("gender", F.when(F.col("encounter_id") % 5 == 0, "new").otherwise(
+        F.col("gender")))
+    ready = models.model_input(test, *SMALL.features(), [SMALL.id])
+    want = {r[SMALL.id]: r for r in model.transform(ready).collect()}
+    found = trees.ensemble(model.stages[-1], spark)
+    x = np.array([r["features"].toArray() for r in want.values()])
+    x = np.tile(x, (-(-2 * trees.ROWS_PER_STEP // len(x)), 1))
+    label, chance = found.score(x)
+    for at, r in enumerate(want.values()):
+        for k in range(at, len(x), len(want)):
+            assert label[k] == r["prediction"]
+            assert chance[k] == pytest.approx(r["probability"][1], abs=1e-14)
+    plan = models.predict(model, test, SMALL)
+    assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r[SMALL.id]: r for r in plan.collect()}
+    assert {k: r[models.PREDICTION] for k, r in got.items()} == {
+        k: r["prediction"] for k, r in want.items()}
+
+
+def test_forest_of_leaves_and_categories_of_one_slot():
+    """A tree that is a leaf, a test on categories, a NaN and a row on the threshold."""
+    nodes = pd.DataFrame({
+        "tree": [0, 1, 1, 1, 1, 1], "id": [0, 0, 1, 2, 3, 4], "prediction": 0.0,
+        "impurityStats": [[1.0, 3.0], [9.0, 9.0], [4.0, 0.0], [5.0, 5.0], [1.0, 1.0], [0.0, 2.0]],
+        "leftChild": [-1, 1, -1, 3, -1, -1], "rightChild": [-1, 2, -1, 4, -1, -1],
+        "feature": [-1, 0, -1, 1, -1, -1], "categories": [-1, -1, -1, 3, -1, -1],
+        "left": [[], [0.5], [], [0.0, 2.0], [], []]})
+    found = trees._ensemble(nodes, "votes", [1.0, 1.0])
+    label, chance = found.score(np.array([[0.5, 0], [0.6, 2], [0.6, 1], [math.nan, 1]]))
+    assert label.tolist() == [0, 1, 1, 1]
+    assert chance.tolist() == [0.375, 0.625, 0.875, 0.875]
