@@ -170,6 +170,26 @@ def test_path_attribution_equals_brute_force():
         assert np.allclose(got, brute_shapley(leaves, row, 4), atol=1e-10)
 
 
+@pytest.mark.parametrize("bits", [1, 3, 14])
+def test_equal_results_of_tests_are_attributed_once(monkeypatch, bits):
+    """Rows that satisfy the same tests are one pattern, whatever the number of tests together."""
+    inf = math.inf
+    leaves = [(0.3, [], [], [], []),
+              (2.0, [0, 1], [-inf, -inf], [0.5, 0.2], [0.4, 0.7]),
+              (-1.0, [0, 1], [-inf, 0.2], [0.5, inf], [0.4, 0.3]),
+              (0.5, [0, 2, 3], [0.5, 0.1, -inf], [inf, 0.6, 0.9], [0.6, 0.5, 0.2])]
+    x = np.random.default_rng(2).random((500, 5))
+    worked_out, step = [], explain._step
+    monkeypatch.setattr(explain, "GROUP_BITS", bits)
+    monkeypatch.setattr(explain, "_step", lambda hit, *rest: (
+        worked_out.append(len(hit)), step(hit, *rest))[1])
+    base, phi = explain.path_shapley(x, leaves)
+    assert base == pytest.approx(0.3 + 0.56 - 0.12 + 0.03) and phi.shape == x.shape
+    assert max(worked_out) <= 32
+    for row, got in zip(x[:20], phi):
+        assert np.allclose(got, brute_shapley(leaves, row, 5), atol=1e-12)
+
+
 def test_reliable_features(spark, table):
     often = {r[0] for r in explain.reliable_features(
         table, ["age_numeric"], ["gender", "diag_1_group"], 150).collect()}
