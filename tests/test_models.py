@@ -288,6 +288,43 @@ def test_trees_walked_over_blocks_score_as_transform_does(spark, table, name):
         k: r["prediction"] for k, r in want.items()}
 
 
+def test_tree_scores_read_numbers_and_indices_not_vectors(spark, table):
+    """The 1-of-n slots of a row follow from its index; the vector is not assembled."""
+    train, test = sides(table)
+    model = models.fit_model(train, models.model_configs(train.count(), trees=7)["Random Forest"],
+                             SMALL)
+    column, codes = trees.coded(model.stages[:-1], "features")
+    test = test.withColumn("gender", F.when(F.col("encounter_id") % 5 == 0, "new").otherwise(
+        F.col("gender")))
+    rows = PipelineModel(model.stages[:-1]).transform(
+        models.model_input(test, *SMALL.features(), [SMALL.id]))
+    found = rows.select("features", column.alias("few")).collect()
+    x = np.array([r["few"] for r in found]).T
+    assert len(x) == 5 and codes.numbers == 3
+    want = np.array([r["features"].toArray() for r in found]).T
+    assert want.shape[0] == 3 + sum(codes.widths)
+    for slot, values in enumerate(want):
+        assert np.array_equal(codes.slot(x, slot), values)
+    plan = models.predict(model, test, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "features" not in plan
+    assert trees.coded(model.stages[1:-1], "features") is None
+
+
+def test_training_sample_is_read_from_a_table_of_its_own(spark, table, monkeypatch):
+    """Encoding reads the sample many times, and must not read the whole table each time."""
+    seen = []
+
+    def watched(train, *rest, encode=models.encode_training):
+        seen.append(sum(f.endswith(".parquet") and "/training-" in f for f in train.inputFiles()))
+        seen.append(train.count())
+        return encode(train, *rest)
+
+    monkeypatch.setattr(models, "encode_training", watched)
+    run_models(table.drop("data_split", "is_out_of_sample_prediction"), SMALL, trees=2, rounds=1,
+               max_iter=5, max_train_rows=800)
+    assert len(seen) == 4 and seen[0] and seen[2] and seen[1] == seen[3] < 1100
+
+
 def test_forest_of_leaves_and_categories_of_one_slot():
     """A tree that is a leaf, a test on categories, a NaN and a row on the threshold."""
     nodes = pd.DataFrame({
