@@ -59,13 +59,15 @@ class Model:
 
     Letter code 0 stands for every letter that neither the vocabulary nor the sample has, code
     1 for the word start. Every single code is a piece, so each word has at least one
-    segmentation.
+    segmentation. A word without any letter of ``seen``, those of the sample, says nothing of
+    its language: what its word start says is how often a language needs one.
     """
 
     letters: str
     pieces: list[tuple[int, ...]]
     languages: list[str]
     prob: np.ndarray  # (pieces, languages)
+    seen: frozenset[str] | None = None
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per size: the beginnings of pieces, their rows, and the pieces of the rows.
@@ -165,6 +167,8 @@ class Scorer:
         for places, codes in _encoded(words, self.model.letters):
             alpha, scale = self.forward(codes)
             out[places] = np.log(alpha[-1]) + scale
+        if self.model.seen is not None:
+            out[[k for k, word in enumerate(words) if self.model.seen.isdisjoint(word)]] = 0
         return out
 
     def texts(self, texts: list[list[str]]) -> np.ndarray:
@@ -276,12 +280,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = written(training_words(docs, id_col, text_col, label_col, sample_docs), "lid-words")
     languages = sorted(r[0] for r in words.select("lang").distinct().collect())
     known = vocabulary_pieces(vocabulary)
-    letters = "".join(sorted(sample_letters(words).union(*known) - {START}))
+    seen = frozenset(sample_letters(words))
+    letters = "".join(sorted(seen.union(*known) - {START}))
     code = {START: 1} | {c: k + 2 for k, c in enumerate(letters)}
     pieces = {(k,) for k in range(len(letters) + 2)} | {tuple(code[c] for c in p) for p in known}
     pieces = sorted(pieces, key=lambda p: (len(p), p))
     model = Model(letters, pieces, languages, np.full((len(pieces), len(languages)),
-                                                      1 / len(pieces)))
+                                                      1 / len(pieces)), seen)
     column = {lang: k for k, lang in enumerate(languages)}
     for _ in range(rounds if languages else 0):
         def count(batches: Iterator[pd.DataFrame], model: Model = model) -> Iterator[pd.DataFrame]:
@@ -297,7 +302,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas())
         counts = np.full_like(model.prob, PRIOR)
         counts[sums["piece"], sums["lang"]] += sums["n"]
-        model = Model(letters, pieces, languages, counts / counts.sum(axis=0))
+        model = Model(letters, pieces, languages, counts / counts.sum(axis=0), seen)
     return model
 
 

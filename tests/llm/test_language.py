@@ -87,6 +87,14 @@ def _rows(n, seed=3):
     return rows
 
 
+def test_words_of_letters_that_no_language_has_say_nothing(spark):
+    model = lid.fit(spark.createDataFrame(_rows(400), DOCS))
+    assert model.seen == set("".join(w for words in WORDS.values() for w in words))
+    strange, mixed, plain = lid.Scorer(model).texts([["日本語", "мир"], ["и", "straße"], ["straße"]])
+    assert strange.tolist() == [0, 0, 0] and mixed.tolist() == plain.tolist()
+    assert plain.argmax() == model.languages.index("de")
+
+
 def test_held_out_accuracy_and_undetermined(spark):
     rows = _rows(400) + [(900, None, "en", "s", 0), (901, "123 !!", "de", "s", 0),
                          (902, "日本語", None, "s", 0)]
