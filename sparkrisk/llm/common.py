@@ -51,14 +51,15 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         "run": F.spark_partition_id(), "rid": F.monotonically_increasing_id()}), name)
 
 
-def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
+def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], run: str = "run",
+           how: str = "left") -> DataFrame:
     """Join rows to a lookup with one row per key, however many rows a key has.
 
     The lookup is first joined to the distinct (key, run) pairs, so a hot key costs one row
     per run there; the rows then meet it on (key, run), which splits the hot key by run.
     """
     held = rows.select(*keys, run).distinct().join(lookup, keys)
-    return rows.join(held, [*keys, run], "left")
+    return rows.join(held, [*keys, run], how)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,12 +22,15 @@ Only components are wanted, so no key enumerates its pairs. Per key:
    u + u' + |l - l'| shingles. A stray that differs
    too much from every other member is done, and so is a member that differs too much from
    every stray; most near copies that were changed too much to be linked end here.
-4. The remaining strays and members are compared where the bound allows it, as long as there
-   are at most ``outside`` of the ones or the others; that is linear in the size of the key. The members of the
-   other keys are indexed again with fewer and longer segments, 6 of 8 with three errors. The
-   same distance is guaranteed, with keys of 5 positions that texts of middling similarity
-   hardly share. Only what is still crowded after that is compared within its keys, where the
-   bound allows it.
+4. The remaining strays and members are compared where the bound allows it. Where there are
+   more than ``outside`` of both, a second bound is taken first: a sketch of ``SKETCH`` bits has
+   the parity of how many shingles fall on each bit, and two sets differ in at least as many
+   shingles as their sketches differ in bits. Two texts that share several keys meet in the
+   first one only: what leaves them out in any key proves that they are not linked, or already
+   united.
+
+With more than one entry in ``SEGMENTS`` the members of keys that are crowded on both sides are
+indexed again with fewer and longer segments, and compared in the last index.
 
 A pair is compared by set sizes, then by signature distance, then by the full shingle sets of
 both texts. Texts with the same word sequence are one from the start.
@@ -43,7 +46,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkrisk.llm.common import attach, components, numbered, text_of
@@ -53,8 +56,9 @@ SHINGLE = 4
 SIMILARITY = 80
 POSITIONS = 48
 MAX_ERRORS = 23
-SEGMENTS = (12, 6)
+SEGMENTS = (12,)
 OUTSIDE = 16
+SKETCH = 1024
 BATCH_WORDS = 1 << 16
 KEY_ROWS = 1 << 17
 _MASK = np.uint64(0xFFFF)
@@ -143,21 +147,49 @@ def _print_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.
             yield flushed()
 
 
+def _choices(segments: int, max_errors: int) -> tuple[list[tuple[int, ...]], int]:
+    """The positions a segment is indexed without, choice by choice, and the bits of a place.
+
+    A place is the number of a segment and choice; the lowest bits of a key are its place.
+    """
+    found = list(combinations(range(POSITIONS // segments), max_errors // segments))
+    return found, (segments * len(found) - 1).bit_length()
+
+
 def keys_of(symbols: np.ndarray, segments: int, max_errors: int = MAX_ERRORS) -> np.ndarray:
     """Keys of each signature, one column per segment and choice of positions left out."""
     width, out = POSITIONS // segments, []
+    choices, bits = _choices(segments, max_errors)
     salted = _mixed(symbols.astype(np.uint64) + np.arange(
         1, POSITIONS + 1, dtype=np.uint64) * np.uint64(1 << 16)) * _ODD[7]
     for n in range(segments):
         cut = salted[:, n * width:(n + 1) * width]
         whole = cut.sum(axis=1, dtype=np.uint64)
-        for left_out in combinations(range(width), max_errors // segments):
+        for left_out in choices:
             kept = whole - cut[:, list(left_out)].sum(axis=1, dtype=np.uint64)
             kept += np.uint64(len(out) + 1) << np.uint64(48)
-            out.append(_mixed(kept))
+            out.append(_mixed(kept) << np.uint64(bits) | np.uint64(len(out)))
     return np.stack(out, axis=1)
 
 
+def first_shared(a: Column, b: Column, segments: int, max_errors: int = MAX_ERRORS) -> Column:
+    """The lowest place at which two signatures have the same key, null if there is none."""
+    width, (choices, _) = POSITIONS // segments, _choices(segments, max_errors)
+    # by which positions of a segment differ, the first one being the highest bit
+    covering = F.array(*[F.lit(next(
+        (n for n, left_out in enumerate(choices)
+         if all(k in left_out for k in range(width) if differ >> (width - 1 - k) & 1)), None)
+        ).cast("int") for differ in range(1 << width)])
+
+    def place(differ: Column) -> Column:
+        return F.coalesce(*[F.get(covering, F.shiftright(
+            differ, POSITIONS - (n + 1) * width).bitwiseAND((1 << width) - 1).cast("int"))
+            + n * len(choices) for n in range(segments)])
+
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 0).otherwise(1)),
+                       F.lit(0).cast("long"), lambda n, x: n * 2 + x, place)
+
+
 def _index(prints: DataFrame, segments: int, max_errors: int) -> DataFrame:
     """Rows (key, node, root) of ``prints`` (node, root, sig)."""
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +266,31 @@ def _compared(pairs: DataFrame, prints: DataFrame, shingle: int, similarity: int
         verify, "a long, b long, both long, linked boolean"), "compared")
 
 
+def _hashes(body: bytes, shingle: int) -> np.ndarray:
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(s))
+                               for s in _shingles(body, shingle)], dtype=np.uint64))
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits as signed words: whether an odd number of hashes falls on each bit."""
+    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sketched(nodes: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """(node, sig, sketch) of the ``nodes`` (node)."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [parities(_hashes(b.as_py(), shingle)) for b in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("node"), batch.column("sig"),
+                pa.array([w.tolist() for w in words], pa.list_(pa.int64()))],
+                names=["node", "sig", "sketch"])
+
+    return written(prints.select("node", "sig", "body").join(nodes, "node").mapInArrow(
+        sketch, "node long, sig array<short>, sketch array<long>"), "sketches")
+
+
 def _private(nodes: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
     """(node, private): how many shingles of a node only its component has, or fewer.
 
@@ -244,8 +301,7 @@ def _private(nodes: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for node, root, body in zip(*(batch.column(c) for c in ("node", "root", "body")),
                                         strict=True):
-                own = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(s)) for s in _shingles(
-                    body.as_py(), shingle)], dtype=np.uint64)).view(np.int64)
+                own = _hashes(body.as_py(), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(own), pa.array(np.full(len(own), node.as_py())),
                     pa.array(np.full(len(own), root.as_py()))], names=["h", "node", "root"])
@@ -277,6 +333,13 @@ def links(prints: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARIT
         return rows.drop("root").join(components(all_links()), "node", "left").withColumn(
             "root", F.coalesce("root", "node"))
 
+    def keys_with_roots(rows: DataFrame) -> DataFrame:
+        """``rows`` (key, node, ...) with ``root``; a node meets it once, with all its keys."""
+        held = [c for c in rows.columns if c not in ("node", "root")]
+        return with_roots(rows.groupBy("node").agg(
+            F.collect_list(F.struct(*held)).alias("held"))).select(
+            "node", "root", F.inline("held"))
+
     def open_keys(rows: DataFrame) -> DataFrame:
         per_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
         return per_root.groupBy("key").agg(
@@ -300,11 +363,11 @@ def links(prints: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARIT
         stars = _compared(starred.where("a <> node").select("a", F.col("node").alias("b")),
                           prints, shingle, similarity)
         found.append(stars)
-        rooted = written(with_roots(starred.where("size > 2")), "rooted-keys")
+        rooted = written(keys_with_roots(starred.where("size > 2")), "rooted-keys")
         left = written(open_keys(rooted), "open-keys")
         if left.isEmpty():
             break
-        members = attach(rooted, left, ["key"]).where("main IS NOT NULL")
+        members = attach(rooted, left, ["key"], how="inner")
         # how far each member is from its key's pivot, and from all others at least
         members = members.join(prints.select("node", F.col("n_shingles").alias("n")), "node").join(
             _private(members.select("node", "root").distinct(), prints, shingle), "node", "left")
@@ -330,8 +393,8 @@ def links(prints: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARIT
         counts = strays.groupBy("key").agg(F.count("*").alias("strays"), F.min(F.coalesce(
             "need", F.lit(float("-inf")))).alias("least"))
         # the members that may be linked to a stray
-        own = written(attach(members.where("node <> a"), counts, ["key"]).where(
-            "strays IS NOT NULL AND coalesce(l - u >= least, true)"), "partners")
+        own = written(attach(members.where("node <> a"), counts, ["key"], how="inner").where(
+            "coalesce(l - u >= least, true)"), "partners")
         counts = written(counts.join(own.groupBy("key").agg(F.count("*").alias("partners")),
                                      "key"), "counts")
         last = level + 1 == len(segments)
@@ -350,22 +413,37 @@ def links(prints: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARIT
             F.col("partners") <= outside)), ["key"]).select(
             F.explode("others").alias("member"), "stray"))
         many = other.where(F.col("partners") > outside)
-        if last:
-            met = met.unionByName(own.join(many.select("key"), "key").join(strays, "key").select(
-                "member", "stray"))
         m, s = F.col("member"), F.col("stray")
         apart = m["u"] + s["u"] + F.abs(m["l"] - s["l"])
-        pairs = met.where((m["root"] != s["root"]) & F.coalesce(
-            apart * (100 + similarity) <= (m["n"] + s["n"]) * (100 - similarity), F.lit(True)))
+        possible = (m["root"] != s["root"]) & F.coalesce(
+            apart * (100 + similarity) <= (m["n"] + s["n"]) * (100 - similarity), F.lit(True))
+        pairs = met.where(possible)
+        crowded = not many.isEmpty()
+        if last and crowded:
+            places = (1 << _choices(count, max_errors)[1]) - 1
+            m_here = own.join(many.select("key"), "key").select("key", "node", "member")
+            s_here = strays.join(many.select("key"), "key").select(
+                "key", F.col("stray.x").alias("node"), "stray")
+            facts = _sketched(m_here.select("node").unionByName(s_here.select("node")).distinct(),
+                              prints, shingle)
+            m_here, s_here = (rows.join(facts, "node").select(
+                "key", side, F.col("sig").alias(f"{side}_sig"),
+                F.col("sketch").alias(f"{side}_sketch"))
+                for rows, side in ((m_here, "member"), (s_here, "stray")))
+            bits = sum(F.bit_count(F.col("member_sketch")[k].bitwiseXOR(F.col("stray_sketch")[k]))
+                       for k in range(SKETCH // 64))
+            first = first_shared(F.col("member_sig"), F.col("stray_sig"), count, max_errors)
+            pairs = pairs.unionByName(m_here.join(s_here, "key").where(
+                possible & (bits * (100 + similarity) <= (m["n"] + s["n"]) * (100 - similarity))
+                & (first == F.col("key").bitwiseAND(places))).select("member", "stray"))
         found.append(_compared(pairs.select(
             F.least(m["x"], s["x"]).alias("a"), F.greatest(m["x"], s["x"]).alias("b")),
             prints, shingle, similarity, max_errors))
-        if last or many.isEmpty():
+        if last or not crowded:
             break
         both = strays.select("key", F.col("stray.x").alias("node"), "run").unionByName(
             own.select("key", "node", "run"))
-        crowd = attach(both, many.select("key", "strays"), ["key"]).where(
-            "strays IS NOT NULL").select("node").distinct()
+        crowd = attach(both, many.select("key"), ["key"], how="inner").select("node").distinct()
         crowd = written(with_roots(crowd).join(prints.select("node", "sig"), "node"), "crowd")
     return all_links()
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkrisk.llm import minhash
 from sparkrisk.llm.common import components
@@ -131,3 +132,50 @@ def test_hot_group_of_near_copies(spark):
     got = _got(minhash.near_dedup(documents(spark, texts)))
     assert {v[1] for k, v in got.items() if k <= 400} == {1}
     assert all(v[1] == k for k, v in got.items() if k > 400)
+
+
+@pytest.mark.parametrize("segments", [12, 6])
+def test_first_shared_place_is_that_of_the_lowest_common_key(spark, segments):
+    rng = np.random.default_rng(segments + 1)
+    rows, want = [], []
+    for errors in (0, 1, 5, 12, 23, 30, 44, 48) * 4:
+        a = rng.integers(0, 1 << 16, minhash.POSITIONS).astype(np.uint16)
+        b = a.copy()
+        b[rng.permutation(minhash.POSITIONS)[:errors]] ^= np.uint16(1)
+        keys = minhash.keys_of(np.stack([a, b]), segments)
+        same = np.flatnonzero(keys[0] == keys[1])
+        rows.append((len(rows), a.view(np.int16).tolist(), b.view(np.int16).tolist()))
+        want.append(int(same[0]) if len(same) else None)
+        bits = (keys.shape[1] - 1).bit_length()
+        assert (keys[0] & np.uint64((1 << bits) - 1) == np.arange(keys.shape[1])).all()
+    got = spark.createDataFrame(rows, "k int, a array<short>, b array<short>").select(
+        "k", minhash.first_shared(F.col("a"), F.col("b"), segments).alias("place")).collect()
+    assert [r["place"] for r in sorted(got)] == want
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets_in_shingles():
+    rng = random.Random(5)
+    for changes in (0, 1, 4, 9, 30):
+        base = words(150, changes)
+        sets = [minhash._hashes(t.encode(), 4) for t in (base, _changed(base, changes, rng))]
+        x, y = (np.unpackbits(minhash.parities(h).view(np.uint8)) for h in sets)
+        apart = len(np.setxor1d(*sets))
+        assert apart / 2 <= (x != y).sum() <= apart
+
+
+@pytest.mark.parametrize("segments", [(12,), (12, 6)])
+def test_pairs_of_crowded_keys_meet_once(spark, monkeypatch, segments):
+    rng = random.Random(8)
+    base = words(100, 9)
+    texts = [_changed(base, rng.choice([2, 4, 5, 6]), rng) for _ in range(120)]
+    met, compared = [], minhash._compared
+
+    def counted(pairs, prints, shingle, similarity, max_errors=None):
+        if max_errors is not None:
+            met.append((pairs.count(), pairs.distinct().count()))
+        return compared(pairs, prints, shingle, similarity, max_errors)
+
+    monkeypatch.setattr(minhash, "_compared", counted)
+    got = minhash.near_dedup(documents(spark, texts), segments=segments, outside=0)
+    assert _got(got) == _want(texts)
+    assert met[-1][0] <= 2 * met[-1][1]  # once from each side
