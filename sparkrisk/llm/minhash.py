@@ -245,7 +245,10 @@ def _compared(pairs: DataFrame, prints: DataFrame, shingle: int, similarity: int
             (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * similarity)
             & (F.aggregate(differ, F.lit(0), lambda n, x: n + x) <= max_errors)).select(
             "a", "b", "run")
-    met = _beside(written(pairs, "pairs"), prints.select("node", "body"))
+    bodies = prints.select("node", "body")
+    # pivots meet a good part of all texts, which is a merge join at every size; later pairs are few
+    met = _beside(written(pairs, "pairs"),
+                  bodies.hint("merge") if max_errors is None else bodies)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
@@ -287,6 +290,8 @@ def _sketched(nodes: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
                 pa.array([w.tolist() for w in words], pa.list_(pa.int64()))],
                 names=["node", "sig", "sketch"])
 
+    # a table of its own: Spark sees that it is short and leaves the bodies where they are
+    nodes = written(nodes, "sketched")
     return written(prints.select("node", "sig", "body").join(nodes, "node").mapInArrow(
         sketch, "node long, sig array<short>, sketch array<long>"), "sketches")
 
