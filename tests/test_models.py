@@ -325,6 +325,27 @@ def test_training_sample_is_read_from_a_table_of_its_own(spark, table, monkeypat
     assert len(seen) == 4 and seen[0] and seen[2] and seen[1] == seen[3] < 1100
 
 
+@pytest.mark.parametrize("n", [20, 10_001, 115_664, 7_000_000, 2 ** 31 - 1])
+def test_thresholds_are_sought_in_all_rows(spark, n):
+    """spark.ml reads as many rows for them as the square of the bins, 10,000 at least."""
+    trees_of = [c.estimator for c in models.model_configs(n).values() if not c.scaled]
+    assert len(trees_of) == 3
+    for estimator in trees_of:
+        bins = estimator.getMaxBins()
+        assert 32 <= bins <= max(32, n) and min(n, models.MAX_BINS ** 2) <= bins ** 2 < 2 ** 31
+
+
+def test_threshold_between_two_of_many_values(spark):
+    """12,000 rows of 300 values: the one test that tells the classes apart is found."""
+    rows = spark.range(12_000).select(
+        F.col("id").alias("encounter_id"), (F.col("id") % 300).alias("x"),
+        (F.col("id") % 300 > 137).cast("int").alias("readmitted_30d"))
+    spec = S.EncounterSpec(numeric=("x",), categorical=(), fairness=())
+    model = models.fit_model(rows, models.model_configs(12_000)["Decision Tree"], spec)
+    scored = models.predict(model, rows, spec)
+    assert scored.filter(F.col(models.PREDICTION) != F.col("readmitted_30d")).count() == 0
+
+
 def test_forest_of_leaves_and_categories_of_one_slot():
     """A tree that is a leaf, a test on categories, a NaN and a row on the threshold."""
     nodes = pd.DataFrame({

@@ -5,9 +5,10 @@ import random
 import pytest
 
 from __spark_entry__ import entry
+from sparkrisk.operators import models
 from sparkrisk.oracle import ORACLE
 from sparkrisk.queries import QUERIES
-from sparkrisk.queries import raw
+from sparkrisk.queries import model_run, raw
 from sparkrisk.sources.star import encounters_raw
 from tools.check import TABLES, canonical, compare, connect
 
@@ -101,5 +102,33 @@ def test_queries_on_skewed_tables(spark, skewed, name):
     assert compare(QUERIES[name](spark, skewed), con, ORACLE[name]) is None
 
 
+def test_models_are_fitted_on_all_training_rows(spark, tmp_path, monkeypatch):
+    """20,000 orders: scalers, categories, class weights, thresholds and models see every one."""
+    spark.range(20_000).selectExpr(
+        "id AS o_orderkey", "id % 4000 AS o_custkey", "'1-URGENT' AS o_orderpriority",
+        "CAST(date_add(DATE'1996-01-01', CAST(id * 7 % 800 AS int)) AS TIMESTAMP_NTZ) AS o_orderdate"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20_000).selectExpr(
+        "id AS l_orderkey", "CAST(id % 50 AS double) AS l_quantity", "'R' AS l_returnflag"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(4000).selectExpr("id AS c_custkey", "CAST(id % 25 AS int) AS c_nationkey"
+                                 ).write.parquet(f"{tmp_path}/customer.parquet")
+    encoded, settings = [], []
+
+    def watched(train, *rest, encode=models.encode_training):
+        encoder, rows = encode(train, *rest)
+        encoded.append((train.count(), rows.count()))
+        return encoder, rows
+
+    def tree_only(n_rows, *rest, configs=models.model_configs):
+        settings.append(n_rows)
+        return {"Decision Tree": configs(n_rows, *rest)["Decision Tree"]}
+
+    monkeypatch.setattr(models, "encode_training", watched)
+    monkeypatch.setattr(models, "model_configs", tree_only)
+    n = model_run(spark, str(tmp_path)).table.filter("data_split = 'train'").count()
+    assert n > 12_000 and encoded == [(n, n), (n, n)] and settings == [n]
+
+
 def test_tables_are_the_given_ones():
     assert len(TABLES) == 14
